@@ -35,40 +35,68 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def spans_of(text: Column, pattern: str, kind: str, start_of: Column | None = None) -> Column:
+SPAN = "struct<kind:string,start:bigint,stop:bigint,value:string>"
+_STATE = f"struct<at:bigint,found:array<{SPAN}>>"
+_BLOCKS = f"struct<at:bigint,found:array<array<{SPAN}>>>"
+
+
+def no_spans() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def spans_of(text: Column, pattern: str, kind: str, block: int = 256) -> Column:
     """All leftmost non-overlapping matches as array<struct<kind,start,stop,value>>.
 
     Positions count code points. Matches and the gaps between them come from
     one extraction and one split by the same pattern, so a running sum of
-    lengths gives the offsets.  ``pattern`` must not match the empty string.
+    lengths gives the offsets.  The sum runs in blocks, so that a text with
+    very many matches costs in proportion to them, not to their square.
+    ``pattern`` must not match the empty string.
     """
-    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,stop:bigint,value:string>>)")
+
+    def step(acc: Column, pair: Column) -> Column:
+        def grown(x: Column) -> Column:
+            span = F.struct(F.lit(kind).alias("kind"), x["b"].alias("start"), x["e"].alias("stop"), pair["hit"].alias("value"))
+            return F.struct(x["e"].alias("at"), F.concat(acc["found"], F.array(span.cast(SPAN))).alias("found")).cast(_STATE)
+
+        begin = acc["at"] + F.length(pair["gap"])
+        return let(F.struct(begin.alias("b"), (begin + F.length(pair["hit"])).alias("e")), grown)
+
+    def block_step(acc: Column, pairs: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), no_spans().alias("found")).cast(_STATE)
+        return let(
+            F.aggregate(pairs, zero, step),
+            lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], F.array(x["found"])).alias("found")).cast(_BLOCKS),
+        )
 
     def offsets(hits: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            return let(
-                F.struct(begin.alias("b"), (begin + F.length(pair["hit"])).alias("e")),
-                lambda x: F.struct(
-                    x["e"].cast("bigint").alias("at"),
-                    F.concat(
-                        acc["found"],
-                        F.array(
-                            F.struct(
-                                F.lit(kind).alias("kind"),
-                                x["b"].cast("bigint").alias("start"),
-                                x["e"].cast("bigint").alias("stop"),
-                                pair["hit"].alias("value"),
-                            )
-                        ),
-                    ).cast("array<struct<kind:string,start:bigint,stop:bigint,value:string>>"),
-                ).cast("struct<at:bigint,found:array<struct<kind:string,start:bigint,stop:bigint,value:string>>>"),
-            )
-
-        return F.aggregate(pairs, zero, step)["found"]
-
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), offsets)).otherwise(none)
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+        blocks = let(
+            pairs,
+            lambda p: F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(p) - 1) / block).cast("int")), lambda b: F.slice(p, b * block + 1, F.lit(block))
+            ),
+        )
+        zero = F.expr(f"cast(struct(0L, array()) as {_BLOCKS})")
+        return F.flatten(F.aggregate(blocks, zero, block_step)["found"])
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), offsets)).otherwise(no_spans())
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined in the given order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def clear_of(span: Column, others: Column) -> Column:
+    """True where the span overlaps none of the others."""
+    return ~F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
+
+
+def char_at(value: Column, i: Column) -> Column:
+    return F.substr(value, i, F.lit(1))
