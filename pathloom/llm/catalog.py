@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op3_secret_scan": "secrets",
     "op4_pii": "pii",
+    "op5_url_filter": "urls",
     "op6_quality_rules": "quality",
 }
 
