@@ -10,6 +10,7 @@ MODULES = {
     "op4_pii": "pii",
     "op5_url_filter": "urls",
     "op6_quality_rules": "quality",
+    "op7_ngram_jaccard_join": "jaccard",
 }
 
 
