@@ -6,11 +6,13 @@ import importlib
 
 #: query name -> module of this package that holds ``query`` and maybe ``SQL``.
 MODULES = {
+    "op2_token_counts": "tokencount",
     "op3_secret_scan": "secrets",
     "op4_pii": "pii",
     "op5_url_filter": "urls",
     "op6_quality_rules": "quality",
     "op7_ngram_jaccard_join": "jaccard",
+    "op8_token_files": "tokenfiles",
 }
 
 
