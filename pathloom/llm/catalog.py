@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that holds ``query`` and maybe ``SQL``.
 MODULES = {
+    "op1_decontamination": "decontaminate",
     "op2_token_counts": "tokencount",
     "op3_secret_scan": "secrets",
     "op4_pii": "pii",
