@@ -9,12 +9,14 @@ documents link when the Jaccard similarity of their sets reaches the limit.
 2. A set's prefix is as many of its first shingles as two linked sets must
    share one of.  Documents with equal prefix and size form a group, and
    groups, not documents, stand in the posting lists.
-3. Round one takes neighbours in each list, round two all pairs of groups that
-   are not connected by then.  Pairs are filtered by size, by position, by
-   shared prefix shingles and by an exact bound from parity bitmaps; groups
-   are expanded to their different sets, and sets are verified on whole texts.
-   Pairs that are connected already cannot change a component, so a large
-   group of near copies costs a chain, not its square.
+3. Round one takes neighbours in each list, in one of a few mixed orders;
+   round two pairs groups with the one of the list that has most links by then;
+   round three takes all pairs of groups that are not connected after those.
+   Pairs are filtered by size, by position, by shared prefix shingles and by an
+   exact bound from parity bitmaps; groups are expanded to their different
+   sets, and sets are verified on whole texts.  Pairs that are connected
+   already cannot change a component, so a large group of near copies costs a
+   few chains and a star, not its square.
 4. Components come from alternating stars.
 
 Edge cases: null or empty texts have no shingles, n_shingles 0, and are their
@@ -95,6 +97,10 @@ def enough(overlap: Column | int, nx: Column | int, ny: Column | int, percent: i
     return overlap * (100 + percent) >= (nx + ny) * percent
 
 
+#: Different orders of posting lists.
+ORDERS = 4
+
+
 class _Order:
     """Rare-first order of shingles, from the broadcast bucket levels."""
 
@@ -181,8 +187,14 @@ def postings(docs: DataFrame, order: _Order) -> DataFrame:
 
 
 def shared_lists(posts: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two groups have, with the group before in (n, gk) order."""
-    by = Window.partitionBy("token").orderBy("n", "gk")
+    """Postings of tokens that at least two groups have, with the group before in the list's order.
+
+    The order is one of ORDERS mixed ones within bands of size: equal orders
+    everywhere would give a large group of near copies the same neighbours in
+    all of its lists.
+    """
+    band = F.floor(F.log("n") * 8)  # sizes near each other stay together
+    by = Window.partitionBy("token").orderBy(band, F.xxhash64("gk", F.pmod("token", F.lit(ORDERS))), "gk", "n")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = {f"p_{c}": F.lag(c).over(by) for c in ("gk", "n", "pos")}
     rows = posts.withColumns({"low": F.min("gk").over(whole), "high": F.max("gk").over(whole), **before})
@@ -299,19 +311,35 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     within = sets.select(F.col("sid").alias("a"), F.lag("sid").over(Window.partitionBy("gk").orderBy("sid")).alias("b")).where("b is not null")
     first = _links(between.unionByName(within), docs, sets, settings, "jaccard-1")
 
-    # Round two: pairs of groups that hold different components.
-    found = components(first)
-    members = saved(
-        sets.select("gk", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("gk", "sid", F.coalesce("component", "sid").alias("comp")),
-        "jaccard-members",
-    )
-    kinds = members.select("gk", "comp").distinct()
-    token = Window.partitionBy("token")
-    mixed = (
-        lists.select("token", "gk", "n", "pos").join(kinds, "gk")
-        .withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low <> high").drop("low", "high")
+    # Round two: the best linked group of each list with the others there that it is not connected to.
+    def connected(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(component of nodes, members with their components, posting lists that hold different components)."""
+        found = components(links)
+        members = saved(
+            sets.select("gk", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("gk", "sid", F.coalesce("component", "sid").alias("comp")),
+            f"{name}-members",
+        )
+        token = Window.partitionBy("token")
+        kinds = members.groupBy("gk", "comp").agg(F.min("sid").alias("sid"))
+        mixed = (
+            lists.select("token", "gk", "n", "pos").join(kinds, "gk")
+            .withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low <> high").drop("low", "high")
+        )
+        return found, members, saved(mixed, f"{name}-mixed")
+
+    found, members, mixed = connected(first, "jaccard-1")
+    degree = first.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    hub = F.max(F.struct("links", "gk", "n", "pos", "comp", "sid")).over(Window.partitionBy("token"))
+    starred = mixed.join(degree, "sid").select("token", "gk", "n", "pos", "comp", "sid", "links").withColumn("hub", hub).where("links = hub.links and gk = hub.gk and sid = hub.sid").select("token", "hub")
+    spokes = mixed.join(starred.distinct(), "token").where(F.col("comp") != F.col("hub.comp")).select(
+        F.col("sid").alias("x"), F.col("hub.sid").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny"), F.col("pos").alias("px"), F.col("hub.pos").alias("py")
     )
-    mixed = saved(mixed, "jaccard-mixed")
+    star = _links(group_pairs(spokes, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), docs, sets, settings, "jaccard-2")
+    if not star.isEmpty():
+        first = saved(first.unionByName(star), "jaccard-links")
+        found, members, mixed = connected(first, "jaccard-2")
+
+    # Round three: pairs of groups that hold different components.
     left = mixed.select("token", *(F.col(c).alias(f"{c}1") for c in ("gk", "n", "pos", "comp")))
     right = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("gk", "n", "pos", "comp")))
     room = 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1
@@ -325,7 +353,7 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     one, two = (members.select(F.col("gk").alias(f"gk{i}"), F.col("comp").alias(f"comp{i}"), F.col("sid").alias(s)) for i, s in ((1, "a"), (2, "b")))
     across = pairs.join(one, ["gk1", "comp1"]).join(two, ["gk2", "comp2"]).select("a", "b")
     inside = one.join(two, F.col("gk1") == F.col("gk2")).where("comp1 < comp2").select("a", "b")
-    second = _links(across.unionByName(inside), docs, sets, settings, "jaccard-2")
+    second = _links(across.unionByName(inside), docs, sets, settings, "jaccard-3")
 
     if not second.isEmpty():
         found = components(first.unionByName(second))

@@ -19,7 +19,7 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes taken at once; one longer text makes one longer chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
