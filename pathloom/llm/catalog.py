@@ -14,6 +14,7 @@ MODULES = {
     "op6_quality_rules": "quality",
     "op7_ngram_jaccard_join": "jaccard",
     "op8_token_files": "tokenfiles",
+    "op9_license_scan": "licenses",
 }
 
 
