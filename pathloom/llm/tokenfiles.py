@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.storage import new_path, saved
+from pathloom.llm.tokencount import Counter, _byte_chars
 
 MAGIC = b"PLTOKEN1"
 _FOOTER = struct.Struct("<QQ8s")
@@ -54,7 +55,7 @@ class Settings:
     sample_docs: int = 2000
     dictionary_bytes: int = 65536
     level: int = 3
-    memory: int = 1_200_000
+    memory: int = 1_000_000
 
 
 class Encoder:
@@ -62,29 +63,61 @@ class Encoder:
 
     The vocabulary drops white space and never merges across it, so the ids of
     a text are those of its words in turn; special strings hold no white space.
+    New words are normalised and split once, and the library's model encodes
+    all new pieces together: it ends every piece with an end-of-word id, which
+    tells the pieces apart.  Words with special strings go through the whole
+    library.
     """
 
     def __init__(self, path: str, memory: int) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Counter(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.chars = _byte_chars()
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.is_last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.memory = memory
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.width = 2 if len(self.is_last) <= 1 << 16 else 4
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1, dtype=np.int64)
 
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their bounds)."""
+        plain = [p if p.isascii() else "".join([self.chars[b] for b in p.encode()]) for p in pieces]
+        found = [self.model.encode(" ".join(plain[i : i + 4000]), add_special_tokens=False).ids for i in range(0, len(plain), 4000)]
+        ids = np.concatenate([np.array(f, dtype=np.uint32) for f in found]) if found else np.empty(0, dtype=np.uint32)
+        return ids, np.concatenate(([0], np.flatnonzero(self.is_last[ids]) + 1))
+
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.array([len(i) for i in ids], dtype=np.int64)
-        total = int(lengths.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), total), dtype=np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths)])
-        self.used += total
+        pieces: dict[str, int] = {}
+        where: list[int] = []
+        sizes: list[int] = []
+        for word in words:
+            parts = self.words.split.findall(self.words.normalised(word))
+            sizes.append(len(parts))
+            where += [pieces.setdefault(p, len(pieces)) for p in parts]
+        ids, bounds = self._pieces(list(pieces))
+        at = np.array(where, dtype=np.int64)
+        length = bounds[at + 1] - bounds[at]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        found = ids[_ranges(bounds[at], length)]
+        self._store(found, ends[np.cumsum(sizes)] if len(sizes) else np.empty(0, dtype=np.int64), words)
+
+    def _learn_special(self, words: list[str]) -> None:
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        self._store(np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]), words)
+
+    def _store(self, ids: np.ndarray, ends: np.ndarray, words: list[str]) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat) // 2, len(ids)), dtype=np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + ends])
+        self.used += len(ids)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
@@ -93,14 +126,16 @@ class Encoder:
         new = set().union(*split) - self.known.keys() if split else set()
         full, used = len(self.known), self.used
         if new:
-            self._learn(sorted(new))
+            special = [w for w in new if "<|" in w]
+            self._learn(list(new.difference(special)))
+            if special:
+                self._learn_special(special)
         for words in split:
             at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
             begin, length = self.start[at], self.start[at + 1] - self.start[at]
             total = int(length.sum())
             out = np.empty(total + 1, dtype=np.uint32)
-            shift = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-            out[:total] = self.flat[shift + np.arange(total)]
+            out[:total] = self.flat[_ranges(begin, length)]
             out[total] = end_id
             yield out
         if len(self.known) > self.memory:  # new words serve this call only
@@ -109,6 +144,12 @@ class Encoder:
             self.used, self.start = used, self.start[: full + 1]
 
 
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (length[0] of them), then those of begin[1], and so on."""
+    before = np.cumsum(length) - length
+    return np.repeat(begin - before, length) + np.arange(int(length.sum()))
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -240,7 +281,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, settings: Settings = Se
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([ids[:4096].astype(width).tobytes()], pa.binary())})
 
     picked = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(sample, "doc_id long, ids binary")
-    dictionary = train_dictionary([bytes(r["ids"]) for r in picked.orderBy("doc_id").collect()], settings.dictionary_bytes)
+    samples = sorted((r["doc_id"], bytes(r["ids"])) for r in picked.collect())  # sample_docs rows of at most 4096 ids
+    dictionary = train_dictionary([ids for _, ids in samples], settings.dictionary_bytes)
     shared = spark.sparkContext.broadcast(dictionary)
     system, name = file_system(folder)
     system.create_dir(name, recursive=True)
