@@ -88,7 +88,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, their bounds)."""
-        plain = [p if p.isascii() else "".join([self.chars[b] for b in p.encode()]) for p in pieces]
+        plain = [p if p.isascii() and p.isprintable() else "".join([self.chars[b] for b in p.encode()]) for p in pieces]
         found = [self.model.encode(" ".join(plain[i : i + 4000]), add_special_tokens=False).ids for i in range(0, len(plain), 4000)]
         ids = np.concatenate([np.array(f, dtype=np.uint32) for f in found]) if found else np.empty(0, dtype=np.uint32)
         return ids, np.concatenate(([0], np.flatnonzero(self.is_last[ids]) + 1))
