@@ -15,6 +15,7 @@ MODULES = {
     "op7_ngram_jaccard_join": "jaccard",
     "op8_token_files": "tokenfiles",
     "op9_license_scan": "licenses",
+    "op10_sentencepiece": "pieces",
 }
 
 
