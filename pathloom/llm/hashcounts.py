@@ -20,12 +20,19 @@ _SCHEMA = "slice int, part int, counts binary"
 
 
 def _pack(slice_id: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    blob = zlib.compress(np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+    """A slice as its nonzero places and their counts, compressed."""
+    at = np.flatnonzero(counts)
+    raw = np.concatenate([np.diff(at, prepend=0), np.minimum(counts[at], 2**32 - 1)]).astype("<u4").tobytes()
     return pa.RecordBatch.from_pydict(
-        {"slice": pa.array([slice_id], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([blob], pa.binary())}
+        {"slice": pa.array([slice_id], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(raw, 1)], pa.binary())}
     )
 
 
+def _add(total: np.ndarray, blob: bytes) -> None:
+    raw = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
+    total[np.cumsum(raw[: len(raw) // 2])] += raw[len(raw) // 2 :]
+
+
 def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """How often each bucket (the top ``bits`` of a hash) occurs over all rows of ``df``."""
 
@@ -35,22 +42,26 @@ def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for h in hashes(batch):
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                at, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                total[at] += n
         if total.any():
             part = TaskContext.get().partitionId() // 256
             for i, counts in enumerate(np.split(total, SLICES)):
-                yield _pack(i, part, counts)
+                if counts.any():
+                    yield _pack(i, part, counts)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(b), dtype=np.uint32).astype(np.int64) for b in table.column("counts").to_pylist())
+        total = np.zeros((1 << bits) // SLICES, dtype=np.int64)
+        for blob in table.column("counts").to_pylist():
+            _add(total, blob)
         return pa.Table.from_batches([_pack(table.column("slice")[0].as_py(), 0, total)])
 
     once = df.mapInArrow(local, _SCHEMA).groupBy("slice", "part").applyInArrow(add, _SCHEMA)
-    rows = once.groupBy("slice").applyInArrow(add, _SCHEMA).collect()  # SLICES rows, 4 * 2**bits bytes in all at most
+    rows = once.groupBy("slice").applyInArrow(add, _SCHEMA).collect()  # SLICES rows, 8 * 2**bits bytes in all at most
     out = np.zeros(1 << bits, dtype=np.int64)
     size = (1 << bits) // SLICES
     for row in rows:
-        out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
+        _add(out[row["slice"] * size : (row["slice"] + 1) * size], row["counts"])
     return out
 
 

@@ -10,7 +10,8 @@ documents link when the Jaccard similarity of their sets reaches the limit.
    share one of.  Documents with equal prefix and size form a group, and
    groups, not documents, stand in the posting lists.
 3. Round one takes neighbours in each list, in one of a few mixed orders;
-   round two pairs groups with the one of the list that has most links by then;
+   round two pairs groups with the one of the list that has most links by then,
+   and in lists of large components with a few more;
    round three takes all pairs of groups that are not connected after those.
    Pairs are filtered by size, by position, by shared prefix shingles and by an
    exact bound from parity bitmaps; groups are expanded to their different
@@ -99,6 +100,10 @@ def enough(overlap: Column | int, nx: Column | int, ny: Column | int, percent: i
 
 #: Different orders of posting lists.
 ORDERS = 4
+#: Links of a list's best linked group from which on its groups also try others in round two.
+CROWD = 4
+#: How far before a group those stand in the list's mixed order.
+STEPS = (1, 2, 4, 8)
 
 
 class _Order:
@@ -312,9 +317,8 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     first = _links(between.unionByName(within), docs, sets, settings, "jaccard-1")
 
     # Round two: the best linked group of each list with the others there that it is not connected to.
-    def connected(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(component of nodes, members with their components, posting lists that hold different components)."""
-        found = components(links)
+    def connected(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Members of groups with their components, and the posting lists that hold different ones."""
         members = saved(
             sets.select("gk", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("gk", "sid", F.coalesce("component", "sid").alias("comp")),
             f"{name}-members",
@@ -325,19 +329,24 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             lists.select("token", "gk", "n", "pos").join(kinds, "gk")
             .withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low <> high").drop("low", "high")
         )
-        return found, members, saved(mixed, f"{name}-mixed")
+        return members, saved(mixed, f"{name}-mixed")
 
-    found, members, mixed = connected(first, "jaccard-1")
+    found = components(first)
+    members, mixed = connected(found, "jaccard-1")
     degree = first.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
-    hub = F.max(F.struct("links", "gk", "n", "pos", "comp", "sid")).over(Window.partitionBy("token"))
-    starred = mixed.join(degree, "sid").select("token", "gk", "n", "pos", "comp", "sid", "links").withColumn("hub", hub).where("links = hub.links and gk = hub.gk and sid = hub.sid").select("token", "hub")
-    spokes = mixed.join(starred.distinct(), "token").where(F.col("comp") != F.col("hub.comp")).select(
-        F.col("sid").alias("x"), F.col("hub.sid").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny"), F.col("pos").alias("px"), F.col("hub.pos").alias("py")
+    per_list = Window.partitionBy("token")
+    rated = mixed.join(degree, "sid", "left").withColumn("hub", F.max(F.struct("links", "gk", "n", "pos", "comp", "sid")).over(per_list)).where("hub.links is not null")
+    shuffled = per_list.orderBy(F.xxhash64("gk", "token"), "gk", "comp")
+    entry = F.struct("links", "gk", "n", "pos", "comp", "sid")
+    before = {f"before{i}": F.when(F.col("hub.links") >= CROWD, F.lag(entry, i).over(shuffled)) for i in STEPS}
+    spokes = rated.withColumns(before).select("sid", "n", "pos", "comp", F.explode(F.array("hub", *before)).alias("o")).where(F.col("comp") != F.col("o.comp")).select(
+        F.col("sid").alias("x"), F.col("o.sid").alias("y"), F.col("n").alias("nx"), F.col("o.n").alias("ny"), F.col("pos").alias("px"), F.col("o.pos").alias("py")
     )
     star = _links(group_pairs(spokes, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), docs, sets, settings, "jaccard-2")
+    linked = lambda known, more: components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     if not star.isEmpty():
-        first = saved(first.unionByName(star), "jaccard-links")
-        found, members, mixed = connected(first, "jaccard-2")
+        found = linked(found, star)
+        members, mixed = connected(found, "jaccard-2")
 
     # Round three: pairs of groups that hold different components.
     left = mixed.select("token", *(F.col(c).alias(f"{c}1") for c in ("gk", "n", "pos", "comp")))
@@ -356,7 +365,7 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     second = _links(across.unionByName(inside), docs, sets, settings, "jaccard-3")
 
     if not second.isEmpty():
-        found = components(first.unionByName(second))
+        found = linked(found, second)
     classes = sets.select("n", "gk", "sk", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
         "n", "gk", "sk", "sid", F.coalesce("component", "sid").alias("component")
     )
