@@ -141,6 +141,16 @@ def line_first(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", tex
     )
 
 
+def keeps(text: Column, rules: Rules = Rules()) -> Column:
+    """The verdict on one text as a column, for use as a filter."""
+    body = F.coalesce(text, F.lit(""))
+    failed = let(
+        words_of(body),
+        lambda w: F.when(F.size(w) < rules.min_words, F.lit(True)).otherwise(repeat_words(w) * 100 > F.size(w) * rules.max_repeat_percent),
+    )
+    return F.when(failed, F.lit(False)).otherwise(let(cleaned(body, rules), lambda c: c["lost"] * 100 <= c["n_chars"] * rules.max_lost_percent))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6 over the whole ``documents`` table."""
     return line_first(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("clean_text")

@@ -174,6 +174,30 @@ def find_secrets(docs: DataFrame, model: Model, settings: Settings = Settings(),
     )
 
 
+def redacted(text: Column, model: Model, settings: Settings = Settings(), mark: str = "[secret]") -> Column:
+    """The text with every span of a secret replaced by ``mark``; overlapping spans count as one."""
+
+    def cut(spans: Column, body: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substr(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+            grown = F.concat(acc["parts"], F.array(gap, F.lit(mark)))
+            return (
+                F.when(s["stop"] <= acc["at"], acc)
+                .when(s["start"] < acc["at"], F.struct(s["stop"].alias("at"), acc["parts"].alias("parts")))
+                .otherwise(F.struct(s["stop"].alias("at"), grown.alias("parts")))
+            )
+
+        rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(body, (acc["at"] + 1).cast("int")))
+        return let(F.aggregate(spans, zero, step), rest)
+
+    def found(body: Column) -> Column:
+        return let(base_spans(body), lambda b: in_order(F.concat(b, random_spans(body, b, model, settings))))
+
+    return let(text, lambda body: let(found(body), lambda spans: F.when(F.size(spans) == 0, body).otherwise(cut(spans, body))))
+
+
 def default_model(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Trained on generated digests and on identifiers from a bounded sample of documents."""
     samples = random_samples(docs.sparkSession, settings.sample_random).withColumn("label", F.lit(1))
