@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathloom.plans import graph_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(graph_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(graph_queries.ORACLES)
