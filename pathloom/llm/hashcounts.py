@@ -19,18 +19,22 @@ SLICES = 32
 _SCHEMA = "slice int, part int, counts binary"
 
 
-def _pack(slice_id: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    """A slice as its nonzero places and their counts, compressed."""
-    at = np.flatnonzero(counts)
-    raw = np.concatenate([np.diff(at, prepend=0), np.minimum(counts[at], 2**32 - 1)]).astype("<u4").tobytes()
+def _pack(slice_id: int, part: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Places of one slice and their counts, compressed."""
+    raw = np.concatenate([np.diff(at, prepend=0), np.minimum(n, 2**32 - 1)]).astype("<u4").tobytes()
     return pa.RecordBatch.from_pydict(
         {"slice": pa.array([slice_id], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(raw, 1)], pa.binary())}
     )
 
 
-def _add(total: np.ndarray, blob: bytes) -> None:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
-    total[np.cumsum(raw[: len(raw) // 2])] += raw[len(raw) // 2 :]
+    return np.cumsum(raw[: len(raw) // 2]), raw[len(raw) // 2 :]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, back = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+    return at, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(at)).astype(np.int64)
 
 
 def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
@@ -39,29 +43,33 @@ def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << bits, dtype=np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for h in hashes(batch):
-                at, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                total[at] += n
-        if total.any():
-            part = TaskContext.get().partitionId() // 256
-            for i, counts in enumerate(np.split(total, SLICES)):
-                if counts.any():
-                    yield _pack(i, part, counts)
+                parts.append(np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True))
+                held += len(parts[-1][0])
+                if held > 1 << bits:  # what is held stays within twice the number of buckets
+                    parts = [_merged(parts)]
+                    held = 0
+        if parts:
+            at, n = _merged(parts)
+            part, size = TaskContext.get().partitionId() // 256, (1 << bits) // SLICES
+            bounds = np.searchsorted(at, np.arange(SLICES + 1) * size)
+            for i in range(SLICES):
+                if bounds[i] < bounds[i + 1]:
+                    yield _pack(i, part, at[bounds[i] : bounds[i + 1]] - i * size, n[bounds[i] : bounds[i + 1]])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // SLICES, dtype=np.int64)
-        for blob in table.column("counts").to_pylist():
-            _add(total, blob)
-        return pa.Table.from_batches([_pack(table.column("slice")[0].as_py(), 0, total)])
+        return pa.Table.from_batches([_pack(table.column("slice")[0].as_py(), 0, *_merged([_unpack(b) for b in table.column("counts").to_pylist()]))])
 
     once = df.mapInArrow(local, _SCHEMA).groupBy("slice", "part").applyInArrow(add, _SCHEMA)
     rows = once.groupBy("slice").applyInArrow(add, _SCHEMA).collect()  # SLICES rows, 8 * 2**bits bytes in all at most
     out = np.zeros(1 << bits, dtype=np.int64)
     size = (1 << bits) // SLICES
     for row in rows:
-        _add(out[row["slice"] * size : (row["slice"] + 1) * size], row["counts"])
+        at, n = _unpack(row["counts"])
+        out[row["slice"] * size + at] = n
     return out
 
 

@@ -76,21 +76,25 @@ def _fold(values: np.ndarray, salt: int) -> int:
     return int(total.astype(np.int64)[0])
 
 
-def parity_bitmap(shingles: np.ndarray) -> bytes:
+def parity_bitmap(shingles: np.ndarray) -> list[int]:
     """Parity of the number of shingles per bucket, in the least power of two of bits over twice their number, 256 at least."""
     bits = max(256, 1 << int(2 * max(len(shingles), 1)).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def overlap_bound(x: bytes, nx: int, y: bytes, ny: int) -> int:
-    """The most shingles that both sets can share: each set bit of the difference is a shingle in one of them only."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
+def overlap_bound(x: Column, nx: Column, y: Column, ny: Column) -> Column:
+    """The most shingles that both sets can share: each set bit of the difference is a shingle in one of them only.
+
+    The longer bitmap is folded onto the shorter, which halves it; sizes near
+    each other need that once at most, and other pairs are bounded by the
+    smaller set.
+    """
+    half = lambda b: F.zip_with(F.slice(b, F.lit(1), (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2).cast("int") + 1, (F.size(b) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    a = F.when(F.size(x) == 2 * F.size(y), half(x)).otherwise(x)
+    b = F.when(F.size(y) == 2 * F.size(x), half(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return F.when((F.size(x) > 2 * F.size(y)) | (F.size(y) > 2 * F.size(x)), F.least(nx, ny)).otherwise(((nx + ny - apart) / 2).cast("bigint"))
 
 
 def enough(overlap: Column | int, nx: Column | int, ny: Column | int, percent: int):
@@ -150,13 +154,13 @@ def described(docs: DataFrame, order: _Order) -> DataFrame:
                 n.append(len(s))
                 gk.append(_fold(order.prefix(s), len(s)))
                 sk.append(_fold(s, 7))
-                bits.append(parity_bitmap(s) if len(s) else None)
+                bits.append(parity_bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gk, pa.int64()), pa.array(sk, pa.int64()), pa.array(bits, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(gk, pa.int64()), pa.array(sk, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "gk", "sk", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, gk long, sk long, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, gk long, sk long, bits array<long>")
 
 
 def postings(docs: DataFrame, order: _Order) -> DataFrame:
@@ -224,16 +228,11 @@ def group_pairs(met: DataFrame, percent: int) -> DataFrame:
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of set ids whose bitmaps allow the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            kept = [(a, b) for a, b, na, nb, xa, xb in rows if enough(overlap_bound(xa, na, xb, nb), na, nb, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
     one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
     two = one.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
     near = two.where(near_sizes(F.col("na"), F.col("nb"), percent))
-    return near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+    bound = overlap_bound(F.col("xa"), F.col("na"), F.col("xb"), F.col("nb"))
+    return near.where(enough(bound, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _id_hash(values: np.ndarray) -> np.ndarray:
@@ -257,7 +256,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
             yield batch.filter(pa.array(table[at]))
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, text string")
-    return some.join(ids, "id", "left_semi")
+    return some.join(ids.distinct(), "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -289,7 +288,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, settings: Setting
     near = saved(_bounded(pairs, sets, settings.percent), f"{name}-near")
     if near.isEmpty():
         return near
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    ids = near.select(F.explode(F.array("a", "b")).alias("id"))
     texts = saved(texts_of(docs, ids, settings), f"{name}-texts")
     return saved(_verified(near, texts, settings), f"{name}-links")
 

@@ -55,7 +55,7 @@ class Settings:
     sample_docs: int = 2000
     dictionary_bytes: int = 65536
     level: int = 3
-    memory: int = 1_000_000
+    memory: int = 500_000
 
 
 class Encoder:
