@@ -30,8 +30,8 @@ def after_midnight(start: Column, end: Column) -> Column:
 
 
 def bit_set(flags: Column, i: Column) -> Column:
-    return flags.bitwiseOR(F.shiftleft(F.lit(1).cast("bigint"), i.cast("int")))
+    return flags.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int")))
 
 
 def bit_get(flags: Column, i: Column) -> Column:
-    return F.shiftright(flags, i.cast("int")).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", flags, i.cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def arc_flags(firsts: DataFrame, parts: DataFrame) -> DataFrame:
     """(source, first, flags): bit p is set when an optimal path to part p starts with the edge; parts below 63."""
-    return firsts.join(parts, "node").groupBy("source", "first").agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("part"))).alias("flags"))
+    return firsts.join(parts, "node").groupBy("source", "first").agg(F.bit_or(F.expr("shiftleft(1L, int(part))")).alias("flags"))
 
 
 def boxes(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -26,13 +26,13 @@ def closure_labels(firsts: DataFrame, nodes: DataFrame, parts: DataFrame, ranks:
     """Flags, box, id range and rank range of every first edge, in one aggregation."""
     wide = firsts.join(nodes.withColumnRenamed("id", "node"), "node").join(parts, "node").join(ranks, "node")
     return wide.groupBy("source", "first").agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("part"))).alias("flags"), *_box(),
+        F.bit_or(F.expr("shiftleft(1L, int(part))")).alias("flags"), *_box(),
         F.min("node").alias("id1"), F.max("node").alias("id2"), F.min("rank").alias("rank1"), F.max("rank").alias("rank2"),
     )
 
 
 def keeps_part(flags: Column, part: Column) -> Column:
-    return F.shiftright(flags, part.cast("int")).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", flags, part.cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def keeps_box(x: Column, y: Column) -> Column:

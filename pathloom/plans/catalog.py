@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pathloom.plans import graph_queries
+from pathloom.plans import graph_queries, grid_queries, result_queries
+
+MODULES = (graph_queries, grid_queries, result_queries)
 
 
 def queries() -> dict:
-    return dict(graph_queries.QUERIES)
+    return {name: function for module in MODULES for name, function in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(graph_queries.ORACLES)
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

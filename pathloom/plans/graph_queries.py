@@ -89,9 +89,9 @@ def trees_trade(spark, sf_dir):
     return search.relax(cut(shapes.trade(spark, sf_dir)), _nation_sources(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, walk AS (SELECT qid, node AS target, node AS at, CAST(node AS VARCHAR) AS path FROM r{K}
-UNION ALL SELECT walk.qid, target, p.pred, p.pred || '-' || path FROM walk JOIN p ON p.qid = walk.qid AND p.node = walk.at)
-SELECT qid, target, path FROM walk WHERE at = qid""")
+@query(f"""WITH RECURSIVE {_TREE}, walk AS (SELECT qid, node AS target, node AS here, CAST(node AS VARCHAR) AS path FROM r{K}
+UNION ALL SELECT walk.qid, target, p.pred, p.pred || '-' || path FROM walk JOIN p ON p.qid = walk.qid AND p.node = walk.here)
+SELECT qid, target, path FROM walk WHERE here = qid""")
 def paths_trade(spark, sf_dir):
     """Paths followed through predecessors."""
     trees = search.relax(cut(shapes.trade(spark, sf_dir)), _nation_sources(spark, sf_dir))
