@@ -33,7 +33,9 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,7 +57,7 @@ NEVER = 2**31 - 1
 class Settings:
     """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice."""
 
-    chunk_chars: int = 16_000_000
+    chunk_chars: int = 8_000_000
     max_unit: int = 48
 
 
@@ -74,7 +76,7 @@ class Vocabulary:
     byte_ids: list[int]
     text_of_id: list[bytes]
     key: dict[str, int] = field(default_factory=dict)
-    borders: set[str] = field(default_factory=set)
+    border_codes: np.ndarray | None = None
     right: list[list[int]] = field(default_factory=list)
     left: list[list[int]] = field(default_factory=list)
     longest: int = 1
@@ -111,7 +113,7 @@ class Vocabulary:
         """Merge trees of all pieces, their spines, and the pairs of characters that pieces span."""
         self.key = {p: k for k, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces))
-        self.borders = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.border_codes = np.unique(np.array([ord(p[i]) << 21 | ord(p[i + 1]) for p in self.pieces for i in range(len(p) - 1)], dtype=np.int64))
         parts: list[tuple[int, int] | None] = []
         for piece in self.pieces[: self.n_merges]:
             parts.append(self._last_merge(piece))
@@ -188,14 +190,25 @@ class Vocabulary:
                 i += 1
         return [self.runs[s] for s in symbols]
 
-    def units(self, word: str) -> list[str]:
-        """A word cut at the borders that no piece spans."""
-        out, first = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.borders:
-                out.append(word[first:i])
-                first = i
-        out.append(word[first:])
+    def units(self, words: list[str]) -> list[list[str]]:
+        """Every word, a space before it, cut at the borders that no piece spans."""
+        points = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        pair = points[:-1] << 21 | points[1:]
+        known = self.border_codes
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        cuts = np.flatnonzero(known[at] != pair) + 1
+        begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        first = np.searchsorted(cuts, begins, "right")
+        last = np.append(np.searchsorted(cuts, begins[1:], "left"), len(cuts))
+        cuts = cuts.tolist()
+        out = []
+        for word, begin, a, b in zip(words, begins.tolist(), first.tolist(), last.tolist(), strict=True):
+            word = SPACE + word
+            if a == b:
+                out.append([word])
+            else:
+                places = [0, *(c - begin for c in cuts[a:b]), len(word)]
+                out.append([word[i:j] for i, j in zip(places, places[1:])])
         return out
 
 
@@ -211,7 +224,7 @@ def fold(length: Column, codes: Column, right: Column, left: Column, ids: Column
     )
     state = "array<struct<s:int,k:int>>"
 
-    def kept(edges: Column) -> Column:
+    def kept(edges: Column, wide: Column) -> Column:
         def clash(before: Column, now: Column, r: Column, f: Column) -> Column:
             def crosses(c: Column) -> Column:
                 x, y = 2 * (now["s"] - c["s"] - 1), 2 * (c["e"] - now["s"] - 1)
@@ -220,7 +233,7 @@ def fold(length: Column, codes: Column, right: Column, left: Column, ids: Column
                     (c["s"] < now["s"]) & (c["e"] > now["s"]) & (c["e"] <= now["e"]) & (c["s"] >= before["s"])
                 ) & F.when((r[x] != -2) & (f[y] != -2), (t < r[x + 1]) & (t <= f[y + 1])).otherwise(F.lit(False))
 
-            return F.exists(edges, lambda c: F.when((c["s"] < now["s"]) & (c["e"] > now["s"]), crosses(c)).otherwise(F.lit(False)))
+            return F.exists(wide, lambda c: F.when((c["s"] < now["s"]) & (c["e"] > now["s"]), crosses(c)).otherwise(F.lit(False)))
 
         def step(acc: Column, now: Column) -> Column:
             fits = F.when(F.size(acc) > now["e"], F.lit(False)).when(now["s"] == 0, F.lit(True)).otherwise(
@@ -241,7 +254,8 @@ def fold(length: Column, codes: Column, right: Column, left: Column, ids: Column
         )
         return walked["ids"]
 
-    return let(F.transform(F.sort_array(codes), edge), lambda edges: let(kept(edges), back))
+    # Only pieces of two characters or more can lie across a border.
+    return let(F.transform(F.sort_array(codes), edge), lambda edges: let(F.filter(edges, lambda c: c["e"] - c["s"] > 1), lambda wide: let(kept(edges, wide), back)))
 
 
 def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -250,10 +264,9 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pieces = piece_table(spark, vocabulary)
     longest = vocabulary.longest
     numbered = units.select("unit", F.length("unit").alias("n"))
-    parts = numbered.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") * longest - 1)).alias("x")).select(
-        "unit", "n", F.floor(F.col("x") / longest).cast("int").alias("s"), (F.col("x") % longest + 1).alias("w")
-    )
-    parts = parts.where("s + w <= n").select("unit", "n", "s", "w", F.substr("unit", F.col("s") + 1, F.col("w")).alias("piece"))
+    starts = numbered.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    parts = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("w"))
+    parts = parts.select("unit", "n", "s", "w", F.substr("unit", F.col("s") + 1, F.col("w")).alias("piece"))
     code = F.shiftleft((F.col("s") + F.col("w")).cast("bigint"), 40) + F.shiftleft(F.col("s").cast("bigint"), 20) + F.col("key")
     edges = parts.join(F.broadcast(pieces.select("piece", "key")), "piece").groupBy("unit", "n").agg(F.collect_list(code).alias("codes"))
     return edges.select("unit", fold(F.col("n"), F.col("codes"), *(_constant(x) for x in (vocabulary.right, vocabulary.left, [[i] for i in vocabulary.ids]))).alias("ids"))
@@ -271,22 +284,25 @@ class Cutter:
         self.vocabulary = vocabulary
         self.number: dict[str, int] = {SPACE: 0}
         self.known: dict[str, int] = {"": 0}
-        self.flat: list[int] = [0]
-        self.ends: list[int] = [1]
+        self.flat = array("I", [0])
+        self.ends = array("I", [1])
 
     def cut(self, texts: list[str]) -> list[np.ndarray]:
         """Unit numbers of every text; 0 is a space that no word follows at once."""
         split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        for word in set().union(*split) - self.known.keys() if split else ():
-            self.known[word] = len(self.known)
-            self.flat += [self.number.setdefault(u, len(self.number)) for u in self.vocabulary.units(SPACE + word)]
-            self.ends.append(len(self.flat))
-        flat, ends = np.array(self.flat, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
+        new = list(set().union(*split) - self.known.keys()) if split else []
+        if new:
+            for word, units in zip(new, self.vocabulary.units(new), strict=True):
+                self.known[word] = len(self.known)
+                self.flat.extend([self.number.setdefault(u, len(self.number)) for u in units])
+                self.ends.append(len(self.flat))
+        flat, ends = np.frombuffer(self.flat, dtype=np.uint32), np.frombuffer(self.ends, dtype=np.uint32).astype(np.int64)
         out = []
         for words in split:
             at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
             begin = np.where(at > 0, ends[at - 1], 0)
             out.append(flat[_ranges(begin, ends[at] - begin)])
+        del flat, ends  # the arrays can grow again
         return out
 
 
@@ -386,6 +402,17 @@ def decode_ids(ids: np.ndarray, text_of_id: list[bytes]) -> bytes:
     return raw[1:] if raw[:1] == b" " else raw
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
     """doc_id, ids and whether decoding gives the text back, for every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -394,15 +421,12 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
     folder = new_path(spark, "pieces")
     system, name = file_system(folder)
     system.create_dir(name, recursive=True)
-    cut = saved(cut_texts(docs, shared, folder, settings), "pieces-units")
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
+        cut = saved(cut_texts(docs, shared, folder, settings), "pieces-units")
     short = (F.length("unit") > 1) & (F.length("unit") <= settings.max_unit)
-    conf = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, str(1 << 20))  # edges of a unit arrive together; a sort would only cost
-    try:
+    # Edges of a unit arrive together, so a sort of them would only cost.
+    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20)):
         known = saved(dictionary(cut.where(short).select("unit").distinct(), vocabulary), "pieces-dictionary")
-    finally:
-        spark.conf.set(conf, before)
     met = cut.join(known, "unit", "left").select("chunk", "number", "unit", "ids")
 
     def assemble(table: pa.Table) -> pa.Table:
