@@ -31,6 +31,19 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)
 
 
+# Words of ordinary identifiers, labelled ordinary beside those of the corpus.
+IDENTIFIER_WORDS = (
+    "account add array async base block buffer build byte cache call channel check class client close code column command config connect content "
+    "context copy count create current data database date debug default delete device document element end engine entry error event field file "
+    "filter find format function get group handler hash header height host id image index info init input item key label length level line link "
+    "list load local lock log main manager map max message method min mode model module name network new node number object offset open option "
+    "order output page parent parser path point position prefix process property query queue range read record reference remove request reset "
+    "resource response result return root route row run sample schema score search section send server service session set size sort source "
+    "start state status stop storage stream string style system table target task template test text thread time title token total tree type "
+    "update upload user util valid value vector version view width window word worker write"
+)
+
+
 @dataclass(frozen=True)
 class Model:
     """llr[a * len(ALPHABET) + b]: milli-nats for random over ordinary of b after a."""
@@ -82,6 +95,15 @@ def ordinary_samples(docs: DataFrame, n_docs: int, key: str = "doc_id", text: st
     return words.where(F.size("w") >= 2).select(F.explode(F.flatten(pair)).alias("value"))
 
 
+def identifier_samples(spark: SparkSession) -> DataFrame:
+    """Labelled negatives: pairs of the fixed words in usual styles."""
+    words = IDENTIFIER_WORDS.split()
+    n = len(words)
+    pairs = [(words[i], words[(i * k + k) % n]) for i in range(n) for k in (1, 3, 7, 11)]
+    values = [v for a, b in pairs for v in (f"{a}_{b}", f"{a}{b.title()}", f"{a}-{b}", f"{a.upper()}_{b.upper()}", f"{a}/{b}_{len(a)}")]
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
 def train(samples: DataFrame, smoothing: float = 0.5) -> Model:
     """First-order models of both labels from (value, label 1 random / 0 ordinary).
 
@@ -201,7 +223,8 @@ def redacted(text: Column, model: Model, settings: Settings = Settings(), mark:
 def default_model(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Trained on generated digests and on identifiers from a bounded sample of documents."""
     samples = random_samples(docs.sparkSession, settings.sample_random).withColumn("label", F.lit(1))
-    return train(samples.unionByName(ordinary_samples(docs, settings.sample_docs).withColumn("label", F.lit(0))), settings.smoothing)
+    ordinary = ordinary_samples(docs, settings.sample_docs).unionByName(identifier_samples(docs.sparkSession)).withColumn("label", F.lit(0))
+    return train(samples.unionByName(ordinary), settings.smoothing)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
