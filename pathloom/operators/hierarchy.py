@@ -23,7 +23,7 @@ def _witnessed(candidates: DataFrame, rest: DataFrame, hops: int) -> DataFrame:
     return candidates.join(best, ["src", "dst"], "left").where("g is null or g >= wt").select("src", "dst", "wt")
 
 
-def contract(edges: DataFrame, ranks: DataFrame, hops: int = 3) -> DataFrame:
+def contract(edges: DataFrame, ranks: DataFrame, hops: int = 2) -> DataFrame:
     """edges and shortcuts (src, dst, wt, via) when nodes are contracted by rank.
 
     Nodes of equal rank must not be neighbours; they are contracted together,
@@ -41,7 +41,7 @@ def contract(edges: DataFrame, ranks: DataFrame, hops: int = 3) -> DataFrame:
         done = left.join(now.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(left.join(now.withColumnRenamed("node", "dst"), "dst", "left_semi")).select(*all_edges.columns)
         rest = left.join(now.withColumnRenamed("node", "src"), "src", "left_anti").join(now.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*all_edges.columns)
         paths = into.join(outof, "v").where("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("w1") + F.col("w2")).alias("wt"), F.col("v").alias("via"))).alias("s"))
-        candidates = paths.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s.wt").alias("wt"), F.col("s.via").alias("via"))
+        candidates = cut(paths.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s.wt").alias("wt"), F.col("s.via").alias("via")))
         needed = candidates.join(_witnessed(candidates.drop("via"), rest, hops).select("src", "dst"), ["src", "dst"], "left_semi").select(*all_edges.columns)
         both = rest.unionByName(needed).groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s"))
         out = done if out is None else out.unionByName(done)

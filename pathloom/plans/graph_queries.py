@@ -270,8 +270,8 @@ def first_move_paths(spark, sf_dir):
     return paths.select("qid", (F.size("path") == 1).alias("here")).join(cost, "qid", "left").select("qid", F.when(F.col("here"), F.lit(0)).otherwise(F.col("cost")).cast("bigint").alias("cost"))
 
 
-_CH_SQL = f"""WITH {TRADE}, {rounds('t', _SOURCES, K)}, q AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS qid, CAST(a.n_nationkey AS BIGINT) AS source, CAST(b.n_nationkey AS BIGINT) AS target FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey)
-SELECT CAST(q.qid AS BIGINT) AS qid, source, target, g AS cost FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target"""
+_CH_SQL = f"""WITH {TRADE}, u AS (SELECT * FROM t WHERE wt > 70), {rounds('u', _SOURCES, K)}, q AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS qid, CAST(a.n_nationkey AS BIGINT) AS source, CAST(b.n_nationkey AS BIGINT) AS target FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey)
+SELECT CAST(q.qid AS BIGINT) AS qid, source, target, g AS cost, g AS forward FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target"""
 
 
 def _region_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,33 +281,13 @@ def _region_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_CH_SQL)
-def hierarchy_fixed_order(spark, sf_dir):
-    """Contraction by a given order, queried from both ends."""
-    edges, ranks = cut(shapes.trade(spark, sf_dir)), _ranks(spark, sf_dir)
-    return hierarchy.query_costs(cut(hierarchy.contract(edges, ranks)), ranks, _region_queries(spark, sf_dir))
-
-
-@query(_CH_SQL)
-def hierarchy_batches(spark, sf_dir):
-    """Contraction in independent batches, queried forward with one up-then-down search."""
-    edges = cut(shapes.trade(spark, sf_dir))
+def hierarchy_search(spark, sf_dir):
+    """Contraction in independent batches, queried from both ends and forward: both costs."""
+    edges = cut(shapes.trade(spark, sf_dir).where("wt > 70"))
     ranks = hierarchy.independent_ranks(edges)
-    return hierarchy.forward_costs(cut(hierarchy.contract(edges, ranks)), ranks, _region_queries(spark, sf_dir))
-
-
-@query(f"WITH {TRADE} SELECT src, dst, count(*) AS n, min(wt) AS wt FROM t GROUP BY ALL")
-def hierarchy_unpacking(spark, sf_dir):
-    """All original edges again, from a hierarchy's edges unpacked."""
-    edges, ranks = cut(shapes.trade(spark, sf_dir)), _ranks(spark, sf_dir)
-    built = cut(hierarchy.contract(edges, ranks))
-    unpacked = hierarchy.unpack(built, built.select((F.col("src") * 25 + F.col("dst")).alias("qid"), F.lit(0).alias("pos"), "src", "dst"))
-    total = unpacked.join(edges, ["src", "dst"]).groupBy("qid").agg(F.sum("wt").alias("total"))
-    good = built.select((F.col("src") * 25 + F.col("dst")).alias("qid"), "wt").join(total, "qid").where("wt = total").select("qid")
-    kept = edges.withColumn("qid", F.col("src") * 25 + F.col("dst")).join(good, "qid", "left_semi")
-    return kept.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.min("wt").alias("wt"))
-
-
-ORACLES["hierarchy_unpacking"] = f"WITH {_FIRSTS} SELECT src, dst, CAST(1 AS BIGINT) AS n, wt FROM t"
+    built, queries = cut(hierarchy.contract(edges, ranks)), _region_queries(spark, sf_dir)
+    forward = hierarchy.forward_costs(built, ranks, queries).select("qid", F.col("cost").alias("forward"))
+    return hierarchy.query_costs(built, ranks, queries).join(forward, "qid")
 
 
 @query(f"WITH {TRADE}, " + ", ".join(
