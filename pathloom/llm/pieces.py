@@ -30,7 +30,6 @@ the text back unless it holds U+2581, which the model reads as a space.
 
 from __future__ import annotations
 
-import json
 import uuid
 import zlib
 from array import array
@@ -55,10 +54,11 @@ NEVER = 2**31 - 1
 
 @dataclass(frozen=True)
 class Settings:
-    """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice."""
+    """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice. task_units: units of a lattice task."""
 
-    chunk_chars: int = 8_000_000
+    chunk_chars: int = 12_000_000
     max_unit: int = 48
+    task_units: int = 20_000
 
 
 @dataclass
@@ -213,68 +213,65 @@ class Vocabulary:
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """(piece, key): one row per piece; its size is the vocabulary's."""
-    return spark.createDataFrame(list(zip(vocabulary.pieces, range(len(vocabulary.pieces)), strict=True)), "piece string, key long")
+    """(piece, key, about): one row per piece; its size is the vocabulary's.
 
+    ``about`` is the right spine, the left spine and the id, one after another.
+    """
+    rows = [(p, k, vocabulary.right[k] + vocabulary.left[k] + [vocabulary.ids[k]]) for k, p in enumerate(vocabulary.pieces)]
+    return spark.createDataFrame(rows, "piece string, key int, about array<int>")
+
+
+def fold(length: Column, edges: Column) -> Column:
+    """Ids of one unit from its edges, struct<e, s, k, about> in order of e and s."""
+    state = "array<struct<s:int,id:int,about:array<int>>>"
 
-def fold(length: Column, codes: Column, right: Column, left: Column, ids: Column) -> Column:
-    """Ids of one unit from its sorted edge codes (end, start, key packed)."""
-    edge = lambda c: F.struct(
-        F.shiftright(c, 40).cast("int").alias("e"), (F.shiftright(c, 20).bitwiseAND(F.lit(0xFFFFF))).cast("int").alias("s"), c.bitwiseAND(F.lit(0xFFFFF)).cast("int").alias("k")
-    )
-    state = "array<struct<s:int,k:int>>"
+    def kept(all_edges: Column, wide: Column) -> Column:
+        def clash(before: Column, now: Column, own: Column) -> Column:
+            """Whether a piece across the border would have been merged before both neighbours were built."""
 
-    def kept(edges: Column, wide: Column) -> Column:
-        def clash(before: Column, now: Column, r: Column, f: Column) -> Column:
             def crosses(c: Column) -> Column:
-                x, y = 2 * (now["s"] - c["s"] - 1), 2 * (c["e"] - now["s"] - 1)
+                x, y = 2 * (now["s"] - c["s"] - 1), own + 2 * (c["e"] - now["s"] - 1)
+                r, f = before["about"], now["about"]
                 t = F.greatest(c["k"], r[x], f[y])
-                return (
-                    (c["s"] < now["s"]) & (c["e"] > now["s"]) & (c["e"] <= now["e"]) & (c["s"] >= before["s"])
-                ) & F.when((r[x] != -2) & (f[y] != -2), (t < r[x + 1]) & (t <= f[y + 1])).otherwise(F.lit(False))
+                return F.when((c["e"] <= now["e"]) & (c["s"] >= before["s"]), F.when((r[x] != -2) & (f[y] != -2), (t < r[x + 1]) & (t <= f[y + 1])).otherwise(F.lit(False))).otherwise(F.lit(False))
 
             return F.exists(wide, lambda c: F.when((c["s"] < now["s"]) & (c["e"] > now["s"]), crosses(c)).otherwise(F.lit(False)))
 
         def step(acc: Column, now: Column) -> Column:
-            fits = F.when(F.size(acc) > now["e"], F.lit(False)).when(now["s"] == 0, F.lit(True)).otherwise(
-                let(acc[now["s"]], lambda b: ~clash(b, now, right[b["k"]], left[now["k"]]))
-            )
-            return F.when(fits, F.concat(acc, F.array(F.struct(now["s"], now["k"]).cast("struct<s:int,k:int>")))).otherwise(acc)
+            own = 2 * (now["e"] - now["s"])  # numbers of each of its spines
+            fits = F.when(F.size(acc) > now["e"], F.lit(False)).when(now["s"] == 0, F.lit(True)).otherwise(let(acc[now["s"]], lambda b: ~clash(b, now, own)))
+            entry = F.struct(now["s"].alias("s"), now["about"][2 * own].alias("id"), now["about"].alias("about"))
+            return F.when(fits, F.concat(acc, F.array(entry)).cast(state)).otherwise(acc)
 
-        return F.aggregate(edges, F.expr(f"cast(array(struct(0, -1)) as {state})"), step)
+        return F.aggregate(all_edges, F.expr(f"cast(array(struct(0, -1, array())) as {state})"), step)
 
     def back(path: Column) -> Column:
         zero = F.struct(length.alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
         walked = F.aggregate(
             F.sequence(F.lit(1), length),
             zero,
-            lambda a, _: F.when(a["at"] == 0, a).otherwise(
-                F.struct(path[a["at"]]["s"].alias("at"), F.concat(ids[path[a["at"]]["k"]], a["ids"]).alias("ids"))
-            ),
+            lambda a, _: F.when(a["at"] == 0, a).otherwise(F.struct(path[a["at"]]["s"].alias("at"), F.concat(F.array(path[a["at"]]["id"]), a["ids"]).alias("ids"))),
         )
         return walked["ids"]
 
     # Only pieces of two characters or more can lie across a border.
-    return let(F.transform(F.sort_array(codes), edge), lambda edges: let(F.filter(edges, lambda c: c["e"] - c["s"] > 1), lambda wide: let(kept(edges, wide), back)))
+    return let(F.sort_array(edges), lambda ordered: let(F.filter(ordered, lambda c: c["e"] - c["s"] > 1), lambda wide: let(kept(ordered, wide), back)))
 
 
 def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, ids) of distinct units: explode, equi-join, group, fold."""
-    spark = units.sparkSession
-    pieces = piece_table(spark, vocabulary)
+    """(unit, ids) of distinct units: explode, equi-join, group, fold.
+
+    Units come spread by hash; explode and the broadcast join keep that, so the
+    group needs no second shuffle.
+    """
     longest = vocabulary.longest
     numbered = units.select("unit", F.length("unit").alias("n"))
     starts = numbered.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     parts = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("w"))
-    parts = parts.select("unit", "n", "s", "w", F.substr("unit", F.col("s") + 1, F.col("w")).alias("piece"))
-    code = F.shiftleft((F.col("s") + F.col("w")).cast("bigint"), 40) + F.shiftleft(F.col("s").cast("bigint"), 20) + F.col("key")
-    edges = parts.join(F.broadcast(pieces.select("piece", "key")), "piece").groupBy("unit", "n").agg(F.collect_list(code).alias("codes"))
-    return edges.select("unit", fold(F.col("n"), F.col("codes"), *(_constant(x) for x in (vocabulary.right, vocabulary.left, [[i] for i in vocabulary.ids]))).alias("ids"))
-
-
-def _constant(lists: list[list[int]]) -> Column:
-    """A constant array of arrays: parsed once, when the plan is made."""
-    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "array<array<int>>")
+    parts = parts.select("unit", "n", "s", (F.col("s") + F.col("w")).alias("e"), F.substr("unit", F.col("s") + 1, F.col("w")).alias("piece"))
+    met = parts.join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece")
+    edges = met.groupBy("unit", "n").agg(F.collect_list(F.struct("e", "s", F.col("key").alias("k"), "about")).alias("edges"))
+    return edges.select("unit", fold(F.col("n"), F.col("edges")).alias("ids"))
 
 
 class Cutter:
@@ -348,10 +345,10 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
         cutter, size = Cutter(vocabulary.value), 0
 
         def close() -> pa.RecordBatch:
-            chunk = uuid.uuid4().hex
+            chunk = uuid.uuid4().int >> 65
             write_bytes(f"{folder}/{chunk}", iter([_chunk_bytes(*held)]))
             units = list(cutter.number)
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(units)), pa.array(range(len(units)), pa.int32()), pa.array(units)], names=["chunk", "number", "unit"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array(units)], names=["chunk", "number", "unit"])
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -373,10 +370,10 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
         if held[0]:
             yield close()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "chunk string, number int, unit string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "chunk long, number int, unit string")
 
 
-def _joined(numbers: np.ndarray, units: list[str], flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+def _joined(numbers: np.ndarray, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Ids of one text in which some space is not followed by a word at once."""
     out: list[int] = []
     spaces = 0
@@ -386,7 +383,7 @@ def _joined(numbers: np.ndarray, units: list[str], flat: np.ndarray, start: np.n
             continue
         ids = flat[start[u] : start[u] + lengths[u]].tolist()
         if spaces:
-            if units[u] == SPACE or ids[0] == vocabulary.runs[1]:
+            if ids[0] == vocabulary.runs[1]:
                 out += vocabulary.run(spaces + 1)
                 ids = ids[1:]
             else:
@@ -402,6 +399,13 @@ def decode_ids(ids: np.ndarray, text_of_id: list[bytes]) -> bytes:
     return raw[1:] if raw[:1] == b" " else raw
 
 
+def _spread(units: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct units over so many partitions that one holds the edges of ``task_units`` units, about."""
+    distinct = saved(units.select("unit").distinct(), "pieces-distinct")
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // settings.task_units + 1)
+    return distinct.repartition(parts, "unit")
+
+
 @contextmanager
 def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for the jobs inside."""
@@ -426,8 +430,9 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
     short = (F.length("unit") > 1) & (F.length("unit") <= settings.max_unit)
     # Edges of a unit arrive together, so a sort of them would only cost.
     with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20)):
-        known = saved(dictionary(cut.where(short).select("unit").distinct(), vocabulary), "pieces-dictionary")
-    met = cut.join(known, "unit", "left").select("chunk", "number", "unit", "ids")
+        known = saved(dictionary(_spread(cut.where(short), settings), vocabulary), "pieces-dictionary")
+    # A unit goes along only where it has no entry.
+    met = cut.join(known, "unit", "left").select("chunk", "number", F.when(F.col("ids").isNull(), F.col("unit")).alias("unit"), "ids")
 
     def assemble(table: pa.Table) -> pa.Table:
         voc: Vocabulary = shared.value
@@ -448,7 +453,7 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
         for a, b, crc in zip((ends - docs_["n"].to_numpy()).tolist(), ends.tolist(), docs_["crc"].to_pylist(), strict=True):
             mine = numbers[a:b].astype(np.int64)
             if (mine == 0).any():
-                got = _joined(mine, units, flat, start, lengths, voc)
+                got = _joined(mine, flat, start, lengths, voc)
             else:
                 got = flat[_ranges(start[mine], lengths[mine])]
             out.append(got)
