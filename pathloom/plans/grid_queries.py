@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as geo
 from pathloom.functions import scalars
-from pathloom.operators import grid
+from pathloom.operators import grid, mesh
 from pathloom.plans import shapes
 from pathloom.plans.shapes import GRID
 
@@ -187,3 +187,22 @@ def result_scalars(spark, sf_dir):
     name = F.concat("l_returnflag", "l_linestatus")
     rules = [("^R", "returned"), ("^NO$", "open")]
     return lines.select("l_orderkey", "l_linenumber", scalars.round_to(F.col("l_quantity"), 7).alias("nearest"), F.when(F.col("l_shipdate").isNotNull(), scalars.classify(name, rules, "closed")).alias("kind"))
+
+
+@query(f"""WITH {GRID}, n AS (SELECT x, y, y * w + x AS id FROM f, w)
+SELECT a.id AS pid, coalesce(n0.id, -1) AS n0, coalesce(n1.id, -1) AS n1, coalesce(n2.id, -1) AS n2, coalesce(n3.id, -1) AS n3 FROM n a
+LEFT JOIN n n0 ON n0.x = a.x AND n0.y = a.y - 1 LEFT JOIN n n1 ON n1.x = a.x + 1 AND n1.y = a.y LEFT JOIN n n2 ON n2.x = a.x AND n2.y = a.y + 1 LEFT JOIN n n3 ON n3.x = a.x - 1 AND n3.y = a.y""")
+def unit_mesh(spark, sf_dir):
+    """One square polygon per free cell with its neighbours."""
+    built = mesh.unit_mesh(shapes.grid(spark, sf_dir).select("x", "y", "ok"), shapes.grid_width(spark, sf_dir))
+    return built.select("pid", *(F.col("neighbours")[i].alias(f"n{i}") for i in range(4)))
+
+
+@query(f"""WITH {GRID}, p AS (SELECT o_orderkey AS id, (o_custkey * 13 % (w * 4)) / 4.0 AS x, (o_orderkey * 7 % (w * 4)) / 4.0 AS y FROM orders, w)
+SELECT p.id, min(f.y * w + f.x) AS pid FROM p CROSS JOIN w LEFT JOIN f ON f.x IN (floor(p.x), ceil(p.x) - 1) AND f.y IN (floor(p.y), ceil(p.y) - 1) GROUP BY 1""")
+def point_location(spark, sf_dir):
+    """The polygon that holds each of a table of points."""
+    w = shapes.grid_width(spark, sf_dir)
+    orders = shapes.table(spark, sf_dir, "orders")
+    points = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 13 % (w * 4) / 4).alias("x"), (F.col("o_orderkey") * 7 % (w * 4) / 4).alias("y"))
+    return mesh.locate(points, mesh.unit_mesh(shapes.grid(spark, sf_dir).select("x", "y", "ok"), w)).select("id", "pid")
