@@ -148,13 +148,14 @@ def verdicts(tree: DataFrame, settings: Settings) -> DataFrame:
     A template's bad share is smoothed towards its host's, that towards the
     share of all labels.
     """
-    every = tree.agg(((F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("p_all"))
+    whole = tree.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
+    p_all = F.lit(((whole["bad"] or 0) + 1) / ((whole["labelled"] or 0) + 2))
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum("labelled").alias("h_labelled"))
     temps = tree.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
-    p_host = (F.col("h_bad") + settings.prior * F.col("p_all")) / (F.col("h_labelled") + settings.prior)
+    p_host = (F.col("h_bad") + settings.prior * p_all) / (F.col("h_labelled") + settings.prior)
     purity = (F.col("t_bad") + settings.prior * F.col("p_host")) / (F.col("t_labelled") + settings.prior)
     rated = (
-        temps.join(hosts.crossJoin(F.broadcast(every)).select("host", p_host.alias("p_host")), "host")
+        temps.join(hosts.select("host", p_host.alias("p_host")), "host")
         .select("host", "template", F.round(purity, 6).alias("bad_share"))
     )
     return tree.select("host", "tokens", "template").join(rated, ["host", "template"]).select(
