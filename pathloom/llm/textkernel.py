@@ -67,7 +67,13 @@ def chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts, offsets of each text's words in that)."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    return hashed_words(texts)[:2]
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the joined bytes with the start and stop of every word."""
+    joined = b" ".join(texts) + b" "
+    buf = np.frombuffer(joined, dtype=np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -79,7 +85,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_BYTE[buf] * up, out=total[1:])
     hashes = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.concatenate(([0], np.searchsorted(starts, ends)))
+    return hashes, np.concatenate(([0], np.searchsorted(starts, ends))), joined, starts, stops
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

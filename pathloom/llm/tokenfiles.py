@@ -24,7 +24,6 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
@@ -38,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.storage import new_path, saved
+from pathloom.llm.textkernel import hashed_words
 from pathloom.llm.tokencount import Counter, _byte_chars
 
 MAGIC = b"PLTOKEN1"
 _FOOTER = struct.Struct("<QQ8s")
 _HEADER = struct.Struct("<8s32sB")
-_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 @dataclass(frozen=True)
@@ -55,7 +54,7 @@ class Settings:
     sample_docs: int = 2000
     dictionary_bytes: int = 65536
     level: int = 3
-    memory: int = 500_000
+    memory: int = 2_000_000
 
 
 class Encoder:
@@ -81,7 +80,7 @@ class Encoder:
         self.is_last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.memory = memory
         self.width = 2 if len(self.is_last) <= 1 << 16 else 4
-        self.known: dict[str, int] = {}
+        self.hashes, self.index = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted by hash
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1, dtype=np.int64)
@@ -106,42 +105,51 @@ class Encoder:
         length = bounds[at + 1] - bounds[at]
         ends = np.concatenate(([0], np.cumsum(length)))
         found = ids[_ranges(bounds[at], length)]
-        self._store(found, ends[np.cumsum(sizes)] if len(sizes) else np.empty(0, dtype=np.int64), words)
+        self._store(found, ends[np.cumsum(sizes, dtype=np.int64)])
 
     def _learn_special(self, words: list[str]) -> None:
         found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        self._store(np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]), words)
+        self._store(np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]))
 
-    def _store(self, ids: np.ndarray, ends: np.ndarray, words: list[str]) -> None:
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat) // 2, len(ids)), dtype=np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start = np.concatenate([self.start, self.used + ends])
         self.used += len(ids)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-
-    def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-        """Ids of every text, the end id last."""
-        split = [_SPACE.split(t) for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        full, used = len(self.known), self.used
-        if new:
-            special = [w for w in new if "<|" in w]
-            self._learn(list(new.difference(special)))
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of every text, the end id last.
+
+        Words are found by 64-bit hashes of their bytes; only words not seen
+        before become strings.
+        """
+        hashes, at, joined, starts, stops = hashed_words([t.encode() for t in texts])
+        here, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, here), max(len(self.hashes) - 1, 0))
+        index = self.index[place] if len(self.hashes) else np.empty(len(here), dtype=np.int64)
+        fresh = np.flatnonzero(self.hashes[place] != here) if len(self.hashes) else np.arange(len(here))
+        count, used = len(self.start) - 1, self.used
+        if len(fresh):
+            words = [joined[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)]
+            special = [i for i, w in enumerate(words) if "<|" in w]
+            plain = [i for i, w in enumerate(words) if "<|" not in w]
+            self._learn([words[i] for i in plain])
             if special:
-                self._learn_special(special)
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            begin, length = self.start[at], self.start[at + 1] - self.start[at]
-            total = int(length.sum())
-            out = np.empty(total + 1, dtype=np.uint32)
-            out[:total] = self.flat[_ranges(begin, length)]
-            out[total] = end_id
-            yield out
-        if len(self.known) > self.memory:  # new words serve this call only
-            for word in new:
-                del self.known[word]
-            self.used, self.start = used, self.start[: full + 1]
+                self._learn_special([words[i] for i in special])
+            index[fresh[plain + special]] = count + np.arange(len(words))
+        word = index[back]
+        begin, length = self.start[word], self.start[word + 1] - self.start[word]
+        ids = self.flat[_ranges(begin, length)]
+        ends = np.concatenate(([0], np.cumsum(length)))[at]
+        out = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        if len(self.start) - 1 > self.memory:  # new words serve this call only
+            self.used, self.start = used, self.start[: count + 1]
+        elif len(fresh):
+            both = np.concatenate([self.hashes, here[fresh]])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.index = both[order], np.concatenate([self.index, index[fresh]])[order]
+        return out
 
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
