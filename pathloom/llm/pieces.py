@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.llm import textkernel as kernel
 from pathloom.llm.exprs import let
 from pathloom.llm.storage import new_path, saved
 from pathloom.llm.tokenfiles import _ranges, file_system, write_bytes
@@ -56,7 +57,7 @@ NEVER = 2**31 - 1
 class Settings:
     """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice. task_units: units of a lattice task."""
 
-    chunk_chars: int = 12_000_000
+    chunk_chars: int = 24_000_000
     max_unit: int = 48
     task_units: int = 20_000
 
@@ -275,32 +276,51 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class Cutter:
-    """Numbers of the units of texts; one for each chunk of texts."""
+    """Numbers of the units of texts; one for each chunk of texts.
+
+    Words are found by 64-bit hashes of their bytes; only new ones become
+    strings and are cut.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.number: dict[str, int] = {SPACE: 0}
-        self.known: dict[str, int] = {"": 0}
-        self.flat = array("I", [0])
-        self.ends = array("I", [1])
+        self.hashes = kernel.segment_hashes(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))  # of the empty word
+        self.index = np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(1, dtype=np.uint32)
+        self.ends = np.array([0, 1], dtype=np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        flat, sizes = array("I"), []
+        for units in self.vocabulary.units(words):
+            flat.extend([self.number.setdefault(u, len(self.number)) for u in units])
+            sizes.append(len(units))
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
 
     def cut(self, texts: list[str]) -> list[np.ndarray]:
         """Unit numbers of every text; 0 is a space that no word follows at once."""
-        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if new:
-            for word, units in zip(new, self.vocabulary.units(new), strict=True):
-                self.known[word] = len(self.known)
-                self.flat.extend([self.number.setdefault(u, len(self.number)) for u in units])
-                self.ends.append(len(self.flat))
-        flat, ends = np.frombuffer(self.flat, dtype=np.uint32), np.frombuffer(self.ends, dtype=np.uint32).astype(np.int64)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            begin = np.where(at > 0, ends[at - 1], 0)
-            out.append(flat[_ranges(begin, ends[at] - begin)])
-        del flat, ends  # the arrays can grow again
-        return out
+        raw = [t.replace(SPACE, " ").encode() for t in texts]
+        joined = b" ".join(raw) + b" "
+        buf = np.frombuffer(joined, dtype=np.uint8)
+        stops = np.flatnonzero(buf == 32)
+        starts = np.concatenate(([0], stops[:-1] + 1))
+        at = np.concatenate(([0], np.cumsum([r.count(b" ") + 1 for r in raw])))
+        here, first, back = np.unique(kernel.segment_hashes(buf, starts, stops), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, here), len(self.hashes) - 1)
+        index = self.index[place]
+        fresh = np.flatnonzero(self.hashes[place] != here)
+        if len(fresh):
+            index[fresh] = len(self.ends) - 1 + np.arange(len(fresh))
+            self._learn([joined[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)])
+            both = np.concatenate([self.hashes, here[fresh]])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.index = both[order], np.concatenate([self.index, index[fresh]])[order]
+        word = index[back]
+        begin, length = self.ends[word], self.ends[word + 1] - self.ends[word]
+        numbers = self.flat[_ranges(begin, length)]
+        ends = np.concatenate(([0], np.cumsum(length)))[at]
+        return [numbers[a:b] if t else numbers[:0] for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -425,7 +445,7 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
     folder = new_path(spark, "pieces")
     system, name = file_system(folder)
     system.create_dir(name, recursive=True)
-    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
         cut = saved(cut_texts(docs, shared, folder, settings), "pieces-units")
     short = (F.length("unit") > 1) & (F.length("unit") <= settings.max_unit)
     # Edges of a unit arrive together, so a sort of them would only cost.

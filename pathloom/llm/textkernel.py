@@ -65,6 +65,15 @@ def chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def segment_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, from one running sum over all bytes."""
+    up, down = _POWERS.at_least(len(buf))
+    total = np.empty(len(buf) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[buf] * up, out=total[1:])
+    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts, offsets of each text's words in that)."""
     return hashed_words(texts)[:2]
@@ -79,11 +88,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, stops = edge[0::2], edge[1::2]
-    up, down = _POWERS.at_least(len(buf))
-    total = np.empty(len(buf) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[buf] * up, out=total[1:])
-    hashes = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    hashes = segment_hashes(buf, starts, stops)
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends))), joined, starts, stops
 
