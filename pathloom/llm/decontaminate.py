@@ -44,8 +44,8 @@ class Settings:
 
 
 def words_bytes(text: str | None) -> bytes:
-    """Lower-case ASCII letters, digits and non-ASCII, anything else as space."""
-    return (text or "").encode().lower().translate(_WORD_BYTES)
+    """Case-folded letters, digits and non-ASCII, anything else as space: shouted copies have the same words."""
+    return (text or "").casefold().encode().translate(_WORD_BYTES)
 
 
 def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:

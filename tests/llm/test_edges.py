@@ -186,11 +186,11 @@ def test_pieces(spark, edge_docs, empty_docs):
 def test_leaks(spark, edge_docs, empty_docs):
     item = " ".join(f"word{i}" for i in range(30))
     changed = item.replace("word4 ", "other ").replace("word11 ", "other ").replace("word20 ", "other ")
-    docs = spark.createDataFrame([(1, f"x y {changed} z"), (2, "clean " * 40), (3, None), (4, "short item here now"), (5, " ".join(item.split()[:9]))], "doc_id bigint, text string")
-    tests = spark.createDataFrame([(7, item), (8, None), (9, "Short item, here"), (10, "")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x y {changed} z"), (2, "clean " * 40), (3, None), (4, "short item here now"), (5, " ".join(item.split()[:9])), (6, f"\u00c9t\u00c9 STRASSE! {item.upper()}")], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(7, item), (8, None), (9, "Short item, here"), (10, ""), (11, "\u00e9t\u00e9 stra\u00dfe")], "item_id bigint, text string")
     for words in (500_000, 10):
         found = decontaminate.find_leaks(docs, tests, decontaminate.Settings(block_words=words))
-        assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found.collect()} == {1: [7], 2: [], 3: [], 4: [9], 5: []}
+        assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found.collect()} == {1: [7], 2: [], 3: [], 4: [9], 5: [], 6: [7, 11]}
     assert decontaminate.find_leaks(edge_docs, tests.limit(0)).where("size(leaks) > 0").count() == 0
     assert decontaminate.find_leaks(empty_docs, tests).count() == 0
 
