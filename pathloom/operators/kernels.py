@@ -143,8 +143,11 @@ def sees(free: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> bool:
     dx, dy = x2 - x1, y2 - y1
     if dx == 0 or dy == 0:
         if dx == 0:
-            return all(open_(x1 - 1, y) or open_(x1, y) for y in range(min(y1, y2), max(y1, y2)))
-        return all(open_(x, y1 - 1) or open_(x, y1) for x in range(min(x1, x2), max(x1, x2)))
+            sides = [(open_(x1 - 1, y), open_(x1, y)) for y in range(min(y1, y2), max(y1, y2))]
+        else:
+            sides = [(open_(x, y1 - 1), open_(x, y1)) for x in range(min(x1, x2), max(x1, x2))]
+        # Changing sides on the way would squeeze through a diagonal gap.
+        return all(a or b for a, b in sides) and all((a and c) or (b and d) for (a, b), (c, d) in zip(sides, sides[1:]))
     sx, sy = (1 if dx > 0 else -1), (1 if dy > 0 else -1)
     nx, ny = abs(dx), abs(dy)
     ix = iy = 0
@@ -209,3 +212,109 @@ def run_queries(queries: DataFrame, domain: np.ndarray, kernel: Callable) -> Dat
 
     out = queries.select("qid", "sx", "sy", "tx", "ty").mapInPandas(run, "qid bigint, cost double, path array<string>")
     return out.withColumn("cost", F.when(F.isnan("cost"), None).otherwise(F.col("cost")))
+
+
+#: Largest mesh that is broadcast, in polygons.
+MAX_POLYGONS = 2_000_000
+
+
+class MeshDomain:
+    """Convex polygons of a mesh with the half planes of their sides, and its turning points.
+
+    A vertex where an obstacle meets exactly one gap of the fan around it is a
+    turning point; one with several gaps is ambiguous: obstacles touch there
+    and nothing passes between them.
+    """
+
+    def __init__(self, rings: list[list[tuple[float, float]]], eps: float = 1e-8) -> None:
+        if len(rings) > MAX_POLYGONS:
+            raise ValueError(f"{len(rings)} polygons are too many to broadcast")
+        self.eps = eps
+        self.rings = [np.array(r, dtype=float) for r in rings]
+        self.sides = [np.roll(r, -1, axis=0) - r for r in self.rings]
+        fans: dict[tuple[float, float], list[tuple[tuple, tuple]]] = {}
+        for ring in rings:
+            n = len(ring)
+            for i, p in enumerate(ring):
+                fans.setdefault(tuple(p), []).append((tuple(ring[i - 1]), tuple(ring[(i + 1) % n])))
+        self.turns, self.ambiguous = [], set()
+        for p, fan in fans.items():
+            into, outof = [a for a, _ in fan], [b for _, b in fan]
+            gaps = sum(1 for b in outof if b not in into)  # sides that no polygon of the fan continues
+            if gaps == 1 and self._reflex(p, fan):
+                self.turns.append(p)
+            elif gaps > 1:
+                self.ambiguous.add(p)
+
+    def _reflex(self, p: tuple, fan: list) -> bool:
+        """Whether the free angle at p exceeds half a turn, so that paths may bend there."""
+        total = 0.0
+        for a, b in fan:
+            one, two = math.atan2(b[1] - p[1], b[0] - p[0]), math.atan2(a[1] - p[1], a[0] - p[0])
+            total += (two - one) % (2 * math.pi)
+        return total > math.pi + 1e-9
+
+    def spans(self, a: tuple, b: tuple) -> list[tuple[float, float, int]]:
+        """The part of the segment inside every polygon that it meets, as (from, to, polygon)."""
+        out = []
+        ax, ay, dx, dy = a[0], a[1], b[0] - a[0], b[1] - a[1]
+        for i, (ring, side) in enumerate(zip(self.rings, self.sides, strict=True)):
+            at = side[:, 0] * (ay - ring[:, 1]) - side[:, 1] * (ax - ring[:, 0])
+            move = side[:, 0] * dy - side[:, 1] * dx
+            flat = np.abs(move) < 1e-12
+            if (at[flat] < -self.eps).any():
+                continue
+            t = np.full(len(at), 0.0)
+            t[~flat] = -at[~flat] / move[~flat]
+            low = max(0.0, t[~flat & (move > 0)].max(initial=0.0))
+            high = min(1.0, t[~flat & (move < 0)].min(initial=1.0))
+            if low <= high + 1e-9:
+                out.append((low, high, i))
+        return sorted(out)
+
+    def sees(self, a: tuple, b: tuple) -> bool:
+        """Whether the segment stays inside the mesh and passes no ambiguous vertex."""
+        reach = 0.0
+        for low, high, _ in (spans := self.spans(a, b)):
+            if low > reach + 1e-9:
+                return False
+            reach = max(reach, high)
+        if not spans or reach < 1 - 1e-9:
+            return False
+        length2 = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        for p in self.ambiguous:
+            t = ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / length2 if length2 else 0.0
+            if 1e-9 < t < 1 - 1e-9 and math.hypot(a[0] + t * (b[0] - a[0]) - p[0], a[1] + t * (b[1] - a[1]) - p[1]) < 1e-9:
+                # Only a segment along a side that two polygons or one share may touch it.
+                if not any(low < t - 1e-9 and high > t + 1e-9 for low, high, _ in spans):
+                    return False
+        return True
+
+    def holds(self, p: tuple) -> bool:
+        return bool(self.spans(p, p))
+
+
+def mesh_any_angle(mesh: MeshDomain, start: tuple, goal: tuple) -> tuple[float | None, list]:
+    """(length, turning points) of the shortest path inside a mesh; null when an end lies outside or there is none."""
+    if not (mesh.holds(start) and mesh.holds(goal)):
+        return None, []
+    dist = lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1])
+    g, parent, closed = {start: 0.0}, {start: None}, set()
+    heap = [(dist(start, goal), start)]
+    while heap:
+        _, at = heapq.heappop(heap)
+        if at in closed:
+            continue
+        closed.add(at)
+        if at == goal:
+            path = []
+            while at is not None:
+                path.append(at)
+                at = parent[at]
+            return g[goal], path[::-1]
+        for to in (goal, *mesh.turns):
+            cost = g[at] + dist(at, to)
+            if to not in closed and cost < g.get(to, math.inf) - 1e-12 and mesh.sees(at, to):
+                g[to], parent[to] = cost, at
+                heapq.heappush(heap, (cost + dist(to, goal), to))
+    return None, []

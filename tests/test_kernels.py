@@ -92,3 +92,21 @@ def test_formats(spark, tmp_path):
     (tmp_path / "m").write_text("mesh\n2\n4 1\n0 0 2 0 -1\n1 0 2 0 -1\n1 1 2 0 -1\n0 1 2 0 -1\n4 0 1 2 3 -1 -1 -1 -1\n")
     vertices, polygons = readers.mesh(spark, f"{tmp_path}/m")
     assert vertices.count() == 4 and polygons.select(F.size("vertices")).first()[0] == 4
+
+
+def test_mesh_paths_equal_grid_paths_whatever_the_polygons():
+    from pathloom.operators import mesh
+
+    for seed in range(6):
+        free = random_grid(seed + 50, 8, 7)
+        units = [(x, y, 1, 1) for y in range(7) for x in range(8) if free[y, x]]
+        domain = kernels.MeshDomain([[(x, y), (x + w, y), (x + w, y + h), (x, y + h)] for x, y, w, h in units])
+        rng = random.Random(seed)
+        points = [(x, y) for x, y, _, _ in units]
+        for _ in range(5):
+            a, b = rng.choice(points), rng.choice(points)
+            if a in domain.ambiguous or b in domain.ambiguous:
+                continue
+            want, got = kernels.any_angle(free, a, b)[0], kernels.mesh_any_angle(domain, a, b)[0]
+            assert (want is None) == (got is None) and (want is None or abs(want - got) < 1e-6), (seed, a, b)
+        assert len(mesh.best_rectangles(free)) <= len(units)
