@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pathloom.llm.textkernel import give_back
+
 SLICES = 32
 _SCHEMA = "slice int, part int, counts binary"
 
@@ -59,6 +61,8 @@ def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
             for i in range(SLICES):
                 if bounds[i] < bounds[i + 1]:
                     yield _pack(i, part, at[bounds[i] : bounds[i + 1]] - i * size, n[bounds[i] : bounds[i + 1]])
+            del parts, at, n
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_pack(table.column("slice")[0].as_py(), 0, *_merged([_unpack(b) for b in table.column("counts").to_pylist()]))])

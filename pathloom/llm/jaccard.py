@@ -191,6 +191,8 @@ def postings(docs: DataFrame, order: _Order) -> DataFrame:
                     ],
                     names=["token", "gk", "n", "pos"],
                 )
+        met.clear()
+        kernel.give_back()
 
     return docs.select("text").mapInArrow(run, "token long, gk long, n int, pos int")
 

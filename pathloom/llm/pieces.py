@@ -57,7 +57,7 @@ NEVER = 2**31 - 1
 class Settings:
     """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice. task_units: units of a lattice task."""
 
-    chunk_chars: int = 24_000_000
+    chunk_chars: int = 8_000_000
     max_unit: int = 48
     task_units: int = 20_000
 
@@ -389,6 +389,8 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
                 first, size = last, size + taken
         if held[0]:
             yield close()
+        del held, cutter
+        kernel.give_back()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "chunk long, number int, unit string")
 
@@ -480,6 +482,8 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
             good.append(zlib.crc32(decode_ids(got, voc.text_of_id)) == crc)
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))), pa.int32())
         values = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
+        del flat, numbers, extra, lists, table
+        kernel.give_back()
         return pa.table({"doc_id": docs_["doc_id"], "ids": pa.ListArray.from_arrays(offsets, values), "round_trip": pa.array(good, pa.bool_())})
 
     return met.groupBy("chunk").applyInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")

@@ -106,3 +106,18 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         out = out * _MUL + hashes[j : n - width + 1 + j]
     return np.unique(mix(out + np.uint64(width)))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay alive beside later JVM stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
