@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _cell(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return ""
     return f"{float(v):.9g}" if isinstance(v, float) else str(list(v)) if hasattr(v, "__iter__") and not isinstance(v, str) else str(v)
 
