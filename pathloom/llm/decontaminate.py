@@ -3,8 +3,10 @@
 Fixed masks over a window of words select some positions and ignore the rest,
 so a window still hits when an ignored word was replaced.  Hashes of test
 windows are looked up for every window of every document; around a hit the
-document and the test item are laid over each other at the same offset, and
-the best stretch with matches and substitutions is kept if enough words match.
+document and the test item are laid over each other at the same offset.  A hit
+is kept if the best stretch with matches and substitutions has enough matching
+words, or if a fixed share of all the item's words match.  Items of few windows
+have short seeds besides, of which at least one is whole wherever that share is.
 
 The test items go to executors in blocks of a bounded number of words, and
 every block is one more narrow pass over the rows in the same stage, so the
@@ -18,6 +20,7 @@ result, an empty benchmark leaves every row clean; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,11 +37,15 @@ _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128
 
 @dataclass(frozen=True)
 class Settings:
-    """masks: 1 takes a word, 0 ignores it; equal lengths. min_words: matching words needed, or all of a shorter item.
+    """masks: 1 takes a word, 0 ignores it; equal lengths. short_masks: for items of a window to ``short`` - 1 words.
+    min_words: matching words needed in a stretch. share: of the item's words needed otherwise, all below a window.
     penalty: of a substitution against a match. block_words: words of test items broadcast at once."""
 
     masks: tuple[str, ...] = ("110110101", "101101101", "111010011")
+    short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
+    short: int = 24
     min_words: int = 13
+    share: float = 0.75
     penalty: float = 2.0
     block_words: int = 500_000
 
@@ -70,10 +77,14 @@ class Block:
 
     def index(self, settings: Settings) -> Block:
         span = len(settings.masks[0])
-        for mask in sorted({*settings.masks, *("1" * len(w) for w in self.words if 0 < len(w) < span)}):
+        for mask in sorted({*settings.masks, *settings.short_masks, *("1" * len(w) for w in self.words if 0 < len(w) < span)}):
             h, item, at = [], [], []
             for i, w in enumerate(self.words):
-                if (len(w) >= span and mask in settings.masks) or len(w) == len(mask) < span:
+                if len(w) < span:
+                    taken = mask == "1" * len(w)
+                else:
+                    taken = mask in settings.masks or len(w) < settings.short and mask in settings.short_masks
+                if taken:
                     got = seed_hashes(w, mask, len(mask))
                     h.append(got)
                     item.append(np.full(len(got), i))
@@ -87,15 +98,20 @@ class Block:
         return self
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, penalty: float) -> tuple[int, int, int]:
-    """(matching words, first, end) of the best stretch when the item starts at word ``shift`` of the document."""
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, settings: Settings) -> tuple[int, int, int] | None:
+    """(matching words, first, end) when the item starts at word ``shift`` of the document: of the best stretch,
+    else from the first to the last matching word of the whole item; None if too few words match in both."""
     first, end = max(0, shift), min(len(doc), shift + len(item))
     same = doc[first:end] == item[first - shift : end - shift]
-    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -penalty))))
+    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -settings.penalty))))
     low = np.minimum.accumulate(total)
     stop = int(np.argmax(total - low))
     start = int(np.flatnonzero(total[: stop + 1] == low[stop])[0])
-    return int(same[start:stop].sum()), first + start, first + stop
+    if (n := int(same[start:stop].sum())) >= settings.min_words:
+        return n, first + start, first + stop
+    where = np.flatnonzero(same)
+    needed = len(item) if len(item) < len(settings.masks[0]) else math.ceil(settings.share * len(item))
+    return (len(where), first + int(where[0]), first + int(where[-1]) + 1) if len(where) >= needed else None
 
 
 def hits(words: np.ndarray, at: np.ndarray, block: Block) -> np.ndarray:
@@ -123,8 +139,8 @@ def leaks(texts: list[bytes], block: Block, settings: Settings) -> list[list[tup
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, shift in hits(words, at, block).tolist():
             doc = words[at[text] : at[text + 1]]
-            got = overlap(doc, block.words[item], shift, settings.penalty)
-            if got[0] >= min(settings.min_words, len(block.words[item])) and got[0] > best.get((text, item), (0,))[0]:
+            got = overlap(doc, block.words[item], shift, settings)
+            if got and got[0] > best.get((text, item), (0,))[0]:
                 best[text, item] = got
         for (text, item), got in sorted(best.items()):
             out[first + text].append((block.ids[item], *got))
