@@ -16,24 +16,34 @@ from pyspark.sql import functions as F
 from pathloom.plans.lineage import cut
 
 
+def _start(nodes: DataFrame) -> DataFrame:
+    """The state before the first round, of (qid, node)."""
+    return cut(nodes.select("qid", "node", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("pred")).dropDuplicates(["qid", "node"]))
+
+
+def _round(edges: DataFrame, dist: DataFrame, frontier: DataFrame, cutoff: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The state after one more round, and its frontier."""
+    steps = frontier.join(edges, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))
+    if cutoff is not None:
+        steps = steps.where(F.col("g") <= cutoff)
+    best = steps.groupBy("qid", "node").agg(F.min(F.struct("g", "pred")).alias("n"))
+    old = dist.select("qid", "node", F.struct("g", "pred").alias("o"))
+    # Null predecessors (sources) sort first and so are never replaced at equal cost.
+    better = best.join(old, ["qid", "node"], "full").withColumn("is_new", F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") < F.col("o"))))
+    state = cut(better.select("qid", "node", F.when(F.col("is_new"), F.col("n")).otherwise(F.col("o")).alias("s"), "is_new").select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred"), "is_new"))
+    return state.drop("is_new"), state.where("is_new").drop("is_new")
+
+
 def relax(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, cutoff: float | None = None) -> DataFrame:
     """(qid, node, g, pred) of every node reached from the sources (qid, node).
 
     ``max_rounds`` bounds the number of edges of a path, ``cutoff`` its cost.
     """
     edges = edges.select("src", "dst", "wt")
-    dist = cut(sources.select("qid", "node", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("pred")).dropDuplicates(["qid", "node"]))
+    dist = _start(sources)
     frontier, done = dist, 0
     while max_rounds is None or done < max_rounds:
-        steps = frontier.join(edges, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))
-        if cutoff is not None:
-            steps = steps.where(F.col("g") <= cutoff)
-        best = steps.groupBy("qid", "node").agg(F.min(F.struct("g", "pred")).alias("n"))
-        old = dist.select("qid", "node", F.struct("g", "pred").alias("o"))
-        # Null predecessors (sources) sort first and so are never replaced at equal cost.
-        better = best.join(old, ["qid", "node"], "full").withColumn("is_new", F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") < F.col("o"))))
-        state = cut(better.select("qid", "node", F.when(F.col("is_new"), F.col("n")).otherwise(F.col("o")).alias("s"), "is_new").select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred"), "is_new"))
-        dist, frontier = state.drop("is_new"), state.where("is_new").drop("is_new")
+        dist, frontier = _round(edges, dist, frontier, cutoff)
         done += 1
         if frontier.isEmpty():
             break
@@ -56,12 +66,26 @@ def point_to_point(edges: DataFrame, queries: DataFrame, **bounds) -> DataFrame:
     return queries.join(found, ["source", "target"], "left").select("qid", "source", "target", "cost")
 
 
-def meet_in_middle(edges: DataFrame, back: DataFrame, queries: DataFrame, rounds: int) -> DataFrame:
-    """Cost of paths of at most 2 * rounds edges: forward and backward trees joined where they meet."""
-    fwd = relax(edges, queries.select("qid", F.col("source").alias("node")), max_rounds=rounds).select("qid", "node", F.col("g").alias("gf"))
-    bwd = relax(back, queries.select("qid", F.col("target").alias("node")), max_rounds=rounds).select("qid", "node", F.col("g").alias("gb"))
-    met = fwd.join(bwd, ["qid", "node"]).groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost"))
-    return queries.join(met, "qid", "left").select("qid", "source", "target", "cost")
+def meet_in_middle(edges: DataFrame, back: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, source, target, cost) by forward and backward trees joined where they meet; null cost where there is no path.
+
+    A path that is not found yet leaves both trees at their frontiers, so a
+    query is done when the sum of the two frontier minima is no less than its
+    best meeting cost, or when a frontier is empty.  Rows that cannot be on a
+    cheaper path for the same reason are not followed.
+    """
+    edges, back = edges.select("src", "dst", "wt"), back.select("src", "dst", "wt")
+    fwd = ahead = _start(queries.select("qid", F.col("source").alias("node")))
+    bwd = behind = _start(queries.select("qid", F.col("target").alias("node")))
+    while True:
+        met = fwd.select("qid", "node", F.col("g").alias("gf")).join(bwd.select("qid", "node", F.col("g").alias("gb")), ["qid", "node"])
+        best = cut(met.groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost")))
+        least = ahead.groupBy("qid").agg(F.min("g").alias("mf")).join(behind.groupBy("qid").agg(F.min("g").alias("mb")), "qid")
+        open_ = cut(least.join(best, "qid", "left").where("cost is null or mf + mb < cost"))
+        if open_.isEmpty():
+            return queries.join(best, "qid", "left").select("qid", "source", "target", "cost")
+        fwd, ahead = _round(edges, fwd, ahead.join(open_, "qid").where("cost is null or g + mb < cost").select(*fwd.columns))
+        bwd, behind = _round(back, bwd, behind.join(open_, "qid").where("cost is null or g + mf < cost").select(*bwd.columns))
 
 
 def extract_paths(dist: DataFrame, ends: DataFrame) -> DataFrame:

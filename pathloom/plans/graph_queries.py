@@ -74,9 +74,9 @@ def p2p_road(spark, sf_dir):
 
 @query(ORACLES["p2p_road"].replace(f"r{K} r ON", "r6 r ON"))
 def p2p_road_bidirectional(spark, sf_dir):
-    """Two trees of three edges each, joined where they meet: paths of at most six edges."""
+    """Two trees joined where they meet, grown until no cheaper path is left."""
     edges = cut(shapes.road(spark, sf_dir))
-    return search.meet_in_middle(edges, graph.reverse(edges), _nation_queries(spark, sf_dir), 3)
+    return search.meet_in_middle(edges, graph.reverse(edges), _nation_queries(spark, sf_dir))
 
 
 _TREE = f"""{TRADE}, {rounds('t', _SOURCES, K)},
