@@ -3,7 +3,8 @@
 One model is trained on random strings, one on ordinary identifiers, both from
 labelled samples.  A run of token characters whose ratio favours the random
 model is a span of kind ``random``, beside the fixed kinds assign, access and
-hex, which it never overlaps.
+hex, which it never overlaps: they are cut out of the run, and what is left is
+judged piece by piece.
 
 Edge cases: a null or empty text has no spans; every text is scanned whole;
 repeated rows are scanned one by one; an empty table gives an empty result (and
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.exprs import char_at, clear_of, count_kind, joined, let, spans_of, text_of
+from pathloom.llm.exprs import SPAN, char_at, count_kind, joined, let, spans_of, text_of
 
 # The base kinds in their order.
 _KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -165,12 +166,32 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, spans_of(text, ACCESS, "access"), spans_of(text, HEX, "hex"))
 
 
+_CUTS = "struct<at:bigint,parts:array<struct<start:bigint,stop:bigint>>>"
+
+
+def free_pieces(run: Column, base: Column) -> Column:
+    """What the base spans leave of a run, as spans by start."""
+
+    def grown(acc: Column, stop: Column) -> Column:
+        part = F.array(F.struct(acc["at"].alias("start"), stop.alias("stop")))
+        return F.when(stop > acc["at"], F.concat(acc["parts"], part)).otherwise(acc["parts"])
+
+    met = F.filter(base, lambda o: (o["start"] < run["stop"]) & (run["start"] < o["stop"]))
+    bounds = F.sort_array(F.transform(met, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"))))
+    zero = F.struct(run["start"].alias("at"), F.expr("array()").alias("parts")).cast(_CUTS)
+    step = lambda acc, o: F.struct(F.greatest(acc["at"], o["stop"]).alias("at"), grown(acc, o["start"]).alias("parts")).cast(_CUTS)
+    parts = F.aggregate(bounds, zero, step, lambda acc: grown(acc, run["stop"]))
+    value = lambda p: F.substr(run["value"], (p["start"] - run["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int"))
+    return F.transform(parts, lambda p: F.struct(run["kind"].alias("kind"), p["start"].alias("start"), p["stop"].alias("stop"), value(p).alias("value")).cast(SPAN))
+
+
 def random_spans(text: Column, base: Column, model: Model, settings: Settings) -> Column:
-    """Runs that the random model explains better and that no base span touches."""
+    """Runs, or what base spans leave of them, that the random model explains better."""
     run = f"[A-Za-z0-9+/_=-]{{{settings.min_run},}}"
-    free = F.filter(spans_of(text, run, "random"), lambda s: clear_of(s, base))
+    free = F.flatten(F.transform(spans_of(text, run, "random"), lambda s: free_pieces(s, base)))
+    long = F.filter(free, lambda s: s["stop"] - s["start"] >= settings.min_run)
     return F.filter(
-        free,
+        long,
         lambda s: let(ratio(s["value"], model), lambda r: (r >= settings.min_llr) & (r >= F.length(s["value"]) * settings.per_char)),
     )
 
