@@ -11,9 +11,9 @@ Labels are (page_id, bad); the query takes ``labels`` by equal id, the only
 labelled table there is, with toxic or low-quality rows as bad.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and
-is judged by the template of the empty path; very long paths count with their
-first ``depth`` segments and ``**`` for the rest; repeated rows are judged one
-by one and keep their number; null ids never match a label; an empty table
+is judged by the template of the empty path; paths count with all their
+segments, one level each; repeated rows are judged one by one and keep their
+number; null ids never match a label; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -39,11 +39,10 @@ RULES = (
 
 @dataclass(frozen=True)
 class Settings:
-    """depth: segments kept. fan_out: literals at a level beyond which it becomes a wildcard.
+    """fan_out: literals at a level beyond which it becomes a wildcard.
     z: a branch differs from its level beyond this. prior: pseudo-labels at the parent's rate.
     reject: least smoothed bad share of a rejected template. salts: copies of the verdict table, against hot hosts."""
 
-    depth: int = 6
     fan_out: int = 16
     z: float = 2.58
     prior: float = 20.0
@@ -80,21 +79,16 @@ def token(segment: Column) -> Column:
     return F.when(kind.isNull(), segment).otherwise(F.concat(kind, ending))
 
 
-def tokens_of(path: Column, depth: int) -> Column:
-    """Tokens of the segments; a closing slash is a token of its own."""
-
-    def cut(parts: Column) -> Column:
-        head = F.transform(F.slice(parts, 1, depth), token)
-        return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
-
-    parts = F.array_remove(F.split(path, "/"), "")
-    return F.concat(let(parts, cut), F.when(path.endswith("/"), F.array(F.lit(""))).otherwise(F.expr("cast(array() as array<string>)")))
+def tokens_of(path: Column) -> Column:
+    """Tokens of all segments; a closing slash is a token of its own."""
+    head = F.transform(F.array_remove(F.split(path, "/"), ""), token)
+    return F.concat(head, F.when(path.endswith("/"), F.array(F.lit(""))).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def parsed(pages: DataFrame, settings: Settings, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, fixed (rule and verdict) and tokens."""
     out = pages.select(pages[key].alias(key), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    return out.select(key, "host", "path", rule_of(F.col("host"), F.col("path")).alias("fixed"), tokens_of(F.col("path"), settings.depth).alias("tokens"))
+    return out.select(key, "host", "path", rule_of(F.col("host"), F.col("path")).alias("fixed"), tokens_of(F.col("path")).alias("tokens"))
 
 
 def leaves(pages: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -117,7 +111,7 @@ def generalised(tree: DataFrame, settings: Settings) -> DataFrame:
     are sums over the leaves below, joined back on that key.
     """
     out = tree.withColumn("template", F.expr("cast(array() as array<string>)"))
-    levels = tree.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]  # at most depth + 2
+    levels = tree.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]  # of the longest path
     for level in range(levels):
         here = out.withColumn("branch", F.get("tokens", F.lit(level)))
         branches = here.where("branch is not null").groupBy("host", "template", "branch").agg(*(F.sum(c).alias(f"b_{c}") for c in ("n", "labelled", "bad")))
@@ -130,7 +124,7 @@ def generalised(tree: DataFrame, settings: Settings) -> DataFrame:
         gap = F.abs(F.col("b_bad") / F.greatest(F.col("b_labelled"), F.lit(1)) - rest_bad / F.greatest(rest_labelled, F.lit(1)))
         # Too few labels on either side never tell a branch apart.
         apart = (F.col("b_labelled") >= 5) & (rest_labelled >= 5) & (gap > settings.z * spread)
-        alike = (F.col("fan") > 1) & ~apart & ~F.col("branch").isin("", "**")
+        alike = (F.col("fan") > 1) & ~apart & (F.col("branch") != "")
         wild = F.when((F.col("fan") > settings.fan_out) & ~apart | alike, F.lit("*")).otherwise(F.col("branch"))
         step = branches.join(whole, ["host", "template"]).select("host", "template", "branch", wild.alias("to"))
         out = saved(
