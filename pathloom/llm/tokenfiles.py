@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.storage import new_path, saved
-from pathloom.llm.textkernel import hashed_words
+from pathloom.llm.textkernel import Words, split_words
 from pathloom.llm.tokencount import Counter, _byte_chars
 
 MAGIC = b"PLTOKEN1"
@@ -47,14 +47,17 @@ _HEADER = struct.Struct("<8s32sB")
 
 @dataclass(frozen=True)
 class Settings:
-    """end_id: appended to every document. sample_docs: documents the dictionary is trained on, at most.
-    dictionary_bytes: its size. level: of compression. memory: distinct words a worker remembers."""
+    """end_id: appended to every document. sample_docs, sample_ids: documents the dictionary is trained on, and ids of
+    each, at most. dictionary_bytes: its size. level: of compression. memory: distinct words after which a worker
+    starts to learn anew. shard_chars: texts of a shard, about."""
 
     end_id: int = 1
     sample_docs: int = 2000
+    sample_ids: int = 4096
     dictionary_bytes: int = 65536
     level: int = 3
     memory: int = 2_000_000
+    shard_chars: int = 256_000_000
 
 
 class Encoder:
@@ -80,10 +83,13 @@ class Encoder:
         self.is_last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.memory = memory
         self.width = 2 if len(self.is_last) <= 1 << 16 else 4
-        self.hashes, self.index = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted by hash
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Words()
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.start = np.zeros(1, dtype=np.int64)
+        self.bounds = np.zeros((0, 2), dtype=np.int64)  # of each known word's ids
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, their bounds)."""
@@ -92,7 +98,7 @@ class Encoder:
         ids = np.concatenate([np.array(f, dtype=np.uint32) for f in found]) if found else np.empty(0, dtype=np.uint32)
         return ids, np.concatenate(([0], np.flatnonzero(self.is_last[ids]) + 1))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
         pieces: dict[str, int] = {}
         where: list[int] = []
         sizes: list[int] = []
@@ -105,51 +111,41 @@ class Encoder:
         length = bounds[at + 1] - bounds[at]
         ends = np.concatenate(([0], np.cumsum(length)))
         found = ids[_ranges(bounds[at], length)]
-        self._store(found, ends[np.cumsum(sizes, dtype=np.int64)])
+        return self._store(found, ends[np.cumsum(sizes, dtype=np.int64)])
 
-    def _learn_special(self, words: list[str]) -> None:
+    def _learn_special(self, words: list[str]) -> np.ndarray:
         found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        self._store(np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]))
+        return self._store(np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found], dtype=np.int64))
 
-    def _store(self, ids: np.ndarray, ends: np.ndarray) -> None:
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keep the ids of words, which end at ``ends``; the bounds of each word's."""
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat) // 2, len(ids)), dtype=np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + ends])
+        ends = self.used + ends
+        bounds = np.stack([np.concatenate(([self.used], ends))[:-1], ends], axis=1)
         self.used += len(ids)
+        return bounds
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """Ids of every text, the end id last.
-
-        Words are found by 64-bit hashes of their bytes; only words not seen
-        before become strings.
-        """
-        hashes, at, joined, starts, stops = hashed_words([t.encode() for t in texts])
-        here, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hashes, here), max(len(self.hashes) - 1, 0))
-        index = self.index[place] if len(self.hashes) else np.empty(len(here), dtype=np.int64)
-        fresh = np.flatnonzero(self.hashes[place] != here) if len(self.hashes) else np.arange(len(here))
-        count, used = len(self.start) - 1, self.used
-        if len(fresh):
-            words = [joined[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)]
+        """Ids of every text, the end id last; only words not seen before become strings."""
+        if len(self.known) > self.memory:
+            self._forget()
+        at, joined, starts, stops = split_words([t.encode() for t in texts])
+        word, fresh = self.known.numbers(joined, starts, stops)
+        if fresh:
+            words = [w.decode() for w in fresh]
             special = [i for i, w in enumerate(words) if "<|" in w]
             plain = [i for i, w in enumerate(words) if "<|" not in w]
-            self._learn([words[i] for i in plain])
+            bounds = np.empty((len(words), 2), dtype=np.int64)
+            bounds[plain] = self._learn([words[i] for i in plain])
             if special:
-                self._learn_special([words[i] for i in special])
-            index[fresh[plain + special]] = count + np.arange(len(words))
-        word = index[back]
-        begin, length = self.start[word], self.start[word + 1] - self.start[word]
-        ids = self.flat[_ranges(begin, length)]
-        ends = np.concatenate(([0], np.cumsum(length)))[at]
-        out = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        if len(self.start) - 1 > self.memory:  # new words serve this call only
-            self.used, self.start = used, self.start[: count + 1]
-        elif len(fresh):
-            both = np.concatenate([self.hashes, here[fresh]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.index = both[order], np.concatenate([self.index, index[fresh]])[order]
-        return out
+                bounds[special] = self._learn_special([words[i] for i in special])
+            self.bounds = np.concatenate([self.bounds, bounds])
+        begin, end = self.bounds[word].T
+        ids = self.flat[_ranges(begin, end - begin)]
+        ends = np.concatenate(([0], np.cumsum(end - begin)))[at]
+        return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -286,10 +282,11 @@ def write(docs: DataFrame, vocabulary: str, folder: str, settings: Settings = Se
         width = "<u2" if encoder(vocabulary, settings.memory).width == 2 else "<u4"
         for key, ids in encoded(batches, vocabulary, settings):
             # The dictionary serves short documents; long ones would only fill it.
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([ids[:4096].astype(width).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([ids[: settings.sample_ids].astype(width).tobytes()], pa.binary())})
 
-    picked = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(sample, "doc_id long, ids binary")
-    samples = sorted((r["doc_id"], bytes(r["ids"])) for r in picked.collect())  # sample_docs rows of at most 4096 ids
+    one_each = docs.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    picked = one_each.mapInArrow(sample, "doc_id long, ids binary")
+    samples = sorted((r["doc_id"], bytes(r["ids"])) for r in picked.collect())  # sample_docs rows of sample_ids ids at most
     dictionary = train_dictionary([ids for _, ids in samples], settings.dictionary_bytes)
     shared = spark.sparkContext.broadcast(dictionary)
     system, name = file_system(folder)
@@ -316,7 +313,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, settings: Settings = Se
             {"shard": pa.array([shard], pa.int32()), "path": [path]} | {k: pa.array([told[k]], pa.int64()) for k in ("n_docs", "n_tokens", "n_bytes")}
         )
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // settings.shard_chars + 1)
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(ranged.mapInArrow(put, _MANIFEST), "token-manifest")
 
