@@ -1,39 +1,37 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units at places that no piece of the vocabulary spans, so
-units can be encoded apart.  Distinct units are exploded into their bounded
-substrings, joined by equality to the piece table, grouped by unit, and folded
-with a higher-order aggregate.
-
-The vocabulary at hand is a BPE model: the best sum of piece scores is not
-what the library returns.  The fold is therefore the Viterbi recursion over the
-same lattice with the BPE condition in place of the sum: of the pieces that end
-at a position, the one is kept that may follow the piece kept where it starts.
-Two neighbours are allowed if no merge across their border would have happened
-before the merges that built them; that depends on the pieces on the right edge
-of the left one's merge tree and on the left edge of the right one's
-(``spines``).  A prefix has one encoding, so exactly one piece remains at every
-position.
+units can be encoded apart.  Distinct units, whatever their length, are exploded
+into their bounded substrings, joined by equality to the piece table, grouped by
+unit, and folded with a higher-order aggregate.
+
+The vocabulary at hand is a BPE model: the path with the best sum of piece
+scores is not what the library returns, so the fold is not the plain Viterbi
+recursion.  It runs over the edges in the order of their scores (merge ranks),
+its state being the set of borders that are left in the unit: an edge takes away
+the one border inside it if its ends are borders and nothing else lies between
+them, which is a merge of two neighbours.  A piece ranks above those it is
+made of (checked when the model is loaded), so one pass in that order is the
+library's merge loop.  The path consists of the edges between neighbouring borders.
 
 Ids go back to the texts chunk by chunk: the pass that cuts texts leaves each
 chunk's unit numbers in a file in the shared folder and its distinct units in a
-table; units meet the dictionary by an equi-join and return to their chunk.  No
-text is shuffled, and a chunk is bounded by a number of characters.
+table.  That table is dealt out by unit once, both for the lattice and for the
+join with its result, and units return to their chunk with packed piece keys.
+No text is shuffled, and a chunk is bounded by a number of characters.
 
 Edge cases: null and empty texts have no ids; runs of spaces follow the model's
-run pieces; characters outside the vocabulary become byte pieces; units longer
-than ``max_unit`` (no space, no border for that long) run the same fold in the
-cutting pass; a null doc_id stays null; repeated rows are encoded one by one; an
-empty table gives an empty result; other columns are ignored.  Decoding gives
-the text back unless it holds U+2581, which the model reads as a space.
+run pieces; characters outside the vocabulary become byte pieces; a null doc_id
+stays null; repeated rows are encoded one by one; an empty table gives an empty
+result; other columns are ignored.  Decoding gives the text back unless it holds
+U+2581, which the model reads as a space.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -49,17 +47,23 @@ from pathloom.llm.storage import new_path, saved
 from pathloom.llm.tokenfiles import _ranges, file_system, write_bytes
 
 SPACE = "▁"
-#: Parent rank of a piece that no merge takes further.
-NEVER = 2**31 - 1
+#: Places of an edge within its long: rank, start, width.
+START, RANK = 8, 40
+#: Borders that one long holds; longer units take words of LONG_WORD borders, in blocks.
+ONE_LONG, LONG_WORD, LONG_BLOCK = 62, 48, 128
+#: Piece keys of one long in the packed result, and bits of each.
+PACK, PACK_BITS = 4, 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    """chunk_chars: texts of a chunk. max_unit: code points of a unit that goes to the lattice. task_units: units of a lattice task."""
+    """chunk_chars: texts of a chunk. task_units: units of chunks, repeats included, of a lattice task, about.
+    most_tasks: beyond so many, tasks take more units instead. window: starts of a unit exploded together."""
 
-    chunk_chars: int = 8_000_000
-    max_unit: int = 48
-    task_units: int = 20_000
+    chunk_chars: int = 32_000_000
+    task_units: int = 150_000
+    most_tasks: int = 50_000
+    window: int = 64
 
 
 @dataclass
@@ -78,8 +82,6 @@ class Vocabulary:
     text_of_id: list[bytes]
     key: dict[str, int] = field(default_factory=dict)
     border_codes: np.ndarray | None = None
-    right: list[list[int]] = field(default_factory=list)
-    left: list[list[int]] = field(default_factory=list)
     longest: int = 1
 
     @staticmethod
@@ -107,32 +109,19 @@ class Vocabulary:
             [i for i, p in enumerate(model.pieces) if p.type == 6],
             texts,
         )
-        out._trees()
+        out._check()
         return out
 
-    def _trees(self) -> None:
-        """Merge trees of all pieces, their spines, and the pairs of characters that pieces span."""
+    def _check(self) -> None:
+        """Keys of pieces, the pairs of characters that pieces span, and whether every merge ranks above its parts."""
         self.key = {p: k for k, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces))
         self.border_codes = np.unique(np.array([ord(p[i]) << 21 | ord(p[i + 1]) for p in self.pieces for i in range(len(p) - 1)], dtype=np.int64))
-        parts: list[tuple[int, int] | None] = []
-        for piece in self.pieces[: self.n_merges]:
-            parts.append(self._last_merge(piece))
-        parts += [None] * (len(self.pieces) - self.n_merges)
-        for k in range(len(self.pieces)):
-            for side, out in ((1, self.right), (0, self.left)):
-                spine = [-2] * (2 * len(self.pieces[k]))
-                at, parent = k, NEVER
-                while True:
-                    rank = at if at < self.n_merges else -1
-                    if rank >= parent:
-                        raise ValueError("a piece ranks below one made from it")
-                    d = len(self.pieces[at]) - 1
-                    spine[2 * d], spine[2 * d + 1] = rank, parent
-                    if parts[at] is None:
-                        break
-                    parent, at = rank, parts[at][side]
-                out.append(spine)
+        if self.longest > LONG_WORD - 8 or len(self.pieces) >= 1 << (PACK_BITS - 1):
+            raise ValueError("pieces are too long or too many for packed edges")
+        for k, piece in enumerate(self.pieces[: self.n_merges]):
+            if any(part < self.n_merges and part >= k for part in self._last_merge(piece)):
+                raise ValueError(f"a piece ranks below one that it is made of: {piece}")
 
     def _last_merge(self, piece: str) -> tuple[int, int]:
         """The two pieces whose merge completes ``piece`` when it is merged on its own."""
@@ -145,40 +134,6 @@ class Vocabulary:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return self.key[symbols[0]], self.key[symbols[1]]
 
-    def encode_unit(self, unit: str) -> list[int]:
-        """Keys of one unit by the same fold, in plain Python."""
-        kept: list[tuple[int, int]] = [(0, -1)]
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                k = self.key.get(unit[start:end])
-                if k is not None and self.follows(unit, kept[start], start, end, k):
-                    kept.append((start, k))
-                    break
-            else:
-                raise ValueError("no piece fits")
-        out, at = [], len(unit)
-        while at:
-            out.append(kept[at][1])
-            at = kept[at][0]
-        return out[::-1]
-
-    def follows(self, unit: str, before: tuple[int, int], at: int, end: int, key: int) -> bool:
-        if at == 0:
-            return True
-        right, left = self.right[before[1]], self.left[key]
-        for a in range(before[0], at):
-            x = 2 * (at - a - 1)
-            if right[x] == -2:
-                continue
-            for b in range(at + 1, end + 1):
-                y = 2 * (b - at - 1)
-                if left[y] == -2:
-                    continue
-                c = self.key.get(unit[a:b])
-                if c is not None and (t := max(c, right[x], left[y])) < right[x + 1] and t <= left[y + 1]:
-                    return False
-        return True
-
     def run(self, n: int) -> list[int]:
         """Ids of n spaces in a row: merged from the left, all runs alike in rank."""
         symbols = [1] * n if n < 64 else [16] * ((n - 32) // 16) + [1] * (n - 16 * ((n - 32) // 16))
@@ -191,145 +146,221 @@ class Vocabulary:
                 i += 1
         return [self.runs[s] for s in symbols]
 
-    def units(self, words: list[str]) -> list[list[str]]:
-        """Every word, a space before it, cut at the borders that no piece spans."""
-        points = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of every word, a space before it, cut at the borders that no piece spans; where each word's begin)."""
+        whole = SPACE + SPACE.join(words)
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4").astype(np.int64)
         pair = points[:-1] << 21 | points[1:]
         known = self.border_codes
         at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-        cuts = np.flatnonzero(known[at] != pair) + 1
-        begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-        first = np.searchsorted(cuts, begins, "right")
-        last = np.append(np.searchsorted(cuts, begins[1:], "left"), len(cuts))
-        cuts = cuts.tolist()
-        out = []
-        for word, begin, a, b in zip(words, begins.tolist(), first.tolist(), last.tolist(), strict=True):
-            word = SPACE + word
-            if a == b:
-                out.append([word])
-            else:
-                places = [0, *(c - begin for c in cuts[a:b]), len(word)]
-                out.append([word[i:j] for i, j in zip(places, places[1:])])
-        return out
+        cut = np.concatenate(([True], known[at] != pair))
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cut[begins[:-1]] = True
+        places = np.flatnonzero(cut)
+        bounds = places.tolist()
+        return [whole[i:j] for i, j in zip(bounds, [*bounds[1:], len(whole)], strict=True)], np.searchsorted(places, begins)
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """(piece, key, about): one row per piece; its size is the vocabulary's.
+    """(piece, key): one row per piece; its size is the vocabulary's."""
+    return spark.createDataFrame([(p, k) for k, p in enumerate(vocabulary.pieces)], "piece string, key bigint")
 
-    ``about`` is the right spine, the left spine and the id, one after another.
-    """
-    rows = [(p, k, vocabulary.right[k] + vocabulary.left[k] + [vocabulary.ids[k]]) for k, p in enumerate(vocabulary.pieces)]
-    return spark.createDataFrame(rows, "piece string, key int, about array<int>")
+
+def _left(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, by.cast("int"))
+
+
+def _right(x: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, by.cast("int"))
+
+
+def _bit(place: Column) -> Column:
+    return _left(F.lit(1).cast("bigint"), place)
+
+
+def _start(edge: Column) -> Column:
+    return F.shiftrightunsigned(edge, START).bitwiseAND(F.lit((1 << (RANK - START)) - 1))
+
+
+def _width(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit((1 << START) - 1))
+
+
+def _short_borders(length: Column, edges: Column) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """(borders left of a unit of up to ONE_LONG code points, how to read those under an edge)."""
+
+    def under(borders: Column, edge: Column) -> Column:
+        return _right(borders, _start(edge)).bitwiseAND(_bit(_width(edge) + 1) - 1)
+
+    def merged(borders: Column, edge: Column) -> Column:
+        def take(seen: Column) -> Column:
+            """Both ends and one place between: that one goes."""
+            ends = _bit(_width(edge)) + 1
+            return F.when((F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends), borders - _left(seen - ends, _start(edge))).otherwise(borders)
+
+        return let(under(borders, edge), take)
+
+    return F.aggregate(edges, _bit(length + 1) - 1, merged), under
+
+
+def _long_borders(length: Column, edges: Column) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """As ``_short_borders`` for any length: words of LONG_WORD borders in blocks of LONG_BLOCK, so that a merge copies two blocks at most."""
+    full = (1 << LONG_WORD) - 1
+    last = F.floor(length / LONG_WORD).cast("int")
+
+    def whole(block: Column) -> Column:
+        words = F.sequence(block * LONG_BLOCK, F.least(block * LONG_BLOCK + LONG_BLOCK - 1, last))
+        return F.transform(words, lambda q: F.when(q < last, F.lit(full)).otherwise(_bit(length % LONG_WORD + 1) - 1))
+
+    def word(borders: Column, q: Column) -> Column:
+        return F.coalesce(F.get(F.get(borders, F.floor(q / LONG_BLOCK).cast("int")), (q % LONG_BLOCK).cast("int")), F.lit(0).cast("bigint"))
+
+    def under(borders: Column, edge: Column) -> Column:
+        q, r = F.floor(_start(edge) / LONG_WORD), _start(edge) % LONG_WORD
+        both = _right(word(borders, q), r).bitwiseOR(_left(word(borders, q + 1), LONG_WORD - r))
+        return both.bitwiseAND(_bit(_width(edge) + 1) - 1)
+
+    def merged(borders: Column, edge: Column) -> Column:
+        q, r = F.floor(_start(edge) / LONG_WORD), _start(edge) % LONG_WORD
+        ends = _bit(_width(edge)) + 1
+
+        def without(gone: Column) -> Column:
+            low, high = _left(gone, r).bitwiseAND(F.lit(full)), _right(gone, LONG_WORD - r)
+
+            def block(words: Column, i: Column) -> Column:
+                first = i.cast("bigint") * LONG_BLOCK
+                cleared = F.transform(words, lambda x, j: F.when(first + j == q, x - low).when(first + j == q + 1, x - high).otherwise(x))
+                return F.when((first <= q + 1) & (first + LONG_BLOCK > q), cleared).otherwise(words)
+
+            return F.transform(borders, block)
+
+        def take(seen: Column) -> Column:
+            return F.when((F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends), let(seen - ends, without)).otherwise(borders)
+
+        return let(under(borders, edge), take)
+
+    begin = F.transform(F.sequence(F.lit(0), F.floor(last / LONG_BLOCK).cast("int")), whole)
+    return F.aggregate(edges, begin, merged), under
 
 
 def fold(length: Column, edges: Column) -> Column:
-    """Ids of one unit from its edges, struct<e, s, k, about> in order of e and s."""
-    state = "array<struct<s:int,id:int,about:array<int>>>"
-
-    def kept(all_edges: Column, wide: Column) -> Column:
-        def clash(before: Column, now: Column, own: Column) -> Column:
-            """Whether a piece across the border would have been merged before both neighbours were built."""
-
-            def crosses(c: Column) -> Column:
-                x, y = 2 * (now["s"] - c["s"] - 1), own + 2 * (c["e"] - now["s"] - 1)
-                r, f = before["about"], now["about"]
-                t = F.greatest(c["k"], r[x], f[y])
-                return F.when((c["e"] <= now["e"]) & (c["s"] >= before["s"]), F.when((r[x] != -2) & (f[y] != -2), (t < r[x + 1]) & (t <= f[y + 1])).otherwise(F.lit(False))).otherwise(F.lit(False))
-
-            return F.exists(wide, lambda c: F.when((c["s"] < now["s"]) & (c["e"] > now["s"]), crosses(c)).otherwise(F.lit(False)))
-
-        def step(acc: Column, now: Column) -> Column:
-            own = 2 * (now["e"] - now["s"])  # numbers of each of its spines
-            fits = F.when(F.size(acc) > now["e"], F.lit(False)).when(now["s"] == 0, F.lit(True)).otherwise(let(acc[now["s"]], lambda b: ~clash(b, now, own)))
-            entry = F.struct(now["s"].alias("s"), now["about"][2 * own].alias("id"), now["about"].alias("about"))
-            return F.when(fits, F.concat(acc, F.array(entry)).cast(state)).otherwise(acc)
-
-        return F.aggregate(all_edges, F.expr(f"cast(array(struct(0, -1, array())) as {state})"), step)
-
-    def back(path: Column) -> Column:
-        zero = F.struct(length.alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-        walked = F.aggregate(
-            F.sequence(F.lit(1), length),
-            zero,
-            lambda a, _: F.when(a["at"] == 0, a).otherwise(F.struct(path[a["at"]]["s"].alias("at"), F.concat(F.array(path[a["at"]]["id"]), a["ids"]).alias("ids"))),
-        )
-        return walked["ids"]
+    """Keys of the pieces of one unit, in order, from its edges (longs of rank, start and width)."""
+
+    def path(ordered: Column, borders: Callable) -> Column:
+        left, under = borders(length, ordered)
+
+        def between(state: Column) -> Column:
+            """Edges whose only borders are their ends, by start."""
+            kept = F.filter(ordered, lambda e: under(state, e) == _bit(_width(e)) + 1)
+            by_start = F.array_sort(F.transform(kept, lambda e: _left(_start(e), F.lit(24)).bitwiseOR(F.shiftrightunsigned(e, RANK))))
+            return F.transform(by_start, lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
+
+        return let(left, between)
 
-    # Only pieces of two characters or more can lie across a border.
-    return let(F.sort_array(edges), lambda ordered: let(F.filter(ordered, lambda c: c["e"] - c["s"] > 1), lambda wide: let(kept(ordered, wide), back)))
+    return let(F.sort_array(edges), lambda x: F.when(length <= ONE_LONG, path(x, _short_borders)).otherwise(path(x, _long_borders)))
 
 
-def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, ids) of distinct units: explode, equi-join, group, fold.
+def packed(keys: Column) -> tuple[Column, Column]:
+    """(the first PACK keys plus one in a long, the others or null)."""
+    head = F.aggregate(F.reverse(F.slice(keys, 1, PACK)), F.lit(0).cast("bigint"), lambda acc, k: F.shiftleft(acc, PACK_BITS).bitwiseOR(k.cast("bigint") + 1))
+    return head, F.when(F.size(keys) > PACK, F.slice(keys, F.lit(PACK + 1), F.size(keys)))
 
-    Units come spread by hash; explode and the broadcast join keep that, so the
-    group needs no second shuffle.
+
+def dictionary(units: DataFrame, vocabulary: Vocabulary, settings: Settings) -> DataFrame:
+    """(unit, keys) of distinct units that have a piece: explode, equi-join, group, fold.
+
+    Units come spread by hash; explodes and the broadcast join keep that, so the
+    group needs no second shuffle.  Rows of a unit also stay together, in the
+    order of a number given to it, so that the sort of the group finds them sorted.
+    Long units are exploded in overlapping windows, as a substring is found by counting from the start.
     """
-    longest = vocabulary.longest
-    numbered = units.select("unit", F.length("unit").alias("n"))
-    starts = numbered.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    parts = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("w"))
-    parts = parts.select("unit", "n", "s", (F.col("s") + F.col("w")).alias("e"), F.substr("unit", F.col("s") + 1, F.col("w")).alias("piece"))
+    longest, window = vocabulary.longest, settings.window
+    numbered = units.select("unit", F.monotonically_increasing_id().alias("u"), F.length("unit").alias("n"))
+    windows = numbered.select("unit", "u", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / window).cast("int"))).alias("b"))
+    windows = windows.select("unit", "u", "n", "b", F.substr("unit", F.col("b") * window + 1, F.lit(window + longest - 1)).alias("part"))
+    starts = windows.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(window), F.length("part")) - 1)).alias("i"))
+    parts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("i")))).alias("w"))
+    place = _left((F.col("b") * window + F.col("i")).cast("bigint"), F.lit(START)).bitwiseOR(F.col("w").cast("bigint"))
+    parts = parts.select("unit", "u", "n", place.alias("place"), F.substr("part", F.col("i") + 1, F.col("w")).alias("piece"))
     met = parts.join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece")
-    edges = met.groupBy("unit", "n").agg(F.collect_list(F.struct("e", "s", F.col("key").alias("k"), "about")).alias("edges"))
-    return edges.select("unit", fold(F.col("n"), F.col("edges")).alias("ids"))
+    edge = F.shiftleft("key", RANK).bitwiseOR(F.col("place"))
+    edges = met.select("u", "unit", "n", edge.alias("edge")).groupBy("u", "unit", "n").agg(F.collect_list("edge").alias("edges"))
+    return edges.select("unit", fold(F.col("n"), F.col("edges")).alias("keys"))
 
 
 class Cutter:
-    """Numbers of the units of texts; one for each chunk of texts.
-
-    Words are found by 64-bit hashes of their bytes; only new ones become
-    strings and are cut.
-    """
+    """Numbers of the units of texts; one for each chunk of texts.  Only new words become strings and are cut."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.number: dict[str, int] = {SPACE: 0}
-        self.hashes = kernel.segment_hashes(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))  # of the empty word
-        self.index = np.zeros(1, dtype=np.int64)
-        self.flat = np.zeros(1, dtype=np.uint32)
-        self.ends = np.array([0, 1], dtype=np.int64)
+        self.words = kernel.Words()
+        self.flat, self.ends = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        flat, sizes = array("I"), []
-        for units in self.vocabulary.units(words):
-            flat.extend([self.number.setdefault(u, len(self.number)) for u in units])
-            sizes.append(len(units))
-        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
+        units, begins = self.vocabulary.units(words)
+        number = self.number
+        flat = np.fromiter((number.setdefault(u, len(number)) for u in units), dtype=np.uint32, count=len(units))
+        self.ends = np.concatenate([self.ends, len(self.flat) + begins[1:]])
+        self.flat = np.concatenate([self.flat, flat])
 
     def cut(self, texts: list[str]) -> list[np.ndarray]:
         """Unit numbers of every text; 0 is a space that no word follows at once."""
         raw = [t.replace(SPACE, " ").encode() for t in texts]
         joined = b" ".join(raw) + b" "
-        buf = np.frombuffer(joined, dtype=np.uint8)
-        stops = np.flatnonzero(buf == 32)
+        stops = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
         starts = np.concatenate(([0], stops[:-1] + 1))
         at = np.concatenate(([0], np.cumsum([r.count(b" ") + 1 for r in raw])))
-        here, first, back = np.unique(kernel.segment_hashes(buf, starts, stops), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hashes, here), len(self.hashes) - 1)
-        index = self.index[place]
-        fresh = np.flatnonzero(self.hashes[place] != here)
-        if len(fresh):
-            index[fresh] = len(self.ends) - 1 + np.arange(len(fresh))
-            self._learn([joined[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)])
-            both = np.concatenate([self.hashes, here[fresh]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.index = both[order], np.concatenate([self.index, index[fresh]])[order]
-        word = index[back]
+        word, fresh = self.words.numbers(joined, starts, stops)
+        if fresh:
+            self._learn([w.decode() for w in fresh])
         begin, length = self.ends[word], self.ends[word + 1] - self.ends[word]
         numbers = self.flat[_ranges(begin, length)]
         ends = np.concatenate(([0], np.cumsum(length)))[at]
         return [numbers[a:b] if t else numbers[:0] for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers as four byte planes, which compress better than whole numbers."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+#: Numbers below the first bound take one byte, below the second two, below the third three; others five.
+_BOUNDS = (160, 160 + 80 * 256, 160 + 80 * 256 + 15 * 65536)
+
+
+def _streams(x: np.ndarray) -> list[bytes]:
+    """First bytes, and what follows them by its length: frequent numbers are small and share first bytes."""
+    one, two, three = _BOUNDS
+    first = np.full(len(x), 255, dtype=np.uint8)
+    at = x < one
+    first[at] = x[at]
+    at = (x >= one) & (x < two)
+    second = x[at] - np.uint32(one)
+    first[at] = 160 + (second >> 8)
+    at = (x >= two) & (x < three)
+    third = x[at] - np.uint32(two)
+    first[at] = 240 + (third >> 16)
+    low = lambda y: (y & 255).astype(np.uint8).tobytes()
+    return [first.tobytes(), low(second), low(third >> 8), low(third), x[x >= three].astype("<u4").tobytes()]
+
+
+def _numbers(streams: list[bytes]) -> np.ndarray:
+    one, two, _ = _BOUNDS
+    first, *rest = (np.frombuffer(b, np.uint8) for b in streams[:4])
+    second, high, low = (x.astype(np.uint32) for x in rest)
+    out = first.astype(np.uint32)
+    at = (first >= 160) & (first < 240)
+    out[at] = ((out[at] - 160) << 8) + second + one
+    at = (first >= 240) & (first < 255)
+    out[at] = ((out[at] - 240) << 16) + (high << 8) + low + two
+    out[first == 255] = np.frombuffer(streams[4], "<u4")
+    return out
+
+
+def _by_frequency(numbers: list[np.ndarray], count: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(old number of every new one, the numbers renamed): frequent ones first, after 0, which stays."""
+    flat = np.concatenate(numbers)
+    order = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=count)[1:], kind="stable")))
+    rank = np.empty(count, dtype=np.uint32)
+    rank[order] = np.arange(count)
+    ends = np.cumsum([len(x) for x in numbers])
+    return order, np.split(rank[flat], ends[:-1])
 
 
 def _chunk_bytes(keys: list[int | None], numbers: list[np.ndarray], sums: list[int]) -> bytes:
@@ -342,8 +373,10 @@ def _chunk_bytes(keys: list[int | None], numbers: list[np.ndarray], sums: list[i
     with pa.ipc.new_file(sink, table.schema) as out:
         out.write_table(table)
     head = sink.getvalue().to_pybytes()
-    body = zstandard.ZstdCompressor(level=3).compress(_planes(np.concatenate(numbers))) if numbers else b""
-    return len(head).to_bytes(8, "little") + head + body
+    codec = zstandard.ZstdCompressor(level=3)
+    streams = _streams(np.concatenate(numbers)) if numbers else [b""] * 5
+    parts = [head, *(codec.compress(x) for x in streams)]
+    return b"".join(len(x).to_bytes(8, "little") for x in parts) + b"".join(parts)
 
 
 def _read_chunk(path: str) -> tuple[pa.Table, np.ndarray]:
@@ -352,9 +385,10 @@ def _read_chunk(path: str) -> tuple[pa.Table, np.ndarray]:
     system, name = file_system(path)
     with system.open_input_file(name) as f:
         raw = f.read()
-    n = int.from_bytes(raw[:8], "little")
-    table = pa.ipc.open_file(pa.BufferReader(raw[8 : 8 + n])).read_all()
-    return table, _numbers(zstandard.ZstdDecompressor().decompress(raw[8 + n :], max_output_size=4 * (sum(table["n"].to_pylist()) + 1)))
+    ends = np.cumsum([48] + [int.from_bytes(raw[i : i + 8], "little") for i in range(0, 48, 8)]).tolist()
+    head, *streams = (raw[i:j] for i, j in zip(ends, ends[1:]))
+    table = pa.ipc.open_file(pa.BufferReader(head)).read_all()
+    return table, _numbers([zstandard.ZstdDecompressor().decompress(x) for x in streams])
 
 
 def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> DataFrame:
@@ -366,8 +400,10 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
 
         def close() -> pa.RecordBatch:
             chunk = uuid.uuid4().int >> 65
-            write_bytes(f"{folder}/{chunk}", iter([_chunk_bytes(*held)]))
             units = list(cutter.number)
+            order, renamed = _by_frequency(held[1], len(units))
+            write_bytes(f"{folder}/{chunk}", iter([_chunk_bytes(held[0], renamed, held[2])]))
+            units = [units[i] for i in order.tolist()]
             return pa.RecordBatch.from_arrays([pa.array([chunk] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array(units)], names=["chunk", "number", "unit"])
 
         for batch in batches:
@@ -395,24 +431,36 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "chunk long, number int, unit string")
 
 
-def _joined(numbers: np.ndarray, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Ids of one text in which some space is not followed by a word at once."""
-    out: list[int] = []
-    spaces = 0
-    for u in numbers.tolist():
-        if u == 0:
-            spaces += 1
-            continue
-        ids = flat[start[u] : start[u] + lengths[u]].tolist()
-        if spaces:
-            if ids[0] == vocabulary.runs[1]:
-                out += vocabulary.run(spaces + 1)
-                ids = ids[1:]
-            else:
-                out += vocabulary.run(spaces)
-            spaces = 0
-        out += ids
-    return np.array(out + (vocabulary.run(spaces) if spaces else []), dtype=np.int32)
+def _ids_of_texts(numbers: np.ndarray, ends: np.ndarray, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
+    """Ids of texts whose unit numbers end at ``ends``.
+
+    Zeros are spaces that no word follows at once.  A run of them, with the
+    space of the word after it where that begins with one, is one run of spaces.
+    """
+    numbers = numbers.astype(np.int64)
+    zero = numbers == 0
+    begins = np.concatenate(([0], ends[:-1]))
+    text_starts = np.zeros(len(numbers) + 1, dtype=bool)
+    text_starts[begins] = True
+    opens = np.flatnonzero(zero & (text_starts[:-1] | np.concatenate(([True], ~zero[:-1]))))
+    begin, length = start[numbers], lengths[numbers]
+    if len(opens):
+        closes = np.flatnonzero(zero & (text_starts[1:] | np.concatenate((~zero[1:], [True])) | (np.arange(1, len(numbers) + 1) == len(numbers)))) + 1
+        after = np.minimum(closes, len(numbers) - 1)
+        eats = (closes < len(numbers)) & ~text_starts[closes] & (flat[np.minimum(start[numbers[after]], len(flat) - 1)] == vocabulary.runs[1])
+        begin[after[eats]] += 1
+        length[after[eats]] -= 1
+        length[zero] = 0
+        spaces = closes - opens + eats
+        known = np.unique(spaces).tolist()
+        runs = [np.array(vocabulary.run(n), dtype=np.int32) for n in known]
+        size = np.array([len(r) for r in runs])
+        where = np.searchsorted(known, spaces)
+        begin[opens], length[opens] = (len(flat) + np.cumsum(size) - size)[where], size[where]
+        flat = np.concatenate([flat, *runs])
+    ids = flat[_ranges(begin, length)]
+    at = np.concatenate(([0], np.cumsum(length)))
+    return [ids[i:j] for i, j in zip(at[begins].tolist(), at[ends].tolist(), strict=True)]
 
 
 def decode_ids(ids: np.ndarray, text_of_id: list[bytes]) -> bytes:
@@ -421,13 +469,6 @@ def decode_ids(ids: np.ndarray, text_of_id: list[bytes]) -> bytes:
     return raw[1:] if raw[:1] == b" " else raw
 
 
-def _spread(units: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct units over so many partitions that one holds the edges of ``task_units`` units, about."""
-    distinct = saved(units.select("unit").distinct(), "pieces-distinct")
-    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // settings.task_units + 1)
-    return distinct.repartition(parts, "unit")
-
-
 @contextmanager
 def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for the jobs inside."""
@@ -449,52 +490,58 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
     system.create_dir(name, recursive=True)
     with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
         cut = saved(cut_texts(docs, shared, folder, settings), "pieces-units")
-    short = (F.length("unit") > 1) & (F.length("unit") <= settings.max_unit)
-    # Edges of a unit arrive together, so a sort of them would only cost.
-    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20)):
-        known = saved(dictionary(_spread(cut.where(short), settings), vocabulary), "pieces-dictionary")
-    # A unit goes along only where it has no entry.
-    met = cut.join(known, "unit", "left").select("chunk", "number", F.when(F.col("ids").isNull(), F.col("unit")).alias("unit"), "ids")
+    rows = cut.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // settings.task_units + 1, settings.most_tasks))
+    dealt = cut.where("unit is not null").repartition(tasks, "unit")
+    # Reads all columns, so that both uses of ``dealt`` are one exchange.
+    distinct = dealt.groupBy("unit").agg(F.min("chunk").alias("c"), F.min("number").alias("n")).where("c >= 0 and n >= 0").select("unit")
+    head, more = packed(F.col("keys"))
+    known = dictionary(distinct, vocabulary, settings).select("unit", head.alias("head"), more.alias("more"))
+    # A unit without a piece is one character that becomes bytes.
+    met = dealt.join(known.hint("shuffle_hash"), "unit", "left").select("chunk", "number", F.coalesce("head", -1 - F.ascii("unit").cast("bigint")).alias("head"), "more")
 
     def assemble(table: pa.Table) -> pa.Table:
         voc: Vocabulary = shared.value
         table = table.sort_by("number")
-        units = table["unit"].to_pylist()
-        lists = table["ids"].combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([0 if x is None else len(x) for x in lists.to_pylist()])
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        missing = np.flatnonzero(lengths == 0)
-        extra = [_plain(units[i], voc) for i in missing.tolist()]
-        start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        start[missing] = len(flat) + np.concatenate(([0], np.cumsum([len(x) for x in extra])))[:-1]
-        lengths[missing] = [len(x) for x in extra]
-        flat = np.concatenate([flat, np.array([i for x in extra for i in x], dtype=np.int32)])
+        flat, start, lengths = _unpacked(table["head"].to_numpy(), table["more"], voc)
         docs_, numbers = _read_chunk(f"{folder}/{table['chunk'][0].as_py()}")
         ends = np.cumsum(docs_["n"].to_numpy())
-        out, good = [], []
-        for a, b, crc in zip((ends - docs_["n"].to_numpy()).tolist(), ends.tolist(), docs_["crc"].to_pylist(), strict=True):
-            mine = numbers[a:b].astype(np.int64)
-            if (mine == 0).any():
-                got = _joined(mine, flat, start, lengths, voc)
-            else:
-                got = flat[_ranges(start[mine], lengths[mine])]
-            out.append(got)
-            good.append(zlib.crc32(decode_ids(got, voc.text_of_id)) == crc)
+        out, first = [], 0
+        while first < len(ends):  # texts of a million units, or one longer text, at once
+            from_ = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, from_ + (1 << 20), "right")))
+            out += _ids_of_texts(numbers[from_ : ends[last - 1]], ends[first:last] - from_, flat, start, lengths, voc)
+            first = last
+        good = [zlib.crc32(decode_ids(got, voc.text_of_id)) == crc for got, crc in zip(out, docs_["crc"].to_pylist(), strict=True)]
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))), pa.int32())
         values = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
-        del flat, numbers, extra, lists, table
+        del flat, numbers, table
         kernel.give_back()
         return pa.table({"doc_id": docs_["doc_id"], "ids": pa.ListArray.from_arrays(offsets, values), "round_trip": pa.array(good, pa.bool_())})
 
     return met.groupBy("chunk").applyInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
 
 
-def _plain(unit: str, voc: Vocabulary) -> list[int]:
-    """Ids of a unit that is not in the dictionary: one character, or very long."""
-    if len(unit) == 1:
-        k = voc.key.get(unit)
-        return [voc.ids[k]] if k is not None else [voc.byte_ids[b] for b in unit.encode()]
-    return [voc.ids[k] for k in voc.encode_unit(unit)]
+def _unpacked(head: np.ndarray, more: pa.ChunkedArray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all units, where each unit's begin, how many it has)."""
+    id_of = np.array([0, *voc.ids], dtype=np.int32)
+    bare = np.flatnonzero(head < 0)
+    keys = np.where(head < 0, 0, head).astype("<i8").view("<u2").reshape(-1, PACK)
+    first = (keys > 0).sum(axis=1)
+    lists = more.combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+    lone = [np.array([voc.byte_ids[b] for b in chr(-1 - int(head[i])).encode()], dtype=np.int32) for i in bare.tolist()]
+    size[bare] = [len(x) for x in lone]
+    lengths = first.astype(np.int64) + size
+    start = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), dtype=np.int32)
+    flat[_ranges(start, first)] = id_of[keys[keys > 0]]
+    long = np.flatnonzero((size > 0) & (head >= 0))
+    flat[_ranges(start[long] + first[long], size[long])] = id_of[values[_ranges(offsets[long], size[long])] + 1]
+    for i, x in zip(bare.tolist(), lone, strict=True):
+        flat[start[i] : start[i] + len(x)] = x
+    return flat, start, lengths
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
