@@ -1,21 +1,24 @@
 """N-gram Jaccard self-join of documents by grouped prefixes.
 
-A document's set is its distinct k-word shingles, as 64-bit hashes.  Two
-documents link when the Jaccard similarity of their sets reaches the limit.
-
-1. Shingle frequencies are counted in a fixed number of buckets; they give one
-   global order, rare shingles first (any fixed order is exact, a rare-first
-   one keeps posting lists short).
+A document's set is its distinct k-word shingles, as 64-bit hashes of which
+words of up to eight bytes are exact keys.  Two documents link when the Jaccard
+similarity of their sets reaches the limit; every link between different texts
+is decided on their words, not on hashes.
+
+1. Shingle frequencies are counted in buckets, whose number follows the size of
+   the texts within bounds; they give one global order, rare shingles first (any
+   fixed order is exact, a rare-first one keeps posting lists short).
 2. A set's prefix is as many of its first shingles as two linked sets must
    share one of.  Documents with equal prefix and size form a group, and
-   groups, not documents, stand in the posting lists.
+   groups, not documents, stand in the posting lists.  Lists are dealt out by
+   ranges of (shingle, order), so that one of any length spreads over tasks.
 3. Round one takes neighbours in each list, in one of a few mixed orders;
    round two pairs groups with the one of the list that has most links by then,
    and in lists of large components with a few more;
    round three takes all pairs of groups that are not connected after those.
    Pairs are filtered by size, by position, by shared prefix shingles and by an
    exact bound from parity bitmaps; groups are expanded to their different
-   sets, and sets are verified on whole texts.  Pairs that are connected
+   word sequences, and those are verified on whole texts.  Pairs that are connected
    already cannot change a component, so a large group of near copies costs a
    few chains and a star, not its square.
 4. Components come from alternating stars.
@@ -45,12 +48,17 @@ from pathloom.llm.storage import saved
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words of a shingle. percent: least similarity. bits: log2 of frequency buckets. id_bits: log2 of the id filter's bits."""
+    """k: words of a shingle. percent: least similarity. bits, most_bits: log2 of frequency buckets, at least and at most
+    (a byte each is sent to all). id_bits: log2 of the id filter's bits. slot: rows of a list that one window orders, about.
+    task_rows: rows of posting lists in a task, about."""
 
     k: int = 5
     percent: int = 75
     bits: int = 22
+    most_bits: int = 26
     id_bits: int = 22
+    slot: int = 1000
+    task_rows: int = 1_000_000
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -69,11 +77,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def _fold(values: np.ndarray, salt: int) -> int:
-    """An order-dependent 64-bit hash of an array."""
-    powers = kernel._POWERS.at_least(len(values) + 1)[0][1:]
-    total = kernel.mix((kernel.mix(values ^ np.uint64(salt)) * powers).sum(dtype=np.uint64).reshape(1) + np.uint64(len(values)))
-    return int(total.astype(np.int64)[0])
+def _fold(values: np.ndarray, size: int) -> int:
+    """A 64-bit digest of an array and a number."""
+    return int.from_bytes(kernel.digest(values.tobytes() + size.to_bytes(8, "little")), "little", signed=True)
 
 
 def parity_bitmap(shingles: np.ndarray) -> list[int]:
@@ -113,18 +119,24 @@ STEPS = (1, 2, 4, 8)
 class _Order:
     """Rare-first order of shingles, from the broadcast bucket levels."""
 
-    def __init__(self, levels, settings: Settings) -> None:
-        self.levels, self.settings = levels, settings
+    def __init__(self, levels, bits: int, settings: Settings) -> None:
+        self.levels, self.bits, self.settings = levels, bits, settings
 
     def ordered(self, shingles: np.ndarray) -> np.ndarray:
-        level = np.frombuffer(self.levels.value, np.uint8)[(shingles >> np.uint64(64 - self.settings.bits)).astype(np.int64)]
+        level = np.frombuffer(self.levels.value, np.uint8)[(shingles >> np.uint64(64 - self.bits)).astype(np.int64)]
         return shingles[np.argsort((level.astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8)), kind="stable")]
 
     def prefix(self, shingles: np.ndarray) -> np.ndarray:
         return self.ordered(shingles)[: prefix_length(len(shingles), self.settings.percent)]
 
 
-def frequency_levels(docs: DataFrame, settings: Settings) -> bytes:
+def bucket_bits(docs: DataFrame, settings: Settings) -> int:
+    """log2 of the frequency buckets: some 32 words, of six letters each, share one, within the bounds."""
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    return min(settings.most_bits, max(settings.bits, (chars // (6 * 32)).bit_length()))
+
+
+def frequency_levels(docs: DataFrame, bits: int, settings: Settings) -> bytes:
     """Half-octave frequency level of every bucket, over all documents: 2**bits bytes."""
     k = settings.k
 
@@ -139,77 +151,119 @@ def frequency_levels(docs: DataFrame, settings: Settings) -> bytes:
         if held:
             yield np.concatenate(held)
 
-    counts = hash_counts(docs.select("text"), hashes, settings.bits)
+    counts = hash_counts(docs.select("text"), hashes, bits)
     return np.minimum(2 * np.log2(counts + 1), 255).astype(np.uint8).tobytes()
 
 
 def described(docs: DataFrame, order: _Order) -> DataFrame:
-    """doc_id, n, gk (prefix and size), sk (set) and parity bitmap of every row."""
+    """doc_id, n, gk (prefix and size), sk (set), qk (words in their order), parity bitmap and prefix of every row."""
     k = order.settings.k
+    kinds = {"n": pa.int64(), "gk": pa.int64(), "sk": pa.int64(), "qk": pa.binary(), "bits": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gk, sk, bits = [], [], [], []
-            for s in _sets(_texts(batch.column(1)), k):
-                n.append(len(s))
-                gk.append(_fold(order.prefix(s), len(s)))
-                sk.append(_fold(s, 7))
-                bits.append(parity_bitmap(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gk, pa.int64()), pa.array(sk, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "gk", "sk", "bits"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, gk long, sk long, bits array<long>")
-
-
-def postings(docs: DataFrame, order: _Order) -> DataFrame:
-    """(token, gk, n, pos): the prefix of every group, once for each task that meets it."""
-    k = order.settings.k
+            texts = _texts(batch.column(1))
+            out: dict[str, list] = {c: [] for c in kinds}
+            for s, text in zip(_sets(texts, k), texts, strict=True):
+                prefix = order.prefix(s)
+                out["n"].append(len(s))
+                out["gk"].append(_fold(prefix, len(s)))
+                out["sk"].append(_fold(s, len(s)))
+                out["qk"].append(kernel.digest(b" ".join(text.split()), 16))
+                out["bits"].append(parity_bitmap(s))
+                out["prefix"].append(prefix.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], t) for c, t in kinds.items())], names=["doc_id", *kinds])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, gk long, sk long, qk binary, bits array<long>, prefix array<long>")
+
+
+def neighbours(rows: DataFrame, key: str, other: str, order: list[Column], carried: list[str], tasks: int) -> DataFrame:
+    """Rows whose ``key`` has at least two values of ``other``, one for each value, with the columns ``carried`` of the row before.
+
+    Rows are dealt out by ranges of the order, so that a key with very many
+    rows spreads over tasks; at the border of two tasks a row may be without
+    the one before, and rows there are kept in any case.
+    """
+    columns = list(dict.fromkeys([key, other, *carried]))
+    places = [F.col(key), *order, F.col(other)]
+    named = rows.select(*columns, *(c.alias(f"__{i}") for i, c in enumerate(places[1:-1])))
+    by = [F.col(key), *(F.col(f"__{i}") for i in range(len(order))), F.col(other)]
+    dealt = named.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        held = None  # the last row, and the one before that it was compared with
+
+        def pairs(table: pa.Table, first: bool, last: bool) -> pa.RecordBatch | None:
+            """Of all rows but the first (already told) and, unless it is the end, the last."""
+            k, o = table[key].to_numpy(), table[other].to_numpy()
+            same = k[1:] == k[:-1]
+            near = np.zeros(len(k), dtype=bool)
+            near[1:] |= same
+            near[:-1] |= same
+            if first:
+                near[0] = True
+            if last:
+                near[-1] = True
+            before = np.concatenate(([False], same))
+            at = np.flatnonzero(near)
+            at = at[(at > 0) | first]
+            at = at[(at < len(k) - 1) | last]
+            if not len(at):
+                return None
+            own = table.take(pa.array(at))
+            prior = table.take(pa.array(np.maximum(at - 1, 0)))
+            none = pa.array(~before[at])
+            import pyarrow.compute as pc
+
+            cols = [own[c].combine_chunks() for c in columns] + [pc.if_else(none, pa.scalar(None, prior[c].type), prior[c].combine_chunks()) for c in carried]
+            return pa.RecordBatch.from_arrays(cols, names=[*columns, *(f"p_{c}" for c in carried)])
+
+        first = True
         for batch in batches:
-            tokens, gks, ns, lengths = [], [], [], []
-            for s in _sets(_texts(batch.column(0)), k):
-                prefix = order.prefix(s)
-                gk = _fold(prefix, len(s))
-                if len(s) and gk not in met:
-                    met.add(gk)
-                    tokens.append(prefix)
-                    gks.append(gk)
-                    ns.append(len(s))
-                    lengths.append(len(prefix))
-            if tokens:
-                times = np.array(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens).astype(np.int64)),
-                        pa.array(np.repeat(np.array(gks, np.int64), times)),
-                        pa.array(np.repeat(np.array(ns, np.int32), times)),
-                        pa.array(np.concatenate([np.arange(t, dtype=np.int32) for t in lengths])),
-                    ],
-                    names=["token", "gk", "n", "pos"],
-                )
-        met.clear()
-        kernel.give_back()
-
-    return docs.select("text").mapInArrow(run, "token long, gk long, n int, pos int")
-
-
-def shared_lists(posts: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two groups have, with the group before in the list's order.
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            k, o = table[key].to_numpy(), table[other].to_numpy()
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
+            if not fresh.all():
+                table = table.filter(pa.array(fresh))
+            if table.num_rows > (1 if first else 2):
+                got = pairs(table, first, False)
+                if got is not None:
+                    yield got
+                first = False
+                held = table.slice(table.num_rows - 2)
+            else:
+                held = table
+        if held is not None:
+            got = pairs(held, first, True)
+            if got is not None:
+                yield got
+
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + [f"p_{c} {kinds[c]}" for c in carried])
+    return dealt.mapInArrow(run, schema)
+
+
+def task_count(rows: DataFrame, settings: Settings) -> int:
+    """Tasks for a saved table of posting lists."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // settings.task_rows + 1)
+
+
+def shared_lists(groups: DataFrame, settings: Settings) -> DataFrame:
+    """(token, gk, n, pos) of tokens in the prefixes of at least two groups, with the group before in the list's order.
 
     The order is one of ORDERS mixed ones within bands of size: equal orders
     everywhere would give a large group of near copies the same neighbours in
     all of its lists.
     """
+    posts = groups.select("gk", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     band = F.floor(F.log("n") * 8)  # sizes near each other stay together
-    by = Window.partitionBy("token").orderBy(band, F.xxhash64("gk", F.pmod("token", F.lit(ORDERS))), "gk", "n")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = {f"p_{c}": F.lag(c).over(by) for c in ("gk", "n", "pos")}
-    rows = posts.withColumns({"low": F.min("gk").over(whole), "high": F.max("gk").over(whole), **before})
-    return rows.where("low <> high and (p_gk is null or p_gk <> gk)").drop("low", "high")
+    tokens = groups.agg(F.sum(F.size("prefix")).alias("t")).first()["t"] or 0
+    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // settings.task_rows + 1)
+    return neighbours(posts, "token", "gk", [band, F.xxhash64("gk", F.pmod("token", F.lit(ORDERS)))], ["gk", "n", "pos"], tasks)
 
 
 def near_sizes(nx: Column, ny: Column, percent: int) -> Column:
@@ -261,21 +315,46 @@ def texts_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
     return some.join(ids.distinct(), "id", "left_semi")
 
 
+def overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int]:
+    """(shingles in common, of a, of b) of two sequences of word numbers, without hashes."""
+    width = min(len(a), k)
+    if not width or width != min(len(b), k):
+        return 0, 0, 0
+    known, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, m = code[: len(a)], code[len(a) :], len(known)
+    p, q, most = x[: len(a) - width + 1], y[: len(b) - width + 1], m
+    for j in range(1, width):
+        if most * m >= 1 << 62:
+            known, code = np.unique(np.concatenate([p, q]), return_inverse=True)
+            p, q, most = code[: len(p)], code[len(p) :], len(known)
+        p, q, most = p * m + x[j : len(a) - width + 1 + j], q * m + y[j : len(b) - width + 1 + j], most * m
+    p, q = np.unique(p), np.unique(q)
+    return len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) whose whole texts reach the similarity."""
+    """Pairs (a, b) whose whole texts reach the similarity, word for word."""
     k, percent = settings.k, settings.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] | None = None  # rows come with equal first texts together
+        number: dict[bytes, int] = {}
+
+        def words(text: bytes) -> np.ndarray:
+            return np.array([number.setdefault(w, len(number)) for w in text.split()], dtype=np.int64)
+
+        last: tuple[bytes, np.ndarray] | None = None  # rows come with equal second texts together
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ta, tb = _texts(batch.column(2)), _texts(batch.column(3))
             keep = []
             for i in range(len(a)):
+                if len(number) > 1_000_000:
+                    number.clear()
+                    last = None
                 if last is None or last[0] != tb[i]:
-                    last = (tb[i], next(_sets([tb[i]], k)))
-                x, y = next(_sets([ta[i]], k)), last[1]
-                if len(x) and enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                    last = (tb[i], words(tb[i]))
+                both, x, y = overlap(words(ta[i]), last[1], k)
+                if both and enough(both, x, y, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
@@ -299,11 +378,13 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id of every row of ``docs`` (doc_id, text)."""
     spark, percent = docs.sparkSession, settings.percent
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    order = _Order(spark.sparkContext.broadcast(frequency_levels(docs, settings)), settings)
+    bits = bucket_bits(docs, settings)
+    order = _Order(spark.sparkContext.broadcast(frequency_levels(docs, bits, settings)), bits, settings)
     rows = saved(described(docs, order), "jaccard-rows")
-    sets = rows.where("n > 0").groupBy("n", "gk", "sk").agg(F.min("doc_id").alias("sid"), F.first("bits").alias("bits")).where("sid is not null")
-    sets = saved(sets, "jaccard-sets")
-    lists = saved(shared_lists(postings(docs, order)), "jaccard-lists")
+    named = rows.where("n > 0 and doc_id is not null")
+    sets = saved(named.groupBy("n", "gk", "sk", "qk").agg(F.min("doc_id").alias("sid"), F.first("bits").alias("bits")), "jaccard-sets")
+    groups = saved(named.groupBy("gk", "n").agg(F.first("prefix").alias("prefix")), "jaccard-groups")
+    lists = saved(shared_lists(groups, settings), "jaccard-lists")
 
     def member_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         return pairs.join(left, "x").join(right, "y").select("a", "b")
@@ -314,7 +395,7 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ), percent).select("x", "y")
     reps = sets.groupBy("gk").agg(F.min("sid").alias("sid"))
     between = member_pairs(chain, reps.select(F.col("gk").alias("x"), F.col("sid").alias("a")), reps.select(F.col("gk").alias("y"), F.col("sid").alias("b")))
-    within = sets.select(F.col("sid").alias("a"), F.lag("sid").over(Window.partitionBy("gk").orderBy("sid")).alias("b")).where("b is not null")
+    within = neighbours(sets, "gk", "sid", [], ["sid"], task_count(sets, settings)).where("p_sid is not null").select(F.col("sid").alias("a"), F.col("p_sid").alias("b"))
     first = _links(between.unionByName(within), docs, sets, settings, "jaccard-1")
 
     # Round two: the best linked group of each list with the others there that it is not connected to.
@@ -324,21 +405,21 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             sets.select("gk", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("gk", "sid", F.coalesce("component", "sid").alias("comp")),
             f"{name}-members",
         )
-        token = Window.partitionBy("token")
         kinds = members.groupBy("gk", "comp").agg(F.min("sid").alias("sid"))
-        mixed = (
-            lists.select("token", "gk", "n", "pos").join(kinds, "gk")
-            .withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low <> high").drop("low", "high")
-        )
-        return members, saved(mixed, f"{name}-mixed")
+        held = lists.select("token", "gk", "n", "pos").join(kinds, "gk")
+        differ = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        # Written, so that the join has two dealt sides, of which a hot token's can be split.
+        return members, saved(held.join(saved(differ, f"{name}-differ"), "token", "left_semi"), f"{name}-mixed")
 
     found = components(first)
     members, mixed = connected(found, "jaccard-1")
     degree = first.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
-    per_list = Window.partitionBy("token")
-    rated = mixed.join(degree, "sid", "left").withColumn("hub", F.max(F.struct("links", "gk", "n", "pos", "comp", "sid")).over(per_list)).where("hub.links is not null")
-    shuffled = per_list.orderBy(F.xxhash64("gk", "token"), "gk", "comp")
+    rated = saved(mixed.join(degree, "sid", "left"), "jaccard-rated")
     entry = F.struct("links", "gk", "n", "pos", "comp", "sid")
+    hubs = rated.groupBy("token").agg(F.max(entry).alias("hub"), F.count(F.lit(1)).alias("rows")).where("hub.links is not null")
+    rated = rated.join(saved(hubs, "jaccard-hubs"), "token").withColumn("slot", F.pmod(F.xxhash64("token", "gk"), F.ceil(F.col("rows") / settings.slot)))
+    rated = rated.repartition("token", "slot")  # else the join's partitions, by token, would serve the window
+    shuffled = Window.partitionBy("token", "slot").orderBy(F.xxhash64("gk", "token"), "gk", "comp")
     before = {f"before{i}": F.when(F.col("hub.links") >= CROWD, F.lag(entry, i).over(shuffled)) for i in STEPS}
     spokes = rated.withColumns(before).select("sid", "n", "pos", "comp", F.explode(F.array("hub", *before)).alias("o")).where(F.col("comp") != F.col("o.comp")).select(
         F.col("sid").alias("x"), F.col("o.sid").alias("y"), F.col("n").alias("nx"), F.col("o.n").alias("ny"), F.col("pos").alias("px"), F.col("o.pos").alias("py")
@@ -367,11 +448,12 @@ def link_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     if not second.isEmpty():
         found = linked(found, second)
-    classes = sets.select("n", "gk", "sk", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "n", "gk", "sk", "sid", F.coalesce("component", "sid").alias("component")
+    same = sets.groupBy("n", "gk", "sk").agg(F.min("sid").alias("set_id"))
+    classes = sets.select("n", "gk", "sk", "qk", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").join(same, ["n", "gk", "sk"]).select(
+        "n", "gk", "sk", "qk", "set_id", F.coalesce("component", "sid").alias("component")
     )
-    return rows.drop("bits").join(classes, ["n", "gk", "sk"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("sid", "doc_id").alias("set_id")
+    return rows.select("doc_id", "n", "gk", "sk", "qk").join(classes, ["n", "gk", "sk", "qk"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id")
     )
 
 
