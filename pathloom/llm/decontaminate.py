@@ -8,14 +8,17 @@ is kept if the best stretch with matches and substitutions has enough matching
 words, or if a fixed share of all the item's words match.  Items of few windows
 have short seeds besides, of which at least one is whole wherever that share is.
 
-The test items go to executors in blocks of a bounded number of words, and
-every block is one more narrow pass over the rows in the same stage, so the
-size of what is broadcast does not depend on the size of the benchmark.
+Test items of up to ``block_words`` words in all go to executors, and rows are
+judged in one narrow stage.  Beyond that, seeds of items and of texts are two
+tables joined by equality, and their candidates meet the texts by a digest; of
+the items nothing but a bitmap of a fixed number of bits is sent around.  Both
+ways give the same result.
 
 Edge cases: null and empty texts, and items without words, match nothing; an
 item shorter than a window must occur whole; rows with equal ids are judged one
 by one; items that repeat are each reported; an empty table gives an empty
-result, an empty benchmark leaves every row clean; other columns are ignored.
+result, an empty benchmark leaves every row clean; other columns, of any name,
+are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import textkernel as kernel
+from pathloom.llm.hashcounts import hash_counts
+from pathloom.llm.storage import saved
 
 #: Word bytes are letters, digits and all of non-ASCII; everything else separates words.
 _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
@@ -39,7 +45,8 @@ _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128
 class Settings:
     """masks: 1 takes a word, 0 ignores it; equal lengths. short_masks: for items of a window to ``short`` - 1 words.
     min_words: matching words needed in a stretch. share: of the item's words needed otherwise, all below a window.
-    penalty: of a substitution against a match. block_words: words of test items broadcast at once."""
+    penalty: of a substitution against a match. block_words: words of test items broadcast at most.
+    seed_bits: log2 of the bits that tell which seeds of texts are worth joining, with more items than that."""
 
     masks: tuple[str, ...] = ("110110101", "101101101", "111010011")
     short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
@@ -48,6 +55,7 @@ class Settings:
     share: float = 0.75
     penalty: float = 2.0
     block_words: int = 500_000
+    seed_bits: int = 24
 
 
 def words_bytes(text: str | None) -> bytes:
@@ -67,34 +75,36 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return kernel.mix(out)
 
 
+def masks_of(n: int, settings: Settings) -> list[str]:
+    """Masks laid over an item of n words; one shorter than a window has a mask of its own length."""
+    if n < len(settings.masks[0]):
+        return ["1" * n] if n else []
+    return [*settings.masks, *(settings.short_masks if n < settings.short else ())]
+
+
 @dataclass
 class Block:
-    """Test items of one block: their words, and the sorted hashes of their windows."""
+    """Test items: their words, and the sorted hashes of their windows."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     masks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def index(self, settings: Settings) -> Block:
-        span = len(settings.masks[0])
-        for mask in sorted({*settings.masks, *settings.short_masks, *("1" * len(w) for w in self.words if 0 < len(w) < span)}):
+        used = [masks_of(len(w), settings) for w in self.words]
+        for mask in sorted({m for some in used for m in some}):
             h, item, at = [], [], []
             for i, w in enumerate(self.words):
-                if len(w) < span:
-                    taken = mask == "1" * len(w)
-                else:
-                    taken = mask in settings.masks or len(w) < settings.short and mask in settings.short_masks
-                if taken:
+                if mask in used[i]:
                     got = seed_hashes(w, mask, len(mask))
                     h.append(got)
                     item.append(np.full(len(got), i))
                     at.append(np.arange(len(got)))
-            if h:
-                h, item, at = map(np.concatenate, (h, item, at))
-                order = np.argsort(h, kind="stable")
-                table = np.zeros(1 << 20, dtype=bool)
-                table[(h >> np.uint64(44)).astype(np.int64)] = True
-                self.masks[mask] = (h[order], item[order], at[order], table)
+            h, item, at = map(np.concatenate, (h, item, at))
+            order = np.argsort(h, kind="stable")
+            table = np.zeros(1 << 20, dtype=bool)
+            table[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.masks[mask] = (h[order], item[order], at[order], table)
         return self
 
 
@@ -147,44 +157,134 @@ def leaks(texts: list[bytes], block: Block, settings: Settings) -> list[list[tup
     return out
 
 
-def blocks(tests: DataFrame, settings: Settings, key: str, text: str) -> Iterator[Block]:
-    """Blocks of test items; the driver holds one block at a time."""
-    ids, words, size = [], [], 0
-    for row in tests.select(tests[key].cast("long").alias("k"), tests[text].alias("t")).toLocalIterator():
-        w = kernel.word_hashes([words_bytes(row["t"])])[0]
-        if len(w) == 0:
-            continue
-        if size and size + len(w) > settings.block_words:
-            yield Block(ids, words).index(settings)
-            ids, words, size = [], [], 0
-        ids.append(row["k"])
-        words.append(w)
-        size += len(w)
-    if size:
-        yield Block(ids, words).index(settings)
+_NAMES = ("item_id", "n_words", "first_word", "end_word")
+_FOUND = f"array<struct<{','.join(f'{c}:bigint' for c in _NAMES)}>>"
+_FOUND_TYPE = pa.list_(pa.struct([(c, pa.int64()) for c in _NAMES]))
+
+
+def items_of(tests: DataFrame, test_key: str, test_text: str) -> DataFrame:
+    """(item, item_id, words): a number of its own and the word hashes of every test row that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [kernel.word_hashes([words_bytes(t)])[0].view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], names=["item", "item_id", "words"])
+
+    rows = tests.select(F.monotonically_increasing_id().alias("item"), tests[test_key].cast("long").alias("item_id"), tests[test_text].alias("text"))
+    return saved(rows.mapInArrow(run, "item long, item_id long, words array<long>").where(F.size("words") > 0), "decontaminate-items")
+
 
+def block_of(items: DataFrame, settings: Settings) -> Block | None:
+    """All items as one block, or None if they have more than ``block_words`` words."""
+    if (items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0) > settings.block_words:
+        return None
+    rows = items.orderBy("item").collect()  # block_words words at most
+    return Block([r["item_id"] for r in rows], [np.array(r["words"], dtype=np.int64).view(np.uint64) for r in rows]).index(settings)
 
-_FOUND = "array<struct<item_id:bigint,n_words:bigint,first_word:bigint,end_word:bigint>>"
-_FOUND_TYPE = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "n_words", "first_word", "end_word")]))
+
+def text_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def joined_leaks(docs: DataFrame, items: DataFrame, settings: Settings, text: str) -> DataFrame:
+    """(text_key, leaks) of texts with leaks, for items of any number: seeds of both sides joined by equality."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, item, at, length = [np.empty(0, np.int64)], [], [], []
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.array(words, dtype=np.int64).view(np.uint64)
+                for mask in masks_of(len(w), settings):
+                    got = seed_hashes(w, mask, len(mask)).view(np.int64)
+                    h.append(got)
+                    item += [number] * len(got)
+                    at += range(len(got))
+                    length += [mask] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(item, pa.int64()), pa.array(at, pa.int64()), pa.array(length, pa.string())], names=["h", "item", "at", "mask"])
+
+    known = saved(items.select("item", "words").mapInArrow(seeds, "h long, item long, at long, mask string"), "decontaminate-seeds")
+    masks = [r["mask"] for r in known.select("mask").distinct().collect()]  # those of the settings and one for each length below a window
+    counts = hash_counts(known.select("h"), lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), settings.seed_bits)
+    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(counts > 0).tobytes())
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), [words_bytes(t) for t in batch.column(1).to_pylist()]
+            for first, some in kernel.chunks(texts):
+                words, at = kernel.word_hashes(some)
+                for mask in masks:
+                    h = seed_hashes(words, mask, len(mask))
+                    p = np.flatnonzero(table[(h >> np.uint64(64 - settings.seed_bits)).astype(np.int64)])
+                    text_at = np.searchsorted(at, p, "right") - 1
+                    inside = p + len(mask) <= at[text_at + 1]
+                    p, text_at = p[inside], text_at[inside]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([keys[first + i] for i in text_at.tolist()]), pa.array(h[p].view(np.int64)), pa.array(p - at[text_at])], names=["text_key", "h", "pos"]
+                        )
+
+    texts = docs.where(docs[text].isNotNull()).select(text_key(docs[text]).alias("text_key"), docs[text].alias("text"))
+    met = texts.mapInArrow(windows, "text_key string, h long, pos long").distinct().join(known, "h")
+    candidates = saved(met.select("text_key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "decontaminate-candidates")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, np.ndarray] | None = None
+        for batch in batches:
+            keys, texts_, items_, ids, words, shifts = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for key, t, item, item_id, w, shift in zip(keys, texts_, items_, ids, words, shifts, strict=True):
+                if last is None or last[0] != key:
+                    last = (key, kernel.word_hashes([words_bytes(t)])[0])
+                got = overlap(last[1], np.array(w, dtype=np.int64).view(np.uint64), shift, settings)
+                if got:
+                    out.append((key, item, shift, item_id, *got))
+            kinds = [pa.string(), *[pa.int64()] * 6]
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "item", "shift", *_NAMES])
+
+    whole = texts.join(candidates.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    pairs = whole.join(candidates, "text_key").join(items, "item").select("text_key", "text", "item", "item_id", "words", "shift")
+    found = pairs.mapInArrow(verify, "text_key string, item long, shift long, " + ", ".join(f"{c} long" for c in _NAMES))
+    # Of each item its best stretch, at the least shift among equals.
+    best = found.groupBy("text_key", "item").agg(F.max(F.struct("n_words", (-F.col("shift")).alias("back"), *(c for c in _NAMES if c != "n_words"))).alias("b"))
+    return best.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("item", "b"))), lambda x: F.struct(*(x["b"][c].alias(c) for c in _NAMES))).alias("leaks"))
 
 
 def find_leaks(docs: DataFrame, tests: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", test_key: str = "item_id", test_text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``leaks``, the overlaps with test items; one narrow stage, no shuffle."""
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as {_FOUND})"))
-    schema, text_at, leaks_at = out.schema, out.columns.index(text), len(out.columns) - 1
-    for block in blocks(tests, settings, test_key, test_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                new = leaks([words_bytes(t) for t in batch.column(text_at).to_pylist()], shared.value, settings)
-                old = batch.column(leaks_at).to_pylist()
-                names = ("item_id", "n_words", "first_word", "end_word")
-                both = [a + [dict(zip(names, x, strict=True)) for x in b] for a, b in zip(old, new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:leaks_at], pa.array(both, _FOUND_TYPE)], names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    """(key, leaks), the overlaps with test items, of every row of ``docs``."""
+    items = items_of(tests, test_key, test_text)
+    block = block_of(items, settings)
+    if block is None:
+        found = joined_leaks(docs, items, settings, text)
+        rows = docs.select(docs[key].alias(key), text_key(docs[text]).alias("text_key"))
+        return rows.join(found, "text_key", "left").select(key, F.coalesce("leaks", F.expr(f"cast(array() as {_FOUND})")).alias("leaks"))
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = leaks([words_bytes(t) for t in batch.column(1).to_pylist()], shared.value, settings)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(_NAMES, x, strict=True)) for x in some] for some in new], _FOUND_TYPE)], names=[key, "leaks"])
+
+    rows = docs.select(docs[key].alias(key), docs[text].alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("leaks", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in _NAMES])))]))
+
+
+def without_leaks(docs: DataFrame, tests: DataFrame, settings: Settings = Settings(), text: str = "text", test_key: str = "item_id", test_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that overlap no test item, with all their columns."""
+    items = items_of(tests, test_key, test_text)
+    block = block_of(items, settings)
+    if block is None:
+        found = joined_leaks(docs, items, settings, text).select(F.col("text_key").alias("__text_key"))
+        return docs.join(found, text_key(docs[text]) == found["__text_key"], "left_anti")
+    shared, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = leaks([words_bytes(t) for t in batch.column(at).to_pylist()], shared.value, settings)
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
