@@ -192,27 +192,33 @@ class Scanner:
     def spans(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """(template, first word, end word, words covered) of chains, in one pass over the matches.
 
-        Each template has one open chain; a match extends it when it lies
-        ahead within the gap on both sides, or else the chain is closed.
+        A match extends, of the template's chains that it lies ahead of within
+        the gap on both sides, the one that then covers most; else it begins
+        one.  A chain stays open until the matches are past its gap, so one out
+        of order does not end it.
         """
-        open_: dict[int, list[int]] = {}  # template -> first, end, template end, covered
+        gap = self.settings.gap
+        open_: dict[int, list[list[int]]] = {}  # template -> chains of first, end, template end, covered
         out: list[tuple[int, int, int, int]] = []
         for first, length, state in found:
             by_template: dict[int, list[int]] = {}
             for template, end in self.automaton.places[state]:
                 by_template.setdefault(template, []).append(end)
             for template, ends in by_template.items():
-                chain = open_.get(template)
-                fits = [e for e in ends if chain and chain[2] < e and e - length - chain[2] <= self.settings.gap and first + length > chain[1] and first - chain[1] <= self.settings.gap]
-                if fits:
-                    new = min(length, fits[0] - chain[2], first + length - chain[1])
-                    chain[1:] = [first + length, fits[0], chain[3] + new]
-                    continue
-                if chain:
-                    out.append((template, chain[0], chain[1], chain[3]))
-                open_[template] = [first, first + length, ends[0], length]
-        out += [(t, c[0], c[1], c[3]) for t, c in open_.items()]
-        return sorted(out)
+                chains = open_.setdefault(template, [])
+                out += [(template, c[0], c[1], c[3]) for c in chains if first - c[1] > gap]
+                chains[:] = [c for c in chains if first - c[1] <= gap]
+                ways = [
+                    (c[3] + min(length, e - c[2], first + length - c[1]), -e, i)
+                    for i, c in enumerate(chains) for e in ends if c[2] < e and e - length - c[2] <= gap and first + length > c[1]
+                ]
+                if ways:
+                    covered, end, i = max(ways)
+                    chains[i][1:] = [first + length, -end, covered]
+                else:
+                    chains += [[first, first + length, e, length] for e in ends]
+        out += [(t, c[0], c[1], c[3]) for t, chains in open_.items() for c in chains]
+        return sorted(set(out))
 
     def base(self, numbers: np.ndarray) -> list[tuple[int, str]]:
         """(first word, label) of every place of a base phrase."""

@@ -54,12 +54,13 @@ class Model:
 
 @dataclass(frozen=True)
 class Settings:
-    """min_run: shortest candidate. min_llr, per_char: milli-nats needed in all and per character."""
+    """min_run: shortest candidate. min_llr, per_char: milli-nats needed in all and per character.
+    sample_docs: documents whose whole texts give ordinary words. sample_random: digests that give random strings."""
 
     min_run: int = 20
     min_llr: int = 9000
     per_char: int = 900
-    sample_docs: int = 2000
+    sample_docs: int = 600
     sample_random: int = 4000
     smoothing: float = 0.5
 
@@ -74,14 +75,14 @@ def random_samples(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ordinary_samples(docs: DataFrame, n_docs: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Labelled negatives: identifiers in usual styles, from words of at most ``n_docs`` documents.
+    """Labelled negatives: identifiers in usual styles, from all words of at most ``n_docs`` documents.
 
     The documents are those whose key hashes lowest, so the sample does not
     depend on how rows are laid out.
     """
     chosen = docs.select(docs[key].alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(n_docs)
     words = docs.join(F.broadcast(chosen), docs[key] == chosen["k"], "left_semi").select(
-        F.slice(F.filter(F.split(F.coalesce(docs[text], F.lit("")), "[^A-Za-z]+"), lambda w: F.length(w).between(2, 14)), 1, 200).alias("w")
+        F.filter(F.split(F.coalesce(docs[text], F.lit("")), "[^A-Za-z]+"), lambda w: F.length(w).between(2, 14)).alias("w")
     )
     pair = F.transform(
         F.sequence(F.lit(0), F.size("w") - 2),

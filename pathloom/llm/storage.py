@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in local tests) a folder of this
-    machine is set in its place.
+    Only a session whose executors run on this machine (as in tests) gets a
+    local folder where none is named; any other fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     set_by_context = spark.sparkContext.getCheckpointDir()
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not set_by_context:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
