@@ -35,7 +35,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap an item of the benchmark table."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_leaks(docs, tests).where(F.size("leaks") == 0).drop("leaks")
+    return decontaminate.without_leaks(docs, tests)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
