@@ -107,14 +107,18 @@ def closure(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def down_closure(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(top, node): nodes reachable from ``top`` along edges of falling rank, itself included."""
-    down = with_direction(edges, ranks).where(~F.col("up")).select("src", "dst")
-    found = ranks.select(F.col("node").alias("top"), "node")
+def closure_along(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(top, node): nodes reachable from each start (column node) along ``edges`` (src, dst), itself included."""
+    found = starts.select(F.col("node").alias("top"), "node").distinct()
     frontier = found
     while True:
-        new = frontier.join(down, F.col("node") == F.col("src")).select("top", F.col("dst").alias("node")).distinct()
+        new = frontier.join(edges, F.col("node") == F.col("src")).select("top", F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(found, ["top", "node"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = cut(found.unionByName(frontier))
+
+
+def down_closure(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(top, node): nodes reachable from ``top`` along edges of falling rank, itself included."""
+    return closure_along(with_direction(edges, ranks).where(~F.col("up")).select("src", "dst"), ranks.select("node"))

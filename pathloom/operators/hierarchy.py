@@ -1,14 +1,16 @@
-"""Contraction hierarchies: contraction by rank, searches over them, unpacking."""
+"""Contraction hierarchies: contraction by rank or by priority, searches over them with labels and pruning, unpacking."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.graph import collapse, with_direction
-from pathloom.operators.search import relax
+from pathloom.operators.search import extract_paths, relax
 from pathloom.plans.lineage import cut
 
+_EDGE = ("src", "dst", "wt", "via")
+
 
 def _witnessed(candidates: DataFrame, rest: DataFrame, hops: int) -> DataFrame:
     """Candidates (src, dst, wt) without a path of at most ``hops`` edges in ``rest`` that is cheaper; ties keep the shortcut."""
@@ -23,6 +25,36 @@ def _witnessed(candidates: DataFrame, rest: DataFrame, hops: int) -> DataFrame:
     return candidates.join(best, ["src", "dst"], "left").where("g is null or g >= wt").select("src", "dst", "wt")
 
 
+def _through(left: DataFrame, now: DataFrame) -> DataFrame:
+    """(src, dst, wt, via): the cheapest two-edge paths over the nodes ``now`` (column node), via the smallest on ties."""
+    into = left.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("a"), F.col("dst").alias("v"), F.col("wt").alias("w1"))
+    outof = left.join(now.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("v"), F.col("dst").alias("b"), F.col("wt").alias("w2"))
+    paths = into.join(outof, "v").where("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("w1") + F.col("w2")).alias("wt"), F.col("v").alias("via"))).alias("s"))
+    return paths.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s.wt").alias("wt"), F.col("s.via").alias("via"))
+
+
+def _contracted(left: DataFrame, now: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of the nodes ``now``, the graph left without them, shortcuts included)."""
+    ends = [now.withColumnRenamed("node", c) for c in ("src", "dst")]
+    done = left.join(ends[0], "src", "left_semi").unionByName(left.join(ends[1], "dst", "left_semi")).select(*_EDGE)
+    rest = left.join(ends[0], "src", "left_anti").join(ends[1], "dst", "left_anti").select(*_EDGE)
+    candidates = cut(_through(left, now))
+    needed = candidates.join(_witnessed(candidates.drop("via"), rest, hops).select("src", "dst"), ["src", "dst"], "left_semi").select(*_EDGE)
+    both = rest.unionByName(needed).groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s"))
+    return cut(done), cut(both.select("src", "dst", "s.wt", "s.via"))
+
+
+def _started(edges: DataFrame) -> DataFrame:
+    return collapse(edges).where("src <> dst").select("src", "dst", "wt", F.lit(None).cast("bigint").alias("via"))
+
+
+def _finished(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s")).select("src", "dst", "s.wt", "s.via")
+
+
 def contract(edges: DataFrame, ranks: DataFrame, hops: int = 2) -> DataFrame:
     """edges and shortcuts (src, dst, wt, via) when nodes are contracted by rank.
 
@@ -30,24 +62,51 @@ def contract(edges: DataFrame, ranks: DataFrame, hops: int = 2) -> DataFrame:
     and witnesses avoid them all.  A witness that is missed only adds a
     shortcut, so ``hops`` changes the size, never a distance.
     """
-    all_edges = collapse(edges).select("src", "dst", "wt", F.lit(None).cast("bigint").alias("via"))
     levels = [row["rank"] for row in ranks.select("rank").distinct().orderBy("rank").toLocalIterator()]
-    left = cut(all_edges)
-    out = None
+    left, parts = cut(_started(edges)), []
     for level in levels:
-        now = ranks.where(F.col("rank") == level).select("node")
-        into = left.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("a"), F.col("dst").alias("v"), F.col("wt").alias("w1"))
-        outof = left.join(now.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("v"), F.col("dst").alias("b"), F.col("wt").alias("w2"))
-        done = left.join(now.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(left.join(now.withColumnRenamed("node", "dst"), "dst", "left_semi")).select(*all_edges.columns)
-        rest = left.join(now.withColumnRenamed("node", "src"), "src", "left_anti").join(now.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*all_edges.columns)
-        paths = into.join(outof, "v").where("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("w1") + F.col("w2")).alias("wt"), F.col("v").alias("via"))).alias("s"))
-        candidates = cut(paths.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s.wt").alias("wt"), F.col("s.via").alias("via")))
-        needed = candidates.join(_witnessed(candidates.drop("via"), rest, hops).select("src", "dst"), ["src", "dst"], "left_semi").select(*all_edges.columns)
-        both = rest.unionByName(needed).groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s"))
-        out = done if out is None else out.unionByName(done)
-        left = cut(both.select("src", "dst", "s.wt", "s.via"))
-        out = cut(out)
-    return out.unionByName(left).groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s")).select("src", "dst", "s.wt", "s.via")
+        done, left = _contracted(left, ranks.where(F.col("rank") == level).select("node"), hops)
+        parts.append(done)
+    return _finished([*parts, left])
+
+
+def lazy_contract(edges: DataFrame, hops: int = 2, percent: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """(edges and shortcuts, ranks (node, rank)) when the cheapest nodes go first.
+
+    A node's priority is the number of shortcuts that its contraction needs
+    less the edges it removes.  Each round contracts the nodes with the least
+    (priority, hash) among their neighbours: no two of them are neighbours.
+    ``percent`` of the nodes are contracted at least; the others are the core, at the top.
+    """
+    left = cut(_started(edges))
+    nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    wanted = nodes.count() * percent / 100
+    parts, ranks, rank, gone = [], [], 0, 0
+    while gone < wanted and not left.isEmpty():
+        here = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        pairs = cut(left.select("src", F.col("dst").alias("v"), F.col("wt").alias("w1")).join(left.select(F.col("src").alias("v"), "dst", F.col("wt").alias("w2")), "v").where("src <> dst").select("v", "src", "dst", (F.col("w1") + F.col("w2")).alias("wt")))
+        least = pairs.groupBy("src", "dst").agg(F.min("wt").alias("wt"))
+        direct = least.join(left.select("src", "dst", F.col("wt").alias("g")), ["src", "dst"], "left").where("g is null or g >= wt").select("src", "dst", "wt")
+        needed = pairs.join(direct, ["src", "dst", "wt"], "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("needed"))
+        degree = left.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("edges"))
+        own = degree.join(needed, "v", "left").select("v", F.struct((F.coalesce("needed", F.lit(0)) - F.col("edges")).alias("d"), F.xxhash64("v").alias("h"), F.col("v").alias("n")).alias("p"))
+        beside = left.select("src", "dst").unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        met = beside.join(own.withColumnRenamed("v", "src"), "src").join(own.select(F.col("v").alias("dst"), F.col("p").alias("q")), "dst")
+        batch = cut(met.groupBy("src").agg(F.first("p").alias("p"), F.min("q").alias("q")).where("p < q").select(F.col("src").alias("node")))
+        done, left = _contracted(left, batch, hops)
+        parts.append(done)
+        ranks.append(batch.select("node", F.lit(rank).alias("rank")))
+        gone, rank = gone + batch.count(), rank + 1
+        alone = cut(here.join(batch, "node", "left_anti").join(left.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti"))
+        ranks.append(alone.withColumn("rank", F.lit(rank)))
+        rank += 1
+    order = ranks[0] if ranks else nodes.limit(0).withColumn("rank", F.lit(0))
+    for part in ranks[1:]:
+        order = order.unionByName(part)
+    order = cut(order)
+    # The core keeps distinct ranks, so that every edge still has a direction.
+    core = nodes.join(order, "node", "left_anti").select("node", (F.lit(rank) + F.pmod(F.xxhash64("node"), F.lit(1 << 30))).cast("int").alias("rank"))
+    return _finished([*parts, left]), cut(order.unionByName(core))
 
 
 def independent_ranks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -77,43 +136,133 @@ def independent_ranks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise ValueError("the graph was not contracted in max_rounds rounds")
 
 
-def query_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, source, target, cost): two upward searches joined at the top."""
-    directed = cut(with_direction(hierarchy.select("src", "dst", "wt"), ranks))
-    up = directed.where("up").select("src", "dst", "wt")
-    down = directed.where("not up").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wt")
-    fwd = relax(up, queries.select(F.col("source").alias("qid"), F.col("source").alias("node"))).select(F.col("qid").alias("source"), "node", F.col("g").alias("gf"))
-    bwd = relax(down, queries.select(F.col("target").alias("qid"), F.col("target").alias("node"))).select(F.col("qid").alias("target"), "node", F.col("g").alias("gb"))
-    met = queries.join(fwd, "source").join(bwd, ["target", "node"]).groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost"))
-    return queries.join(met, "qid", "left").select("qid", "source", "target", "cost")
+def layouts(hierarchy: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges that climb, edges that fall, turned round), with all their columns."""
+    directed = cut(with_direction(hierarchy, ranks))
+    up = directed.where("up").drop("up")
+    down = directed.where("not up").drop("up")
+    return up, down.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in down.columns if c not in ("src", "dst")))
+
+
+def stalled(against: DataFrame):
+    """A hook that does not expand rows to which an edge from above is cheaper (stall on demand).
+
+    ``against`` holds the edges that fall in the direction of the search (src
+    above dst): a higher node that is reached already and leads down for less
+    shows that the row is on no shortest path.
+    """
+
+    def hook(frontier: DataFrame, state: DataFrame) -> DataFrame:
+        above = state.select("qid", F.col("node").alias("src"), F.col("g").alias("above"))
+        cheaper = above.join(against.select("src", F.col("dst").alias("node"), "wt"), "src").groupBy("qid", "node").agg(F.min(F.col("above") + F.col("wt")).alias("other"))
+        return frontier.join(cheaper, ["qid", "node"], "left").where("other is null or other >= g").drop("other")
+
+    return hook
 
 
-def forward_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same costs by one search whose state is (node, going up): up edges only while going up, then down edges."""
-    directed = cut(with_direction(hierarchy.select("src", "dst", "wt"), ranks))
-    state = lambda node, up: node * 2 + F.when(up, 1).otherwise(0)
-    climb = directed.where("up").select(state(F.col("src"), F.lit(True)).alias("src"), state(F.col("dst"), F.lit(True)).alias("dst"), "wt")
-    drop = directed.where("not up").select(F.explode(F.array(F.lit(True), F.lit(False))).alias("was"), "src", "dst", "wt").select(state(F.col("src"), F.col("was")).alias("src"), state(F.col("dst"), F.lit(False)).alias("dst"), "wt")
-    trees = relax(climb.unionByName(drop), queries.select(F.col("source").alias("qid"), state(F.col("source"), F.lit(True)).alias("node")))
-    best = trees.select(F.col("qid").alias("source"), F.floor(F.col("node") / 2).cast("bigint").alias("target"), "g").groupBy("source", "target").agg(F.min("g").alias("cost"))
-    return queries.join(best, ["source", "target"], "left").select("qid", "source", "target", "cost")
+def query_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, stall: bool = False, context: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
+    """(qid, source, target, cost): two upward searches joined at the top.
+
+    ``stall`` turns on stall-on-demand; ``keep`` with ``context`` (one row for
+    each qid) tests the labels of edges, on both sides.  Without labels,
+    queries with one source or target share a search.
+    """
+    up, down = layouts(hierarchy, ranks)
+    own = context is not None
+    name = (lambda c: F.col("qid")) if own else F.col
+    fwd = relax(up, queries.select(name("source").alias("qid"), F.col("source").alias("node")), on_expand=stalled(_turned(down)) if stall else None, context=context, keep=keep)
+    bwd = relax(down, queries.select(name("target").alias("qid"), F.col("target").alias("node")), on_expand=stalled(_turned(up)) if stall else None, context=context, keep=keep)
+    fwd = fwd.select(F.col("qid").alias("qid" if own else "source"), "node", F.col("g").alias("gf"))
+    bwd = bwd.select(F.col("qid").alias("qid" if own else "target"), "node", F.col("g").alias("gb"))
+    met = fwd.join(bwd, ["qid", "node"]) if own else queries.join(fwd, "source").join(bwd, ["target", "node"])
+    best = met.groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost"))
+    return queries.join(best, "qid", "left").select("qid", "source", "target", "cost")
 
 
-def unpack(hierarchy: DataFrame, paths: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wt")
+
+
+def upward_tree(hierarchy: DataFrame, ranks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, g) of the search that only climbs, from each source (column source)."""
+    up, _ = layouts(hierarchy, ranks)
+    return relax(up, sources.select(F.col("source").alias("qid"), F.col("source").alias("node"))).select(F.col("qid").alias("source"), "node", "g")
+
+
+def _state(node: Column, climbing: Column) -> Column:
+    return node * 2 + F.when(climbing, 1).otherwise(0)
+
+
+def two_phase_edges(hierarchy: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Edges over states (node, still climbing): upward ones while climbing only, downward ones at any time; with ``fall``, src_rank and dst_rank."""
+    a = ranks.select(F.col("node").alias("src"), F.col("rank").alias("src_rank"))
+    b = ranks.select(F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
+    wide = cut(hierarchy.join(a, "src").join(b, "dst"))
+    rest = [c for c in wide.columns if c not in ("src", "dst")]
+    yes, no = F.lit(True), F.lit(False)
+    climb = wide.where("dst_rank > src_rank").select(_state(F.col("src"), yes).alias("src"), _state(F.col("dst"), yes).alias("dst"), *rest, no.alias("fall"))
+    drop = wide.where("dst_rank <= src_rank").select(F.explode(F.array(yes, no)).alias("was"), "*")
+    return climb.unionByName(drop.select(_state(F.col("src"), F.col("was")).alias("src"), _state(F.col("dst"), no).alias("dst"), *rest, yes.alias("fall")))
+
+
+def _per_target(trees: DataFrame, key: str) -> DataFrame:
+    return trees.select(F.col("qid").alias(key), F.floor(F.col("node") / 2).cast("bigint").alias("target"), "g").groupBy(key, "target").agg(F.min("g").alias("cost"))
+
+
+def forward_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, context: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
+    """The same costs by one search over ``two_phase_edges``.
+
+    ``keep`` tests falling edges against ``context`` (one row for each qid);
+    climbing edges are not tested.
+    """
+    edges = two_phase_edges(hierarchy, ranks)
+    key = "source" if context is None else "qid"
+    trees = relax(edges, queries.select(F.col(key).alias("qid"), _state(F.col("source"), F.lit(True)).alias("node")), context=context, keep=None if keep is None else ~F.col("fall") | keep)
+    return queries.join(_per_target(trees, key), [key, "target"], "left").select("qid", "source", "target", "cost")
+
+
+def apexes(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, apex): the highest node of a shortest path of the forward search; null where there is no path."""
+    edges = two_phase_edges(hierarchy, ranks)
+    trees = relax(edges, queries.select("qid", _state(F.col("source"), F.lit(True)).alias("node")))
+    ends = trees.join(queries.select("qid", "target"), "qid").where(F.floor(F.col("node") / 2) == F.col("target"))
+    end = ends.groupBy("qid").agg(F.min(F.struct("g", "node")).alias("s")).select("qid", F.col("s.node").alias("target"))
+    steps = extract_paths(trees, end).select("qid", F.explode("path").alias("at")).select("qid", F.floor(F.col("at") / 2).cast("bigint").alias("node"))
+    top = steps.join(ranks, "node").groupBy("qid").agg(F.max(F.struct("rank", "node")).alias("m"))
+    return queries.select("qid").join(top, "qid", "left").select("qid", F.col("m.node").alias("apex"), F.col("m.rank").alias("apex_rank"))
+
+
+def apex_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, tops: DataFrame) -> DataFrame:
+    """(qid, source, target, cost) by the forward search that climbs no higher than the apex and turns only there."""
+    edges = two_phase_edges(hierarchy, ranks)
+    climbing = F.col("src") % 2 == 1
+    keep = F.when(F.col("fall"), ~climbing | (F.floor(F.col("src") / 2) == F.col("apex"))).otherwise(F.col("dst_rank") <= F.col("apex_rank"))
+    trees = relax(edges, queries.select("qid", _state(F.col("source"), F.lit(True)).alias("node")), context=tops.select("qid", "apex", "apex_rank"), keep=keep)
+    return queries.join(_per_target(trees, "qid"), ["qid", "target"], "left").select("qid", "source", "target", "cost")
+
+
+def unpack(hierarchy: DataFrame, paths: DataFrame) -> DataFrame:
     """(qid, pos, src, dst) of original edges from paths of (qid, pos, src, dst) over shortcuts.
 
     Each round replaces every shortcut by its two halves; ``pos`` is an array
-    of integers that keeps the order.
+    of integers that keeps the order.  A half ranks below its shortcut, so the
+    rounds end.
     """
     via = hierarchy.select("src", "dst", "via")
-    open_ = paths.select("qid", F.array("pos").alias("pos"), "src", "dst")
-    done = None
-    for _ in range(max_rounds):
+    open_, done = paths.select("qid", F.array("pos").alias("pos"), "src", "dst"), None
+    while True:
         met = cut(open_.join(via, ["src", "dst"]))
         ready = met.where("via is null").select("qid", "pos", "src", "dst")
         done = ready if done is None else done.unionByName(ready)
         halves = F.explode(F.array(F.struct(F.concat("pos", F.array(F.lit(0))).alias("pos"), F.col("src"), F.col("via").alias("dst")), F.struct(F.concat("pos", F.array(F.lit(1))).alias("pos"), F.col("via").alias("src"), F.col("dst"))))
         open_ = met.where("via is not null").select("qid", halves.alias("h")).select("qid", "h.*")
         if open_.isEmpty():
-            break
-    return done
+            return done
+
+
+def end_directions(hierarchy: DataFrame, directions: DataFrame) -> DataFrame:
+    """(src, dst, first, last): directions of the first and last original edge of every edge; ``directions`` has src, dst, dir."""
+    numbered = hierarchy.select(F.struct("src", "dst").alias("qid"), F.lit(0).alias("pos"), "src", "dst")
+    plain = unpack(hierarchy, numbered).join(directions, ["src", "dst"])
+    ends = plain.groupBy("qid").agg(F.min(F.struct("pos", "dir")).alias("a"), F.max(F.struct("pos", "dir")).alias("b"))
+    return ends.select("qid.src", "qid.dst", F.col("a.dir").alias("first"), F.col("b.dir").alias("last"))

@@ -1,53 +1,114 @@
 """Shortest paths by min-plus relaxation of DataFrames.
 
-The state is ``dist(qid, node, g, pred)``.  A round joins the frontier with the
-edges, keeps the least cost for every (qid, node), and goes on with the rows
-that improved; ties are broken by the smallest predecessor, so results do not
-depend on partitioning.  Every round is checkpointed, and the loop ends with an
-empty frontier.  Edge filters are plain predicates on the edge table: they run
-below the join.
+The state is ``dist(qid, node, g, pred)``: one table and the improvements since.
+A round joins the frontier with the edges, keeps the least cost for every
+(qid, node), and writes only the rows that improved, which are the next
+frontier; ties are broken by the smallest predecessor, so results do not depend
+on partitioning.  The loop ends with an empty frontier.  Edge filters are plain
+predicates on the edge table: they run below the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.plans.lineage import cut
 
-
-def _start(nodes: DataFrame) -> DataFrame:
-    """The state before the first round, of (qid, node)."""
-    return cut(nodes.select("qid", "node", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("pred")).dropDuplicates(["qid", "node"]))
-
-
-def _round(edges: DataFrame, dist: DataFrame, frontier: DataFrame, cutoff: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The state after one more round, and its frontier."""
-    steps = frontier.join(edges, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))
-    if cutoff is not None:
-        steps = steps.where(F.col("g") <= cutoff)
-    best = steps.groupBy("qid", "node").agg(F.min(F.struct("g", "pred")).alias("n"))
-    old = dist.select("qid", "node", F.struct("g", "pred").alias("o"))
-    # Null predecessors (sources) sort first and so are never replaced at equal cost.
-    better = best.join(old, ["qid", "node"], "full").withColumn("is_new", F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") < F.col("o"))))
-    state = cut(better.select("qid", "node", F.when(F.col("is_new"), F.col("n")).otherwise(F.col("o")).alias("s"), "is_new").select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred"), "is_new"))
-    return state.drop("is_new"), state.where("is_new").drop("is_new")
-
-
-def relax(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, cutoff: float | None = None) -> DataFrame:
+#: Improvements that are read beside the table before they are merged into it.
+PENDING = 4
+_SCHEMA = ("qid", "node", "g", "pred")
+
+
+class State:
+    """Least costs found so far."""
+
+    def __init__(self, nodes: DataFrame) -> None:
+        start = nodes.select("qid", "node", F.lit(0).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("pred")).dropDuplicates(["qid", "node"])
+        self.parts = [cut(start)]
+
+    def rows(self) -> DataFrame:
+        """All rows, those that were improved later included."""
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def best(self) -> DataFrame:
+        if len(self.parts) == 1:
+            return self.parts[0]
+        least = self.rows().groupBy("qid", "node").agg(F.min(F.struct("g", "pred")).alias("s"))
+        return least.select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred"))
+
+    def improve(self, steps: DataFrame) -> DataFrame:
+        """Take in (qid, node, g, pred); the rows that are better than before.
+
+        Null predecessors (sources) sort first and so are never replaced at equal cost.
+        """
+        s = F.struct("g", "pred")
+        both = self.rows().select("qid", "node", s.alias("o"), F.lit(None).cast("struct<g:bigint,pred:bigint>").alias("n"))
+        both = both.unionByName(steps.select("qid", "node", F.lit(None).cast("struct<g:bigint,pred:bigint>").alias("o"), F.struct(F.col("g").cast("bigint").alias("g"), F.col("pred").cast("bigint").alias("pred")).alias("n")))
+        new = both.groupBy("qid", "node").agg(F.min("o").alias("o"), F.min("n").alias("n")).where("n is not null and (o is null or n < o)")
+        better = cut(new.select("qid", "node", F.col("n.g").alias("g"), F.col("n.pred").alias("pred")))
+        if len(self.parts) > PENDING:
+            self.parts = [cut(self.best())]
+        self.parts.append(better)
+        return better
+
+
+def relax(
+    edges: DataFrame,
+    sources: DataFrame,
+    max_rounds: int | None = None,
+    cutoff: float | None = None,
+    goals: DataFrame | None = None,
+    context: DataFrame | None = None,
+    keep: Column | None = None,
+    estimate: Column | None = None,
+    on_expand: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    on_generate: Callable[[DataFrame], DataFrame] | None = None,
+    on_relax: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(qid, node, g, pred) of every node reached from the sources (qid, node).
 
     ``max_rounds`` bounds the number of edges of a path, ``cutoff`` its cost.
+    With ``goals`` (qid, node), rows that cost as much as the dearest goal of
+    their query, once all are reached, are not followed; ``estimate``, a lower
+    bound of what a step still lacks to its goal, sharpens that.  ``keep`` is a
+    predicate on a step: columns of its edge and of ``context``, one row for
+    each qid.  Hooks see, and may thin out, the rows to expand (with the state),
+    the steps generated and the rows that improved.
     """
-    edges = edges.select("src", "dst", "wt")
-    dist = _start(sources)
-    frontier, done = dist, 0
+    state = State(sources)
+    frontier, done = state.parts[0], 0
     while max_rounds is None or done < max_rounds:
-        dist, frontier = _round(edges, dist, frontier, cutoff)
+        open_ = frontier
+        if goals is not None:
+            reached = goals.join(state.best().select("qid", "node", "g"), ["qid", "node"], "left")
+            limit = reached.groupBy("qid").agg(F.max("g").alias("limit"), F.max(F.col("g").isNull()).alias("missing")).where("not missing").select("qid", "limit")
+            open_ = open_.join(limit, "qid", "left").where("limit is null or g < limit")
+        if on_expand is not None:
+            open_ = on_expand(open_, state.best())
+        if context is not None:
+            open_ = open_.join(context, "qid")
+        steps = open_.join(edges, F.col("node") == F.col("src")).withColumn("cost", F.col("g") + F.col("wt"))
+        if keep is not None:
+            steps = steps.where(keep)
+        if cutoff is not None:
+            steps = steps.where(F.col("cost") <= cutoff)
+        if goals is not None:
+            least = F.col("cost") if estimate is None else F.col("cost") + estimate
+            steps = steps.where(F.col("limit").isNull() | (least <= F.col("limit")))
+        if on_generate is not None:
+            steps = on_generate(steps)
+        best = steps.groupBy("qid", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("cost").alias("g"), F.col("src").alias("pred"))).alias("s"))
+        frontier = state.improve(best.select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred")))
+        if on_relax is not None:
+            frontier = on_relax(frontier)
         done += 1
         if frontier.isEmpty():
             break
-    return dist
+    return state.best()
 
 
 def single_source(edges: DataFrame, source: int, **bounds) -> DataFrame:
@@ -59,13 +120,39 @@ def single_source(edges: DataFrame, source: int, **bounds) -> DataFrame:
 def point_to_point(edges: DataFrame, queries: DataFrame, **bounds) -> DataFrame:
     """(qid, source, target, cost) of every query (qid, source, target); null cost where there is no path.
 
-    Queries with one source share its tree.
+    Queries with one source share its tree, which ends where their targets are settled.
     """
-    trees = relax(edges, queries.select(F.col("source").alias("qid"), F.col("source").alias("node")), **bounds)
+    trees = relax(
+        edges, queries.select(F.col("source").alias("qid"), F.col("source").alias("node")).distinct(),
+        goals=queries.select(F.col("source").alias("qid"), F.col("target").alias("node")).distinct(), **bounds,
+    )
     found = trees.select(F.col("qid").alias("source"), F.col("node").alias("target"), F.col("g").alias("cost"))
     return queries.join(found, ["source", "target"], "left").select("qid", "source", "target", "cost")
 
 
+def goal_directed(edges: DataFrame, nodes: DataFrame, queries: DataFrame, **bounds) -> DataFrame:
+    """As ``point_to_point``, each query on its own, by cost plus straight-line distance; ``nodes`` has id, x, y.
+
+    Weights must be no less than the distance between their ends.
+    """
+    at = nodes.select(F.col("id").alias("dst"), F.col("x").alias("ex"), F.col("y").alias("ey"))
+    goal = queries.join(nodes.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target").select("qid", "tx", "ty")
+    left = F.sqrt(F.pow(F.col("ex") - F.col("tx"), 2) + F.pow(F.col("ey") - F.col("ty"), 2))
+    # Rounding must not turn an estimate into more than there is.
+    trees = relax(
+        edges.select("src", "dst", "wt").join(at, "dst"), queries.select("qid", F.col("source").alias("node")),
+        goals=queries.select("qid", F.col("target").alias("node")), context=goal, estimate=F.floor(left - 1e-9), **bounds,
+    )
+    found = trees.select("qid", F.col("node").alias("target"), F.col("g").alias("cost"))
+    return queries.join(found, ["qid", "target"], "left").select("qid", "source", "target", "cost")
+
+
+def distances_to(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, node, g): the exact rest from every node to each target (column target); the heuristic that is never wrong."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wt")
+    return relax(back, targets.select(F.col("target").alias("qid"), F.col("target").alias("node"))).select(F.col("qid").alias("target"), "node", "g")
+
+
 def meet_in_middle(edges: DataFrame, back: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, source, target, cost) by forward and backward trees joined where they meet; null cost where there is no path.
 
@@ -74,18 +161,23 @@ def meet_in_middle(edges: DataFrame, back: DataFrame, queries: DataFrame) -> Dat
     best meeting cost, or when a frontier is empty.  Rows that cannot be on a
     cheaper path for the same reason are not followed.
     """
-    edges, back = edges.select("src", "dst", "wt"), back.select("src", "dst", "wt")
-    fwd = ahead = _start(queries.select("qid", F.col("source").alias("node")))
-    bwd = behind = _start(queries.select("qid", F.col("target").alias("node")))
+    fwd, bwd = State(queries.select("qid", F.col("source").alias("node"))), State(queries.select("qid", F.col("target").alias("node")))
+    ahead, behind = fwd.parts[0], bwd.parts[0]
+
+    def grown(state: State, frontier: DataFrame, steps: DataFrame) -> DataFrame:
+        found = frontier.join(steps.select("src", "dst", "wt"), F.col("node") == F.col("src"))
+        best = found.groupBy("qid", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))).alias("s"))
+        return state.improve(best.select("qid", "node", F.col("s.g").alias("g"), F.col("s.pred").alias("pred")))
+
     while True:
-        met = fwd.select("qid", "node", F.col("g").alias("gf")).join(bwd.select("qid", "node", F.col("g").alias("gb")), ["qid", "node"])
+        met = fwd.best().select("qid", "node", F.col("g").alias("gf")).join(bwd.best().select("qid", "node", F.col("g").alias("gb")), ["qid", "node"])
         best = cut(met.groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost")))
         least = ahead.groupBy("qid").agg(F.min("g").alias("mf")).join(behind.groupBy("qid").agg(F.min("g").alias("mb")), "qid")
         open_ = cut(least.join(best, "qid", "left").where("cost is null or mf + mb < cost"))
         if open_.isEmpty():
             return queries.join(best, "qid", "left").select("qid", "source", "target", "cost")
-        fwd, ahead = _round(edges, fwd, ahead.join(open_, "qid").where("cost is null or g + mb < cost").select(*fwd.columns))
-        bwd, behind = _round(back, bwd, behind.join(open_, "qid").where("cost is null or g + mf < cost").select(*bwd.columns))
+        ahead = grown(fwd, ahead.join(open_, "qid").where("cost is null or g + mb < cost").select(*_SCHEMA), edges)
+        behind = grown(bwd, behind.join(open_, "qid").where("cost is null or g + mf < cost").select(*_SCHEMA), back)
 
 
 def extract_paths(dist: DataFrame, ends: DataFrame) -> DataFrame:
@@ -103,11 +195,25 @@ def extract_paths(dist: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def deepening(edges: DataFrame, source: int, bounds: list[float]) -> DataFrame:
-    """(node, bound): the first cost bound of a growing list under which each node is reached."""
-    out = None
-    for bound in bounds:
-        level = single_source(edges, source, cutoff=bound).select("node", F.lit(bound).alias("bound"))
+    """(node, bound): the first cost bound of a growing list under which each node is reached.
+
+    A round of bound takes up the rows that the round before left above its own.
+    """
+    start = edges.sparkSession.createDataFrame([(0, source)], "qid bigint, node bigint")
+    state, out = State(start), None
+    frontier = state.parts[0]
+    for bound in sorted(bounds):
+        held = None
+        while not frontier.isEmpty():
+            steps = frontier.join(edges.select("src", "dst", "wt"), F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))
+            better = state.improve(steps.groupBy("qid", "node").agg(F.min(F.struct("g", "pred")).alias("s")).select("qid", "node", "s.g", "s.pred"))
+            late = better.where(F.col("g") > bound)
+            held = late if held is None else held.unionByName(late)
+            frontier = better.where(F.col("g") <= bound)
+        level = state.best().where(F.col("g") <= bound).select("node", F.lit(bound).alias("bound"))
         out = level if out is None else out.unionByName(level)
+        # Of the rows held back, those that were not improved since.
+        frontier = cut(held.join(state.best(), list(_SCHEMA[:3]), "left_semi").where("g is not null").select(*_SCHEMA)) if held is not None else frontier
     return out.groupBy("node").agg(F.min("bound").alias("bound"))
 
 

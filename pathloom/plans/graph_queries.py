@@ -72,7 +72,7 @@ def p2p_road(spark, sf_dir):
     return search.point_to_point(cut(shapes.road(spark, sf_dir)), _nation_queries(spark, sf_dir))
 
 
-@query(ORACLES["p2p_road"].replace(f"r{K} r ON", "r6 r ON"))
+@query(ORACLES["p2p_road"])
 def p2p_road_bidirectional(spark, sf_dir):
     """Two trees joined where they meet, grown until no cheaper path is left."""
     edges = cut(shapes.road(spark, sf_dir))
@@ -184,20 +184,20 @@ def hierarchy_direction(spark, sf_dir):
     return graph.with_direction(shapes.trade(spark, sf_dir), _ranks(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, dn AS (SELECT src, dst FROM t WHERE wt > 30 AND (dst * 7) % 25 < (src * 7) % 25),
+@query(f"""WITH RECURSIVE {TRADE}, dn AS (SELECT src, dst FROM t WHERE (dst * 7) % 25 < (src * 7) % 25),
 c AS (SELECT CAST(n_nationkey AS BIGINT) AS top, CAST(n_nationkey AS BIGINT) AS node FROM nation UNION SELECT c.top, dn.dst FROM c JOIN dn ON dn.src = c.node) SELECT top, node FROM c""")
 def down_closure_trade(spark, sf_dir):
     """Nodes reachable along falling ranks."""
-    return graph.down_closure(cut(shapes.trade(spark, sf_dir).where("wt > 30")), _ranks(spark, sf_dir))
+    return graph.down_closure(cut(shapes.trade(spark, sf_dir)), _ranks(spark, sf_dir))
 
 
-@query(f"""WITH {TRADE}, s AS (SELECT src, dst FROM t WHERE wt > 70), h0 AS (SELECT CAST(n_nationkey AS BIGINT) AS start, CAST(n_nationkey AS BIGINT) AS node, 0 AS hops FROM nation),
+@query(f"""WITH {TRADE}, s AS (SELECT src, dst FROM t), h0 AS (SELECT CAST(n_nationkey AS BIGINT) AS start, CAST(n_nationkey AS BIGINT) AS node, 0 AS hops FROM nation),
 h1 AS (SELECT start, dst AS node, 1 AS hops FROM h0 JOIN s ON src = node), h2 AS (SELECT start, dst AS node, 2 AS hops FROM h1 JOIN s ON src = node)
 SELECT start, node, min(hops) AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL""")
 def closure_two_hops(spark, sf_dir):
     """Nodes within two steps."""
     starts = shapes.nation_nodes(spark, sf_dir).select(F.col("id").alias("start"))
-    return graph.closure(cut(shapes.trade(spark, sf_dir).where("wt > 70")), starts, 2)
+    return graph.closure(cut(shapes.trade(spark, sf_dir)), starts, 2)
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation, (SELECT count(*) AS n FROM nation) WHERE (n_nationkey * 7) % 25 < n * 0.4")
@@ -229,7 +229,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FIRSTS} SELECT source, first, bit_or(CAST(1 AS BIGINT) << CAST(part AS INT)) AS flags FROM fe JOIN nn ON id = node GROUP BY ALL")
 def arc_flags(spark, sf_dir):
-    return labels.arc_flags(_firsts(spark, sf_dir), _parts(spark, sf_dir))
+    return labels.arc_flags(_firsts(spark, sf_dir), _parts(spark, sf_dir)).withColumn("flags", F.get("flags", F.lit(0)))
 
 
 @query(f"WITH {_FIRSTS} SELECT source, first, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM fe JOIN nn ON id = node GROUP BY ALL")
@@ -241,17 +241,18 @@ def bounding_boxes(spark, sf_dir):
 min(node) AS id1, max(node) AS id2, min((node * 7) % 25) AS rank1, max((node * 7) % 25) AS rank2 FROM fe JOIN nn ON id = node GROUP BY ALL""")
 def closure_labels(spark, sf_dir):
     """Flags, box, id and rank ranges of first edges in one aggregation."""
-    return labels.closure_labels(_firsts(spark, sf_dir), shapes.nation_nodes(spark, sf_dir).select("id", "x", "y"), _parts(spark, sf_dir), _ranks(spark, sf_dir))
+    told = labels.closure_labels(_firsts(spark, sf_dir), shapes.nation_nodes(spark, sf_dir).select("id", "x", "y"), _parts(spark, sf_dir), _ranks(spark, sf_dir))
+    return told.withColumn("flags", F.get("flags", F.lit(0)))
 
 
 @query(f"""WITH {_FIRSTS}, l AS (SELECT source, first, bit_or(CAST(1 AS BIGINT) << CAST(part AS INT)) AS flags, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM fe JOIN nn ON id = node GROUP BY ALL)
-SELECT source, first, g.id AS target, (flags >> CAST(g.part AS INT)) & 1 = 1 AS by_flag, g.x BETWEEN x1 AND x2 AND g.y BETWEEN y1 AND y2 AS by_box FROM l, nn g WHERE g.id % 6 = 0""")
+SELECT source, first, g.id AS target, (flags >> CAST(g.part AS INT)) & 1 = 1 AS by_flag, g.x BETWEEN x1 AND x2 AND g.y BETWEEN y1 AND y2 AS by_box FROM l, nn g""")
 def label_filters(spark, sf_dir):
-    """Which edges labels keep for a set of targets."""
+    """Which edges labels keep for each of the stated targets."""
     firsts, nodes = _firsts(spark, sf_dir), shapes.nation_nodes(spark, sf_dir)
     both = labels.arc_flags(firsts, _parts(spark, sf_dir)).join(labels.boxes(firsts, nodes.select("id", "x", "y")), ["source", "first"])
-    targets = nodes.where("id % 6 = 0").select(F.col("id").alias("target"), "x", "y", "part")
-    met = both.join(F.broadcast(targets))  # the stated target set, one row per target
+    targets = nodes.select(F.col("id").alias("target"), "x", "y", "part")
+    met = both.crossJoin(targets)  # a stated query set, one row per target
     return met.select("source", "first", "target", labels.keeps_part(F.col("flags"), F.col("part")).alias("by_flag"), labels.keeps_box(F.col("x"), F.col("y")).alias("by_box"))
 
 
@@ -264,41 +265,121 @@ def first_move_paths(spark, sf_dir):
     runs = cut(labels.compress_rows(labels.move_sets(_firsts(spark, sf_dir)), order))
     n = F.col("id")
     queries = shapes.nation_nodes(spark, sf_dir).select(n.alias("qid"), n.alias("source"), ((n * 11 + 3) % 25).alias("target"))
-    paths = labels.follow_moves(runs, order, queries, 25)
+    paths = labels.follow_moves(runs, order, queries)
     hops = paths.select("qid", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")), "path").select("qid", F.col("col").alias("src"), F.expr("path[pos + 1]").alias("dst"))
     cost = hops.join(edges, ["src", "dst"]).groupBy("qid").agg(F.sum("wt").alias("cost"))
     return paths.select("qid", (F.size("path") == 1).alias("here")).join(cost, "qid", "left").select("qid", F.when(F.col("here"), F.lit(0)).otherwise(F.col("cost")).cast("bigint").alias("cost"))
 
 
-_CH_SQL = f"""WITH {TRADE}, u AS (SELECT * FROM t WHERE wt > 70), {rounds('u', _SOURCES, K)}, q AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS qid, CAST(a.n_nationkey AS BIGINT) AS source, CAST(b.n_nationkey AS BIGINT) AS target FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey)
-SELECT CAST(q.qid AS BIGINT) AS qid, source, target, g AS cost, g AS forward FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target"""
+def _pairs_sql(columns: str) -> str:
+    """All pairs of nations with their least cost over the trade graph, under the names of ``columns``."""
+    return f"""WITH {TRADE}, {rounds('t', _SOURCES, K)}, q AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS qid, CAST(a.n_nationkey AS BIGINT) AS source, CAST(b.n_nationkey AS BIGINT) AS target FROM nation a, nation b)
+SELECT CAST(q.qid AS BIGINT) AS qid, source, target, {columns} FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target"""
 
 
-def _region_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pair_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shapes.nation_nodes(spark, sf_dir)
-    a, b = n.select(F.col("id").alias("source"), "part"), n.select(F.col("id").alias("target"), "part")
-    return a.join(b, "part").select((F.col("source") * 25 + F.col("target")).alias("qid"), "source", "target")
+    met = n.select(F.col("id").alias("source")).crossJoin(n.select(F.col("id").alias("target")))  # the stated queries
+    return met.select((F.col("source") * 25 + F.col("target")).alias("qid"), "source", "target")
 
 
-@query(_CH_SQL)
+def _beside(first: DataFrame, **others: DataFrame) -> DataFrame:
+    for name, other in others.items():
+        first = first.join(other.select("qid", F.col("cost").alias(name)), "qid")
+    return first
+
+
+@query(_pairs_sql("g AS cost, g AS forward, g AS stalled"))
 def hierarchy_search(spark, sf_dir):
-    """Contraction in independent batches, queried from both ends and forward: both costs."""
-    edges = cut(shapes.trade(spark, sf_dir).where("wt > 70"))
+    """Contraction in independent batches, queried from both ends, forward, and from both ends with stalls."""
+    edges = cut(shapes.trade(spark, sf_dir))
     ranks = hierarchy.independent_ranks(edges)
-    built, queries = cut(hierarchy.contract(edges, ranks)), _region_queries(spark, sf_dir)
-    forward = hierarchy.forward_costs(built, ranks, queries).select("qid", F.col("cost").alias("forward"))
-    return hierarchy.query_costs(built, ranks, queries).join(forward, "qid")
+    built, queries = cut(hierarchy.contract(edges, ranks)), cut(_pair_queries(spark, sf_dir))
+    return _beside(hierarchy.query_costs(built, ranks, queries), forward=hierarchy.forward_costs(built, ranks, queries), stalled=hierarchy.query_costs(built, ranks, queries, stall=True))
+
+
+@query(_pairs_sql("g AS cost"))
+def lazy_hierarchy(spark, sf_dir):
+    """Contraction by priority; a tenth of the nodes stay as the core."""
+    built, ranks = hierarchy.lazy_contract(cut(shapes.trade(spark, sf_dir)), percent=90)
+    return hierarchy.query_costs(cut(built), ranks, cut(_pair_queries(spark, sf_dir)))
+
+
+def _labelled_hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges with labels of optimal ways, ranks, queries, what filters know of their targets) over a fixed order."""
+    edges, ranks, nodes, parts = cut(shapes.trade(spark, sf_dir)), cut(_ranks(spark, sf_dir)), shapes.nation_nodes(spark, sf_dir), _parts(spark, sf_dir)
+    built = cut(hierarchy.contract(edges, ranks))
+    labelled = labels.edge_labels(built, search.relax(edges, _nation_sources(spark, sf_dir)), nodes, parts)
+    queries = cut(_pair_queries(spark, sf_dir))
+    return cut(labelled), ranks, queries, cut(labels.targets_of(queries, nodes, parts, ranks))
+
+
+@query(_pairs_sql("g AS cost, g AS boxes, g AS both"))
+def hierarchy_labels(spark, sf_dir):
+    """Search from both ends whose edges must carry the target's part, its place, or both."""
+    built, ranks, queries, targets = _labelled_hierarchy(spark, sf_dir)
+    part, box = labels.keeps_part(F.col("flags"), F.col("tpart")), labels.keeps_box(F.col("tx"), F.col("ty"))
+    run = lambda keep: hierarchy.query_costs(built, ranks, queries, stall=True, context=targets, keep=keep)
+    return _beside(run(part), boxes=run(box), both=run(labels.stacked([part, box])))
+
+
+@query(_pairs_sql("g AS cost, g AS boxes, g AS both"))
+def forward_labels(spark, sf_dir):
+    """Forward search whose falling edges must carry the target's part, its place, or both, and rank no lower than it."""
+    built, ranks, queries, targets = _labelled_hierarchy(spark, sf_dir)
+    part, box = labels.keeps_part(F.col("flags"), F.col("tpart")), labels.keeps_box(F.col("tx"), F.col("ty"))
+    high = F.col("dst_rank") >= F.col("trank")
+    run = lambda keep: hierarchy.forward_costs(built, ranks, queries, context=targets, keep=keep & high)
+    return _beside(run(part), boxes=run(box), both=run(labels.stacked([part, box])))
+
+
+@query(_pairs_sql("g AS cost, g AS ids"))
+def forward_closure_labels(spark, sf_dir):
+    """Forward search pruned by labels of what can be reached along ranks: all parts of the label, and id ranges alone."""
+    edges, ranks, nodes, parts = cut(shapes.trade(spark, sf_dir)), cut(_ranks(spark, sf_dir)), shapes.nation_nodes(spark, sf_dir), _parts(spark, sf_dir)
+    built, queries = cut(hierarchy.contract(edges, ranks)), cut(_pair_queries(spark, sf_dir))
+    labelled = cut(built.join(labels.down_labels(built, nodes, parts, ranks), ["src", "dst"]))
+    targets = cut(labels.targets_of(queries, nodes, parts, ranks))
+    run = lambda keep: hierarchy.forward_costs(labelled, ranks, queries, context=targets, keep=keep)
+    return _beside(run(labels.keeps_closure()), ids=run(labels.keeps_closure(part=False, box=False, ranks=False)))
+
+
+@query(_pairs_sql("g AS cost"))
+def apex_search(spark, sf_dir):
+    """Forward search again, with what its first run found to be the top of the path."""
+    edges, ranks = cut(shapes.trade(spark, sf_dir)), cut(_ranks(spark, sf_dir))
+    built, queries = cut(hierarchy.contract(edges, ranks)), cut(_pair_queries(spark, sf_dir))
+    return hierarchy.apex_costs(built, ranks, queries, cut(hierarchy.apexes(built, ranks, queries)))
+
+
+_RAISED = f"{TRADE}, {NATIONS}, u AS (SELECT src, dst, greatest(wt, CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS BIGINT)) AS wt FROM t JOIN nn a ON a.id = src JOIN nn b ON b.id = dst)"
+
+
+@query(f"""WITH {_RAISED}, {rounds('u', _SOURCES, K)}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey AS BIGINT) AS source, (CAST(n_nationkey AS BIGINT) * 11 + 3) % 25 AS target FROM nation)
+SELECT q.qid, source, target, g AS cost FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target""")
+def goal_directed_trade(spark, sf_dir):
+    """Costs of single queries, their search cut off by straight-line distance."""
+    nodes, n = shapes.nation_nodes(spark, sf_dir), F.col("id")
+    edges = cut(graph.raise_to_distance(shapes.trade(spark, sf_dir), nodes))
+    return search.goal_directed(edges, nodes, nodes.select(n.alias("qid"), n.alias("source"), ((n * 11 + 3) % 25).alias("target")))
+
+
+@query(f"WITH {TRADE}, {rounds('t', _SOURCES, K)} SELECT node AS target, qid AS node, g FROM r{K}")
+def target_distances(spark, sf_dir):
+    """The exact rest to every nation, from a search against the edges."""
+    n = F.col("n_nationkey").cast("bigint")
+    return search.distances_to(cut(shapes.trade(spark, sf_dir)), shapes.table(spark, sf_dir, "nation").select(n.alias("target")))
 
 
 @query(f"WITH {TRADE}, " + ", ".join(
     [f"l0 AS (SELECT CAST(0 AS BIGINT) AS cell, 0 AS t, CAST(0 AS BIGINT) AS g)"]
     + [f"l{i} AS (SELECT cell, {i} AS t, min(g) AS g FROM (SELECT dst AS cell, g + 1 AS g, CASE WHEN dst > src THEN 1 ELSE 2 END AS bit FROM l{i - 1} JOIN t ON src = cell UNION ALL SELECT cell, g + 1, 0 FROM l{i - 1}) s"
        f" WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.cell = s.cell AND k.t = {i} AND (k.v OR (k.e_mask & s.bit) <> 0)) GROUP BY cell)" for i in range(1, 5)]
-).replace("l0 AS", "k AS (SELECT cell, t, bool_or(cell % 4 = 0) AS v, min(m) AS e_mask FROM (SELECT o_custkey % 25 AS cell, o_orderkey % 5 AS t, CAST(o_custkey % 3 AS INT) AS m FROM orders WHERE o_orderkey % 11 = 0) GROUP BY ALL), l0 AS", 1) + " " + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(5)))
+).replace("l0 AS", "k AS (SELECT cell, t, bool_or(cell % 4 = 0) AS v, min(m) AS e_mask FROM (SELECT o_custkey % 25 AS cell, o_orderkey % 211 AS t, CAST(o_custkey % 3 AS INT) AS m FROM orders) GROUP BY ALL), l0 AS", 1) + " " + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(5)))
 def timed_search(spark, sf_dir):
     """Layers of a time-expanded search under vertex and edge constraints."""
-    orders = shapes.table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
-    rows = orders.select((F.col("o_custkey") % 25).alias("cell"), (F.col("o_orderkey") % 5).cast("int").alias("t"), (F.col("o_custkey") % 3).cast("int").alias("m"))
+    orders = shapes.table(spark, sf_dir, "orders")
+    rows = orders.select((F.col("o_custkey") % 25).alias("cell"), (F.col("o_orderkey") % 211).cast("int").alias("t"), (F.col("o_custkey") % 3).cast("int").alias("m"))
     constraints = rows.groupBy("cell", "t").agg(F.bool_or(F.col("cell") % 4 == 0).alias("v"), F.min("m").alias("e_mask"))
     edges = shapes.trade(spark, sf_dir).withColumn("bit", F.when(F.col("dst") > F.col("src"), 1).otherwise(2))
     return timed.layers(cut(edges), 0, 4, cut(constraints))

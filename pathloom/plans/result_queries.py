@@ -73,10 +73,10 @@ def results_chunks(spark, sf_dir):
     return _rounded(analytics.chunk_means(_lines(spark, sf_dir), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 20), "mean")
 
 
-@query("SELECT l_suppkey, " + ", ".join(f"sum(CASE WHEN l_linenumber = {i} THEN CAST(l_quantity AS BIGINT) END) AS run_{i}" for i in range(1, 5)) + " FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, " + ", ".join(f"sum(CASE WHEN l_linenumber = {i} THEN CAST(l_quantity AS BIGINT) END) AS run_{i}" for i in range(1, 8)) + " FROM lineitem GROUP BY 1")
 def results_runs(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
-    return analytics.runs_as_columns(lines, "l_suppkey", "l_linenumber", [1, 2, 3, 4], "l_quantity")
+    return analytics.runs_as_columns(lines, "l_suppkey", "l_linenumber", list(range(1, 8)), "l_quantity")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, max(l_quantity) AS d, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
