@@ -83,6 +83,21 @@ def interval_bound(rx: Column, ry: Column, left: Column, right: Column, row: Col
     return euclidean(rx, ry, inside, row) + euclidean(inside, row, tx, my)
 
 
+def segment_bound(rx: Column, ry: Column, lx: Column, ly: Column, qx: Column, qy: Column, tx: Column, ty: Column) -> Column:
+    """Least length from a root over the segment from its left end l to its right end q to a target, in any direction.
+
+    A target on the root's side is mirrored; the path goes straight where both
+    ends leave it room, else over the end that does not.
+    """
+    same = cross(lx - qx, ly - qy, rx - qx, ry - qy) * cross(lx - qx, ly - qy, tx - qx, ty - qy) > 0
+    image = reflect(tx, ty, qx, qy, lx, ly)
+    gx, gy = F.when(same, image["x"]).otherwise(tx), F.when(same, image["y"]).otherwise(ty)
+    right = cross(qx - rx, qy - ry, gx - rx, gy - ry) < 0
+    left = cross(lx - rx, ly - ry, gx - rx, gy - ry) > 0
+    over = lambda px, py: euclidean(rx, ry, px, py) + euclidean(px, py, gx, gy)
+    return F.when(right, over(qx, qy)).when(left, over(lx, ly)).otherwise(euclidean(rx, ry, gx, gy))
+
+
 def travel_direction(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Compass name of the first step, diagonal steps first; y grows downward."""
     ns = F.when(y2 < y1, "N").when(y2 > y1, "S").otherwise("")
@@ -100,4 +115,4 @@ def boxes_meet(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column,
 
 def fixed_weight(cost: Column) -> Column:
     """A cost as a truncated fixed-point weight."""
-    return F.floor(cost * SCALE).cast("bigint")
+    return (cost * SCALE).cast("bigint")

@@ -194,7 +194,25 @@ def rescale(cells: DataFrame, old_w: int, old_h: int, new_w: int, new_h: int) ->
 
 def roughened(cells: DataFrame, seed: int, percent: int = 25) -> DataFrame:
     """Every free cell turns into rough terrain with a chance that depends on its place and the seed alone."""
-    return cells.withColumn("rough", F.col("ok") & (F.pmod(F.xxhash64("x", "y", F.lit(seed)), F.lit(100)) < percent))
+    chance = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))), 1, 4)
+    return cells.withColumn("rough", F.col("ok") & (chance < f"{percent * 65536 // 100:04x}"))
+
+
+def point_steps(cells: DataFrame) -> DataFrame:
+    """(x, y, x2, y2, wt, pinched) of moves between lattice points: along a side of a free cell, or across a free cell.
+
+    ``pinched`` points, where obstacles touch, are left only by a search that starts there.
+    """
+    corners_ = {"nw": (0, 0), "ne": (1, 0), "sw": (0, 1), "se": (1, 1)}
+    moves = []
+    for a, (ax, ay) in corners_.items():
+        for b, (bx, by) in corners_.items():
+            if a != b:
+                wt = geo.SCALE if ax == bx or ay == by else geo.SCALED_DIAGONAL
+                moves.append(F.struct((F.col("x") + ax).alias("x"), (F.col("y") + ay).alias("y"), (F.col("x") + bx).alias("x2"), (F.col("y") + by).alias("y2"), F.lit(wt).cast("bigint").alias("wt")))
+    every = cells.where("ok").select(F.explode(F.array(*moves)).alias("m")).select("m.*").distinct()
+    pinched = points(cells).where("double_corner").select("x", "y", F.lit(True).alias("pinched"))
+    return every.join(pinched, ["x", "y"], "left").withColumn("pinched", F.coalesce("pinched", F.lit(False)))
 
 
 def clusters(cells: DataFrame, size: int = 10) -> DataFrame:

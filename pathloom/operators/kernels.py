@@ -162,7 +162,8 @@ def sees(free: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> bool:
             iy, y = iy + 1, y + sy
         if ix >= nx or iy >= ny:
             return True
-        if ahead == 0 and not (open_(x - 1, y) or open_(x, y - 1)) and not (open_(x, y) and open_(x - 1, y - 1)):
+        beside = ((x - 1, y), (x, y - 1)) if sx == sy else ((x - 1, y - 1), (x, y))
+        if ahead == 0 and not (open_(*beside[0]) or open_(*beside[1])):
             return False
 
 

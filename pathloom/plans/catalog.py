@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.plans import graph_queries, grid_queries, result_queries
+from pathloom.plans import graph_queries, grid_queries, io_queries, result_queries, search_queries
 
-MODULES = (graph_queries, grid_queries, result_queries)
+MODULES = (graph_queries, grid_queries, result_queries, search_queries, io_queries)
 
 
 def queries() -> dict:

@@ -206,14 +206,3 @@ def point_location(spark, sf_dir):
     orders = shapes.table(spark, sf_dir, "orders")
     points = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 13 % (w * 4) / 4).alias("x"), (F.col("o_orderkey") * 7 % (w * 4) / 4).alias("y"))
     return mesh.locate(points, mesh.unit_mesh(shapes.grid(spark, sf_dir).select("x", "y", "ok"), w)).select("id", "pid")
-
-
-@query()
-def jump_point_search(spark, sf_dir):
-    """Jump point searches of a query table, one per supplier, over the broadcast grid."""
-    w = shapes.grid_width(spark, sf_dir)
-    k = F.col("s_suppkey")
-    at = lambda a, b: (k * a + b) % w
-    queries = shapes.table(spark, sf_dir, "supplier").select(k.alias("qid"), at(7, 1).alias("sx"), at(11, 3).alias("sy"), at(13, 5).alias("tx"), at(17, 7).alias("ty"))
-    found = kernels.run_queries(queries, kernels.grid_array(shapes.grid(spark, sf_dir).select("x", "y", "ok")), kernels.jump_search)
-    return found.select("qid", "cost", F.size("path").alias("turns"))

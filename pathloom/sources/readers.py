@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The label of a blocked cell.
+BLOCKED = 2**32 - 1
+
+
 def grid_map(spark: SparkSession, path: str) -> DataFrame:
     """(map, x, y, tile) of grid maps: a header in any order, ``map``, then rows of tiles.
 
@@ -83,29 +87,17 @@ def partition_labels(spark: SparkSession, path: str, first: int = 0) -> DataFram
 
 
 def mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices(vid, x, y, polygons), polygons(pid, vertices, neighbours)) of a version 2 mesh; bad meshes raise ValueError."""
-    words = spark.read.text(path, wholetext=True).first()["value"].split()
-    if words[:2] != ["mesh", "2"]:
-        raise ValueError("not a version 2 mesh")
-    v, p = int(words[2]), int(words[3])
-    at, vertices, polygons = 4, [], []
-    for i in range(v):
-        n = int(words[at + 2])
-        around = [int(x) for x in words[at + 3 : at + 3 + n]]
-        if n < 2 or any(not -1 <= a < p for a in around):
-            raise ValueError(f"bad vertex {i}")
-        vertices.append((i, float(words[at]), float(words[at + 1]), around))
-        at += 3 + n
-    for i in range(p):
-        n = int(words[at])
-        ring, beside = ([int(x) for x in words[at + 1 + k * n : at + 1 + (k + 1) * n]] for k in (0, 1))
-        if n < 3 or any(not 0 <= a < v for a in ring) or any(not -1 <= b < p for b in beside) or len(beside) < n:
-            raise ValueError(f"bad polygon {i}")
-        polygons.append((i, ring, beside))
-        at += 1 + 2 * n
-    if at != len(words):
-        raise ValueError("words after the last polygon")
-    return spark.createDataFrame(vertices, "vid int, x double, y double, polygons array<int>"), spark.createDataFrame(polygons, "pid int, vertices array<int>, neighbours array<int>")
+    """(vertices(vid, x, y, polygons), polygons(pid, vertices, neighbours)) of one version 2 mesh; a bad mesh fails."""
+    from pathloom.sources.meshes import read_mesh
+
+    vertices, polygons = read_mesh(spark, path)
+    return vertices.drop("file"), polygons.drop("file")
+
+
+def labelled_cells(tiles: DataFrame) -> DataFrame:
+    """(x, y, v_lab, e_lab) of tiles (x, y, tile): 0 for '.', BLOCKED for others; one for N, S, E, W and waiting each."""
+    v_lab = F.when(F.col("tile") == ".", F.lit(0)).otherwise(F.lit(BLOCKED)).cast("bigint")
+    return tiles.select("x", "y", v_lab.alias("v_lab"), F.array(*[F.lit(1.0)] * 5).alias("e_lab"))
 
 
 def results(spark: SparkSession, paths: list[str], schema: T.StructType | str, sep: str = "\t") -> DataFrame:

@@ -31,10 +31,13 @@ def dimacs_coordinates(nodes: DataFrame, path: str) -> None:
 
 
 def metis(pairs: DataFrame, path: str) -> None:
-    """One line per node 1..n with its neighbours, in order, after a header line; ``pairs`` has a, b."""
+    """One line per node 1..n with its neighbours, in order, after a header line; ``pairs`` has a, b. Nodes without a neighbour have an empty line."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lines = both.groupBy("a").agg(F.array_join(F.transform(F.sort_array(F.collect_set("b")), lambda b: b.cast("string")), " ").alias("value"))
-    head = pairs.agg(F.lit(0).cast("bigint").alias("a"), F.concat_ws(" ", F.greatest(F.max("a"), F.max("b")).cast("string"), F.count(F.lit(1)).cast("string")).alias("value"))
+    size = pairs.agg(F.coalesce(F.greatest(F.max("a"), F.max("b")), F.lit(0)).cast("bigint").alias("n"), F.countDistinct(F.least("a", "b"), F.greatest("a", "b")).alias("m")).first()
+    held = both.groupBy("a").agg(F.array_join(F.transform(F.sort_array(F.collect_set("b")), lambda b: b.cast("string")), " ").alias("value"))
+    spark = pairs.sparkSession
+    lines = spark.range(1, size["n"] + 1).select(F.col("id").alias("a")).join(held, "a", "left").select("a", F.coalesce("value", F.lit("")).alias("value"))
+    head = spark.createDataFrame([(0, f"{size['n']} {size['m']}")], "a bigint, value string")
     head.unionByName(lines).orderBy("a").select("value").write.text(path)
 
 
