@@ -117,7 +117,18 @@ def jump_table(spark, sf_dir):
     return grid.jump_table(shapes.grid(spark, sf_dir).select("x", "y", "ok"))
 
 
-@query()
+def _diagonal_sql() -> str:
+    """Walks along diagonals while steps are legal, to the first cell with a live straight jump in a direction of the diagonal."""
+    names = ("NE", "NW", "SE", "SW")
+    legal = " UNION ALL ".join(f"SELECT a.x, a.y, '{n}' AS dir, a.x + {_D[n][0]} AS nx, a.y + {_D[n][1]} AS ny FROM f a WHERE " + " AND ".join(_free(f"a.x + {dx}", f"a.y + {dy}") for dx, dy in ((_D[n][0], _D[n][1]), (_D[n][0], 0), (0, _D[n][1]))) for n in names)
+    live = " UNION ALL ".join(f"SELECT DISTINCT x, y, '{n}' AS dir FROM j WHERE NOT dead_end AND dir IN ('{n[0]}', '{n[1]}')" for n in names)
+    return f"""WITH RECURSIVE {GRID}, j AS ({" UNION ALL ".join(_scan_sql(n) for n in "NSEW")}), lg AS ({legal}), lv AS ({live}),
+wk(x, y, dir, cx, cy, steps, hit) AS (SELECT x, y, dir, x, y, CAST(0 AS BIGINT), false FROM f, (VALUES ('NE'), ('NW'), ('SE'), ('SW')) v(dir)
+UNION ALL SELECT wk.x, wk.y, wk.dir, lg.nx, lg.ny, wk.steps + 1, lv.x IS NOT NULL FROM wk JOIN lg ON lg.x = wk.cx AND lg.y = wk.cy AND lg.dir = wk.dir LEFT JOIN lv ON lv.x = lg.nx AND lv.y = lg.ny AND lv.dir = wk.dir WHERE NOT wk.hit)
+SELECT x, y, dir, max(steps) AS steps, NOT bool_or(hit) AS dead_end FROM wk GROUP BY x, y, dir"""
+
+
+@query(_diagonal_sql())
 def diagonal_jumps(spark, sf_dir):
     """Diagonal jump distances of every free cell."""
     return grid.diagonal_jumps(shapes.grid(spark, sf_dir).select("x", "y", "ok"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import geometry as geo
 from pathloom.functions import scalars
 from pathloom.operators import analytics, grid, labels, mesh, timed
-from pathloom.plans import shapes
+from pathloom.plans import grid_queries, shapes
 from pathloom.plans.graph_queries import _FIRSTS, _firsts, _parts
 from pathloom.plans.lineage import cut, shared_dir
 from pathloom.plans.shapes import GRID, NATIONS, TRADE
@@ -246,7 +246,7 @@ def io_graph(spark, sf_dir):
     return tables.load(spark, path, "edges").join(a, "src").join(b, "dst").select("src", "dst", "wt", "x1", "x2")
 
 
-@query()
+@query(f"{grid_queries.ORACLES['diagonal_jumps']} UNION ALL SELECT x, y, dir, steps, dead_end FROM j")
 def io_jump_table(spark, sf_dir):
     path = _path(spark, "jumps")
     cells = shapes.grid(spark, sf_dir).select("x", "y", "ok")
@@ -351,3 +351,22 @@ def trace_sessions(spark, sf_dir):
     # Wall-clock microseconds, whatever the session's time zone.
     us = lambda c: F.unix_micros(F.to_utc_timestamp(F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone()), "UTC"))
     return out.select("qid", us("start").alias("start_us"), us("end").alias("end_us"), "n")
+
+
+@query(grid_queries.ORACLES["grid_graph"])
+def io_grid_to_dimacs(spark, sf_dir):
+    """The grid as a graph file."""
+    path = _path(spark, "grid-gr")
+    writers.dimacs_graph(grid.to_graph(shapes.grid(spark, sf_dir).select("x", "y", "ok"), shapes.grid_width(spark, sf_dir)), path)
+    return readers.dimacs_graph(spark, path)
+
+
+@query(f"""WITH {_FIRSTS}, l AS (SELECT source, first, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM fe JOIN nn ON id = node GROUP BY ALL)
+SELECT CASE WHEN (first * 7) % 25 > (source * 7) % 25 THEN source ELSE first END AS node, CASE WHEN (first * 7) % 25 > (source * 7) % 25 THEN first ELSE source END AS other, (first * 7) % 25 > (source * 7) % 25 AS climbs, x1, y1, x2, y2 FROM l""")
+def split_labels(spark, sf_dir):
+    """Labels of climbing edges at their tail, those of falling ones at their head."""
+    ranks = shapes.nation_nodes(spark, sf_dir).select(F.col("id").alias("node"), ((F.col("id") * 7) % 25).alias("rank"))
+    boxes = labels.boxes(_firsts(spark, sf_dir), shapes.nation_nodes(spark, sf_dir).select("id", "x", "y")).withColumnsRenamed({"source": "src", "first": "dst"})
+    up, down = labels.split_directions(boxes, ranks)
+    named = lambda df, climbs: df.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(climbs).alias("climbs"), "x1", "y1", "x2", "y2")
+    return named(up, True).unionByName(named(down, False))

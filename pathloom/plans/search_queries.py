@@ -239,11 +239,51 @@ def successor_directions(spark, sf_dir):
 def any_angle_search(spark, sf_dir):
     """Shortest paths between lattice points by intervals over the free runs of rows."""
     area = intervals.rectangle_mesh(intervals.row_runs(kernels.grid_array(_cells(spark, sf_dir))))
-    return _run(spark, sf_dir, intervals.grid_interval_search, area)
+    return _run(spark, sf_dir, intervals.grid_interval_search, area).withColumn("cost", F.round("cost", 6))
 
 
 @query()
 def mesh_search(spark, sf_dir):
     """The same over a mesh of large rectangles, between centres of cells."""
     area = intervals.rectangle_mesh(mesh.best_rectangles(kernels.grid_array(_cells(spark, sf_dir)) > 0))
-    return _run(spark, sf_dir, lambda m, a, b: intervals.interval_search(m, (a[0] + 0.5, a[1] + 0.5), (b[0] + 0.5, b[1] + 0.5), shift=True), area)
+    return _run(spark, sf_dir, lambda m, a, b: intervals.interval_search(m, (a[0] + 0.5, a[1] + 0.5), (b[0] + 0.5, b[1] + 0.5), shift=True), area).withColumn("cost", F.round("cost", 6))
+
+
+@query(_costs(_steps(_D), "d.g AS forward, d.g") + _VALID)
+def corner_hierarchy_search(spark, sf_dir):
+    """The corner graph contracted; searched from both ends and forward."""
+    graph, queries = jumps.corner_graph(_cells(spark, sf_dir), shapes.grid_width(spark, sf_dir)), _valid_queries(spark, sf_dir)
+    forward = jumps.corner_hierarchy_costs(graph, queries, forward=True).withColumnRenamed("cost", "forward")
+    return jumps.corner_hierarchy_costs(graph, queries).join(forward, "qid")
+
+
+def _any_angle_sql(shift: float) -> str:
+    """Shortest lengths over the visibility graph: ends, and lattice points with one blocked cell.
+
+    A segment is free if it meets no blocked cell's inside, no point within it
+    where obstacles touch, and, along a grid line, no unit that is blocked on both sides.
+    """
+    return f"""WITH RECURSIVE {GRID}, {_ENDS}, h AS (SELECT max(y) + 1 AS h FROM c),
+blk AS (SELECT i AS cx, j AS cy FROM w, h, range(0, w.w) r(i), range(0, h.h) s(j) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.x = i AND f.y = j)),
+pm AS (SELECT x + dx AS x, y + dy AS y, sum(CASE WHEN ok THEN bit ELSE 0 END) AS mask FROM c, (VALUES (0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)) v(dx, dy, bit) GROUP BY 1, 2),
+fl AS (SELECT i AS x, j AS y FROM w, h, range(0, w.w) r(i), range(0, h.h + 1) s(j) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.x = i AND f.y IN (j - 1, j))),
+up AS (SELECT i AS x, j AS y FROM w, h, range(0, w.w + 1) r(i), range(0, h.h) s(j) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.y = j AND f.x IN (i - 1, i))),
+v AS (SELECT q.* FROM q WHERE {"EXISTS (SELECT 1 FROM pm WHERE pm.x = sx AND pm.y = sy AND mask > 0) AND EXISTS (SELECT 1 FROM pm WHERE pm.x = tx AND pm.y = ty AND mask > 0)" if not shift else f"{_free('q.sx', 'q.sy')} AND {_free('q.tx', 'q.ty')}"}),
+nd AS (SELECT row_number() OVER (ORDER BY x, y) AS id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pm WHERE bit_count(CAST(mask AS BIGINT)) = 3
+UNION ALL SELECT -2 * qid - 1, sx + {shift}, sy + {shift} FROM v UNION ALL SELECT -2 * qid - 2, tx + {shift}, ty + {shift} FROM v),
+pr AS (SELECT a.id AS src, b.id AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nd a JOIN nd b ON a.id <> b.id AND (a.id > 0 OR a.id % 2 <> 0) AND (b.id > 0 OR b.id % 2 = 0) AND (a.id > 0 OR b.id > 0 OR a.id - 1 = b.id)),
+bad AS (SELECT DISTINCT src, dst FROM pr JOIN blk ON least(ax, bx) < cx + 1 AND greatest(ax, bx) > cx AND least(ay, by_) < cy + 1 AND greatest(ay, by_) > cy
+AND least((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy - ay) - (by_ - ay) * (cx + 1 - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx + 1 - ax)) < 0
+AND greatest((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy - ay) - (by_ - ay) * (cx + 1 - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx + 1 - ax)) > 0
+UNION SELECT src, dst FROM pr JOIN pm ON mask IN (6, 9) AND (bx - ax) * (pm.y - ay) = (by_ - ay) * (pm.x - ax) AND pm.x BETWEEN least(ax, bx) AND greatest(ax, bx) AND pm.y BETWEEN least(ay, by_) AND greatest(ay, by_)
+AND NOT (pm.x = ax AND pm.y = ay) AND NOT (pm.x = bx AND pm.y = by_)
+UNION SELECT src, dst FROM pr JOIN fl ON ay = by_ AND fl.y = ay AND fl.x >= least(ax, bx) AND fl.x + 1 <= greatest(ax, bx)
+UNION SELECT src, dst FROM pr JOIN up ON ax = bx AND up.x = ax AND up.y >= least(ay, by_) AND up.y + 1 <= greatest(ay, by_)),
+e AS (SELECT src, dst, sqrt((ax - bx) ^ 2 + (ay - by_) ^ 2) AS wt FROM pr WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.src = pr.src AND bad.dst = pr.dst)),
+d(source, node, g) USING KEY (source, node) AS (SELECT -2 * qid - 1 AS source, -2 * qid - 1 AS node, CAST(0 AS DOUBLE) AS g FROM v
+UNION SELECT x.source, x.node, x.g FROM (SELECT o.source, e.dst AS node, min(o.g + e.wt) AS g FROM d o JOIN e ON e.src = o.node WHERE e.dst > 0 OR e.dst = o.source - 1 GROUP BY 1, 2) x
+LEFT JOIN recurring.d r ON r.source = x.source AND r.node = x.node WHERE r.g IS NULL OR x.g < r.g - 1e-9)
+SELECT q.qid, round(d.g, 6) AS cost FROM q LEFT JOIN d ON d.source = -2 * q.qid - 1 AND d.node = -2 * q.qid - 2"""
+
+
+ORACLES["any_angle_search"], ORACLES["mesh_search"] = _any_angle_sql(0), _any_angle_sql(0.5)

@@ -6,7 +6,7 @@ from pathloom.plans import catalog
 from tests.oracle import check
 
 #: Many small jobs each; the driver's comparison covers them at sf0.01.
-SLOW = {"hierarchy_search", "sssp_road", "p2p_road", "p2p_road_bidirectional"}
+SLOW = {"hierarchy_search", "lazy_hierarchy", "hierarchy_labels", "forward_labels", "forward_closure_labels", "apex_search", "corner_hierarchy_search"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
