@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.graph import collapse, with_direction
+from pathloom.operators.graph import collapse
 from pathloom.operators.search import extract_paths, relax
 from pathloom.plans.lineage import cut
 
@@ -76,7 +76,7 @@ def lazy_contract(edges: DataFrame, hops: int = 2, percent: float = 100.0) -> tu
     A node's priority is the number of shortcuts that its contraction needs
     less the edges it removes.  Each round contracts the nodes with the least
     (priority, hash) among their neighbours: no two of them are neighbours.
-    ``percent`` of the nodes are contracted at least; the others are the core, at the top.
+    ``percent`` of the nodes are contracted at least; the others are the core, on one rank at the top.
     """
     left = cut(_started(edges))
     nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -104,16 +104,17 @@ def lazy_contract(edges: DataFrame, hops: int = 2, percent: float = 100.0) -> tu
     for part in ranks[1:]:
         order = order.unionByName(part)
     order = cut(order)
-    # The core keeps distinct ranks, so that every edge still has a direction.
-    core = nodes.join(order, "node", "left_anti").select("node", (F.lit(rank) + F.pmod(F.xxhash64("node"), F.lit(1 << 30))).cast("int").alias("rank"))
+    # The core has one rank, so that its edges count as climbing and as falling.
+    core = nodes.join(order, "node", "left_anti").select("node", F.lit(rank).alias("rank"))
     return _finished([*parts, left]), cut(order.unionByName(core))
 
 
 def independent_ranks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, rank) in batches: each round takes the nodes that have the least (degree, hash) among their neighbours left.
 
-    A batch holds no two neighbours, as ``contract`` needs; hashes break ties
-    without a preference for small ids.
+    A batch holds no two neighbours, as ``contract`` needs, shortcuts counted:
+    the neighbours of a node that goes become neighbours of each other.  Hashes
+    break ties without a preference for small ids.
     """
     pairs = edges.select("src", "dst").where("src <> dst")
     pairs = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -127,6 +128,9 @@ def independent_ranks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         gone = batch.select("node")
         touched = pairs.select(F.col("src").alias("node")).distinct()
         pairs_left = cut(pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        fill = pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").select("src", F.col("dst").alias("a"))
+        fill = fill.join(fill.withColumnRenamed("a", "b"), "src").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        pairs_left = cut(pairs_left.unionByName(fill).distinct())
         # Nodes whose neighbours have all gone come last.
         alone = touched.join(gone, "node", "left_anti").join(pairs_left.select(F.col("src").alias("node")), "node", "left_anti")
         out = cut(out.unionByName(alone.select("node", F.lit(rank + 1).alias("rank"))))
@@ -136,12 +140,19 @@ def independent_ranks(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise ValueError("the graph was not contracted in max_rounds rounds")
 
 
+def _ranked(hierarchy: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Edges with src_rank and dst_rank."""
+    a = ranks.select(F.col("node").alias("src"), F.col("rank").alias("src_rank"))
+    b = ranks.select(F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
+    return cut(hierarchy.join(a, "src").join(b, "dst"))
+
+
 def layouts(hierarchy: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges that climb, edges that fall, turned round), with all their columns."""
-    directed = cut(with_direction(hierarchy, ranks))
-    up = directed.where("up").drop("up")
-    down = directed.where("not up").drop("up")
-    return up, down.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in down.columns if c not in ("src", "dst")))
+    """(edges that climb, edges that fall, turned round), with all their columns; edges within a core are in both."""
+    wide = _ranked(hierarchy, ranks)
+    rest = [c for c in hierarchy.columns if c not in ("src", "dst")]
+    down = wide.where("dst_rank <= src_rank").select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
+    return wide.where("dst_rank >= src_rank").select("src", "dst", *rest), down
 
 
 def stalled(against: DataFrame):
@@ -195,12 +206,10 @@ def _state(node: Column, climbing: Column) -> Column:
 
 def two_phase_edges(hierarchy: DataFrame, ranks: DataFrame) -> DataFrame:
     """Edges over states (node, still climbing): upward ones while climbing only, downward ones at any time; with ``fall``, src_rank and dst_rank."""
-    a = ranks.select(F.col("node").alias("src"), F.col("rank").alias("src_rank"))
-    b = ranks.select(F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
-    wide = cut(hierarchy.join(a, "src").join(b, "dst"))
+    wide = _ranked(hierarchy, ranks)
     rest = [c for c in wide.columns if c not in ("src", "dst")]
     yes, no = F.lit(True), F.lit(False)
-    climb = wide.where("dst_rank > src_rank").select(_state(F.col("src"), yes).alias("src"), _state(F.col("dst"), yes).alias("dst"), *rest, no.alias("fall"))
+    climb = wide.where("dst_rank >= src_rank").select(_state(F.col("src"), yes).alias("src"), _state(F.col("dst"), yes).alias("dst"), *rest, no.alias("fall"))
     drop = wide.where("dst_rank <= src_rank").select(F.explode(F.array(yes, no)).alias("was"), "*")
     return climb.unionByName(drop.select(_state(F.col("src"), F.col("was")).alias("src"), _state(F.col("dst"), no).alias("dst"), *rest, yes.alias("fall")))
 

@@ -204,99 +204,132 @@ def offline(jumps: Jumps, start: Cell, goal: Cell, through: bool = False) -> tup
     return _best_first(start, goal, successors)
 
 
-def diagonal_reach(cells: DataFrame) -> DataFrame:
-    """(x, y, dir, reach): legal steps in a row from every free cell in each diagonal direction."""
-    around = grid.neighbourhood(cells)
-    out = None
+def walks(cells: DataFrame) -> DataFrame:
+    """(x, y, dir, steps, corner): legal steps from every free cell to the first corner in each of the eight directions, or as far as they go."""
+    free = F.col("free")
+    corner = F.lit(False)
     for name in ("NE", "NW", "SE", "SW"):
-        dx, dy, _ = grid.DIRECTIONS[name]
-        ov, oh = _BACK[name[0]], _BACK[name[1]]
-        entered = F.col("ok") & grid.has(F.col("free"), ov, oh, ov + oh)
-        rows = around.select("x", "y", "ok", (F.col("x") * dy - F.col("y") * dx).alias("line"), (F.col("x") * dx).alias("along"), entered.alias("entered"))
+        corner = corner | (grid.lacks(free, name) & grid.has(free, *name))
+    around = grid.neighbourhood(cells.select("x", "y", "ok")).withColumn("corner", F.col("ok") & corner)
+    out = None
+    for name, (dx, dy, _) in grid.DIRECTIONS.items():
+        if len(name) == 2:
+            ov, oh = _BACK[name[0]], _BACK[name[1]]
+            entered, line, along = F.col("ok") & grid.has(free, ov, oh, ov + oh), F.col("x") * dy - F.col("y") * dx, F.col("x") * dx
+        else:
+            entered, line, along = F.col("ok"), F.col("y") if dx else F.col("x"), F.col("x") * dx + F.col("y") * dy
+        halt = F.when(~entered, "wall").when(F.col("corner"), "corner")
+        rows = around.select("x", "y", "ok", line.alias("line"), along.alias("along"), halt.alias("halt"))
         ahead = Window.partitionBy("line").orderBy("along").rowsBetween(1, Window.unboundedFollowing)
-        end = F.first(F.when(~F.col("entered"), F.col("along")), ignorenulls=True).over(ahead)
+        hit = F.first(F.when(F.col("halt").isNotNull(), F.struct(F.col("along").alias("at"), F.col("halt").alias("kind"))), ignorenulls=True).over(ahead)
         edge = F.max("along").over(Window.partitionBy("line")) + 1
-        part = rows.select("x", "y", "ok", (F.coalesce(end, edge) - F.col("along") - 1).cast("bigint").alias("reach")).where("ok").select("x", "y", F.lit(name).alias("dir"), "reach")
+        found = rows.select("x", "y", "ok", "along", edge.alias("edge"), hit.alias("hit")).where("ok")
+        stop = F.coalesce(F.col("hit.kind") == "corner", F.lit(False))
+        steps = F.coalesce("hit.at", "edge") - F.col("along") - F.when(stop, 0).otherwise(1)
+        part = found.select("x", "y", F.lit(name).alias("dir"), steps.cast("bigint").alias("steps"), stop.alias("corner"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def corner_hops(table: DataFrame, reach: DataFrame, sources: DataFrame) -> DataFrame:
-    """(x, y, x2, y2, wt, first, last): from each source cell (x, y) the stops of straight jumps, and those after some diagonal steps."""
-    x2 = F.col("cx") + F.when(F.col("dir") == "E", F.col("steps")).when(F.col("dir") == "W", -F.col("steps")).otherwise(0)
-    y2 = F.col("cy") + F.when(F.col("dir") == "S", F.col("steps")).when(F.col("dir") == "N", -F.col("steps")).otherwise(0)
-    live = table.where("not dead_end and length(dir) = 1").select(F.col("x").alias("cx"), F.col("y").alias("cy"), "dir", "steps")
-    plain = sources.select("x", "y", F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(None).cast("string").alias("diag"), F.lit(0).cast("bigint").alias("k"))
-    sign = lambda plus, minus: F.when(F.col("diag").contains(plus), 1).when(F.col("diag").contains(minus), -1)
-    walked = sources.join(reach.withColumnRenamed("dir", "diag"), ["x", "y"]).where("reach > 0").select("x", "y", "diag", F.explode(F.sequence(F.lit(1).cast("bigint"), "reach")).alias("k"))
-    walked = walked.select("x", "y", (F.col("x") + sign("E", "W") * F.col("k")).alias("cx"), (F.col("y") + sign("S", "N") * F.col("k")).alias("cy"), "diag", "k")
-    met = plain.unionByName(walked).join(live, ["cx", "cy"]).where("diag is null or contains(diag, dir)")
-    return met.select("x", "y", x2.alias("x2"), y2.alias("y2"), (F.col("k") * geo.SCALED_DIAGONAL + F.col("steps") * geo.SCALE).alias("wt"), F.coalesce("diag", "dir").alias("first"), F.col("dir").alias("last"))
+def _moved(c: str, name: Column, n: Column) -> Column:
+    """A coordinate after n steps in a direction."""
+    plus, minus = ("E", "W") if c == "x" else ("S", "N")
+    return F.when(name.contains(plus), n).when(name.contains(minus), -n).otherwise(0)
+
+
+def _opposite(d: Column) -> Column:
+    return F.translate(d, "NSEW", "SNWE")
+
+
+def corner_hops(table: DataFrame, sources: DataFrame) -> DataFrame:
+    """(x, y, x2, y2, wt, first, last): from each source cell (x, y) the first corners of walks: straight, diagonal, and straight after some diagonal steps."""
+    wide = sources.join(table, ["x", "y"])
+    n, name, k = F.col("steps"), F.col("dir"), F.col("k")
+    unit = F.when(F.length("dir") == 2, geo.SCALED_DIAGONAL).otherwise(geo.SCALE)
+    plain = wide.where("corner").select("x", "y", (F.col("x") + _moved("x", name, n)).alias("x2"), (F.col("y") + _moved("y", name, n)).alias("y2"), (n * unit).alias("wt"), name.alias("first"), name.alias("last"))
+    inner = wide.where("length(dir) = 2").withColumn("most", n - F.col("corner").cast("int")).where("most > 0")
+    inner = inner.select("x", "y", F.col("dir").alias("diag"), F.explode(F.sequence(F.lit(1).cast("bigint"), "most")).alias("k"))
+    diag = F.col("diag")
+    inner = inner.select("x", "y", "diag", "k", (F.col("x") + _moved("x", diag, k)).alias("cx"), (F.col("y") + _moved("y", diag, k)).alias("cy"))
+    live = table.where("corner and length(dir) = 1").select(F.col("x").alias("cx"), F.col("y").alias("cy"), "dir", "steps")
+    turned = inner.join(live, ["cx", "cy"]).where("contains(diag, dir)").select(
+        "x", "y", (F.col("cx") + _moved("x", name, n)).alias("x2"), (F.col("cy") + _moved("y", name, n)).alias("y2"), (k * geo.SCALED_DIAGONAL + n * geo.SCALE).alias("wt"), diag.alias("first"), name.alias("last")
+    )
+    return plain.unionByName(turned)
+
+
+def target_hops(table: DataFrame, targets: DataFrame) -> DataFrame:
+    """(x, y, x2, y2, wt, first, last): into each target cell (x2, y2) from the corners (x, y) whose walks, diagonal and then straight, meet no other corner before."""
+    at = targets.select(F.col("x").alias("x2"), F.col("y").alias("y2"))
+    back = at.join(table.select(F.col("x").alias("x2"), F.col("y").alias("y2"), _opposite(F.col("dir")).alias("line"), "steps", "corner"), ["x2", "y2"])
+    straight = back.where("length(line) = 1")
+    n, line, k = F.col("steps"), F.col("line"), F.col("k")
+    away = lambda c, name, m: F.col(f"{c}2") - _moved(c, name, m)
+    unit = F.when(F.length("line") == 2, geo.SCALED_DIAGONAL).otherwise(geo.SCALE)
+    plain = back.where("corner").select(away("x", line, n).alias("x"), away("y", line, n).alias("y"), "x2", "y2", (n * unit).alias("wt"), line.alias("first"), line.alias("last"))
+    inner = straight.withColumn("most", n - F.col("corner").cast("int")).where("most > 0").select("x2", "y2", "line", F.explode(F.sequence(F.lit(1).cast("bigint"), "most")).alias("k"))
+    inner = inner.select("x2", "y2", "line", "k", away("x", line, k).alias("cx"), away("y", line, k).alias("cy"))
+    live = table.where("corner and length(dir) = 2").select(F.col("x").alias("cx"), F.col("y").alias("cy"), _opposite(F.col("dir")).alias("diag"), "steps")
+    diag = F.col("diag")
+    turned = inner.join(live, ["cx", "cy"]).where("contains(diag, line)").select(
+        (F.col("cx") - _moved("x", diag, n)).alias("x"), (F.col("cy") - _moved("y", diag, n)).alias("y"), "x2", "y2", (n * geo.SCALED_DIAGONAL + k * geo.SCALE).alias("wt"), diag.alias("first"), line.alias("last")
+    )
+    return plain.unionByName(turned)
 
 
 @dataclass
 class CornerGraph:
-    """edges(src, dst, wt, first, last) between corner cells, and what is needed to insert other cells."""
+    """edges(src, dst, wt, first, last) between corner cells, and the walks by which other cells are inserted."""
 
     edges: DataFrame
     table: DataFrame
-    reach: DataFrame
     width: int
 
 
 def corner_graph(cells: DataFrame, width: int) -> CornerGraph:
-    """Corners joined by diagonal-then-straight jumps, both ways; ends of shortest paths are inserted per query."""
-    cells = cells.select("x", "y", "ok")
-    table, reach = cut(grid.jump_table(cells)), cut(diagonal_reach(cells))
-    hops = corner_hops(table, reach, grid.corners(cells))
-    edges = _as_edges(hops, width)
-    return CornerGraph(cut(edges.unionByName(_turned(edges)).distinct()), table, reach, width)
+    """Corners joined by walks, diagonal and then straight, that meet no other corner; ends of queries are inserted.
+
+    Shortest paths turn from straight to diagonal at corners only, so between
+    two corners on one there is such a walk.
+    """
+    table = cut(walks(cells))
+    hops = corner_hops(table, grid.corners(cells.select("x", "y", "ok")))
+    return CornerGraph(cut(_as_edges(hops, width)), table, width)
 
 
 def _as_edges(hops: DataFrame, width: int) -> DataFrame:
     return hops.select(geo.cell_id(F.col("x"), F.col("y"), width).alias("src"), geo.cell_id(F.col("x2"), F.col("y2"), width).alias("dst"), "wt", "first", "last")
 
 
-def _opposite(d: Column) -> Column:
-    return F.translate(d, "NSEW", "SNWE")
-
-
-def _turned(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wt", _opposite(F.col("last")).alias("first"), _opposite(F.col("first")).alias("last"))
-
-
 def inserted(graph: CornerGraph, queries: DataFrame) -> DataFrame:
     """Edges of the starts and targets of queries (qid, sx, sy, tx, ty): from start -2 qid - 1, into target -2 qid - 2, and between them."""
-    def hops(x: str, y: str) -> DataFrame:
-        ends = queries.select("qid", F.col(x).alias("x"), F.col(y).alias("y"))
-        return _as_edges_of(corner_hops(graph.table, graph.reach, ends.select("x", "y").distinct()).join(ends, ["x", "y"]), graph.width)
-
-    starts = hops("sx", "sy").select((-2 * F.col("qid") - 1).alias("src"), "dst", "wt", "first", "last")
-    targets = _turned(hops("tx", "ty").select((-2 * F.col("qid") - 2).alias("src"), "dst", "wt", "first", "last"))
-    at = [(geo.cell_id(F.col(f"{c}x"), F.col(f"{c}y"), graph.width), sign) for c, sign in (("s", 1), ("t", 2))]
-    corners = graph.edges.select(F.col("src").alias("node")).distinct()
-    same = [queries.select("qid", cell.alias("node")).join(corners, "node").select("node", (-2 * F.col("qid") - k).alias("end")) for cell, k in at]
+    start, target = (-2 * F.col("qid") - 1), (-2 * F.col("qid") - 2)
+    ends = lambda a, b: queries.select("qid", F.col(a).alias("x"), F.col(b).alias("y"))
+    out = corner_hops(graph.table, ends("sx", "sy").select("x", "y").distinct()).join(ends("sx", "sy"), ["x", "y"])
+    starts = out.select(start.alias("src"), geo.cell_id(F.col("x2"), F.col("y2"), graph.width).alias("dst"), "wt", "first", "last")
+    goals = ends("tx", "ty").withColumnsRenamed({"x": "x2", "y": "y2"})
+    into = target_hops(graph.table, ends("tx", "ty").select("x", "y").distinct()).join(goals, ["x2", "y2"])
+    targets = into.select(geo.cell_id(F.col("x"), F.col("y"), graph.width).alias("src"), target.alias("dst"), "wt", "first", "last")
+    at = [(geo.cell_id(F.col(f"{c}x"), F.col(f"{c}y"), graph.width), end) for c, end in (("s", start), ("t", target))]
+    corners = graph.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    same = [queries.select("qid", cell.alias("node")).join(corners, "node").select("node", end.alias("end")) for cell, end in at]
     none = [F.lit(None).cast("string").alias(c) for c in ("first", "last")]
     zero = F.lit(0).cast("bigint").alias("wt")
     on_corner = same[0].select(F.col("end").alias("src"), F.col("node").alias("dst"), zero, *none).unionByName(same[1].select(F.col("node").alias("src"), F.col("end").alias("dst"), zero, *none))
     return starts.unionByName(targets).unionByName(on_corner).unionByName(_direct(graph, queries))
 
 
-def _as_edges_of(hops: DataFrame, width: int) -> DataFrame:
-    return hops.select("qid", geo.cell_id(F.col("x2"), F.col("y2"), width).alias("dst"), "wt", "first", "last")
-
-
 def _direct(graph: CornerGraph, queries: DataFrame) -> DataFrame:
-    """start to target, where a diagonal and then a straight walk meets it before any stop."""
+    """start to target, where a diagonal and then a straight walk meets it before any corner, or at one."""
     dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
     k, rest = F.least(F.abs(dx), F.abs(dy)), F.greatest(F.abs(dx), F.abs(dy)) - F.least(F.abs(dx), F.abs(dy))
     ns, ew = F.when(dy < 0, "N").when(dy > 0, "S").otherwise(""), F.when(dx < 0, "W").when(dx > 0, "E").otherwise("")
-    wide = queries.select("qid", F.col("sx").alias("x"), F.col("sy").alias("y"), k.alias("k"), rest.alias("rest"), F.concat(ns, ew).alias("diag"), F.when(F.abs(dx) > F.abs(dy), ew).otherwise(ns).alias("line"), F.signum(dx).cast("bigint").alias("ix"), F.signum(dy).cast("bigint").alias("iy"))
-    known = wide.join(graph.reach.select("x", "y", F.col("dir").alias("diag"), "reach"), ["x", "y", "diag"], "left").where("k = 0 or reach >= k")
-    level = known.select("qid", "k", "rest", "diag", "line", (F.col("x") + F.col("ix") * F.col("k")).alias("x"), (F.col("y") + F.col("iy") * F.col("k")).alias("y"))
-    straight = graph.table.select("x", "y", F.col("dir").alias("line"), "steps")
-    free = graph.reach.select("x", "y").distinct()
-    met = level.join(free, ["x", "y"], "left_semi").join(straight, ["x", "y", "line"], "left").where("rest = 0 or steps >= rest")
+    wide = queries.select("qid", F.col("sx").alias("x"), F.col("sy").alias("y"), k.alias("k"), rest.alias("rest"), F.concat(ns, ew).alias("diag"), F.when(F.abs(dx) > F.abs(dy), ew).otherwise(ns).alias("line"))
+    named = lambda c, n: graph.table.select("x", "y", F.col("dir").alias(c), F.col("steps").alias(n))
+    known = wide.join(named("diag", "n1"), ["x", "y", "diag"], "left").where("k = 0 or n1 >= k")
+    level = known.select("qid", "k", "rest", "diag", "line", (F.col("x") + _moved("x", F.col("diag"), F.col("k"))).alias("x"), (F.col("y") + _moved("y", F.col("diag"), F.col("k"))).alias("y"))
+    free = graph.table.select("x", "y").distinct()
+    met = level.join(free, ["x", "y"], "left_semi").join(named("line", "n2"), ["x", "y", "line"], "left").where("rest = 0 or n2 >= rest")
     wt = F.col("k") * geo.SCALED_DIAGONAL + F.col("rest") * geo.SCALE
     name = lambda c: F.when(c != "", c)
     first = name(F.when(F.col("k") > 0, F.col("diag")).otherwise(F.col("line")))
@@ -333,9 +366,12 @@ def pruned_corner_costs(graph: CornerGraph, cells: DataFrame, queries: DataFrame
 def corner_hierarchy_costs(graph: CornerGraph, queries: DataFrame, forward: bool = False) -> DataFrame:
     """The same over a contraction hierarchy of the corner graph; inserted ends rank below all corners."""
     plain = cut(collapse(graph.edges))
-    ranks = hierarchy.independent_ranks(plain)
-    built = cut(hierarchy.contract(plain, ranks))
-    extra = collapse(inserted(graph, queries)).select("src", "dst", "wt", F.lit(None).cast("bigint").alias("via"))
+    built, ranks = hierarchy.lazy_contract(plain)
+    built = cut(built)
+    extra = cut(collapse(inserted(graph, queries)).select("src", "dst", "wt", F.lit(None).cast("bigint").alias("via")))
+    # Corners that no other corner is joined to.
+    alone = extra.select(F.explode(F.array("src", "dst")).alias("node")).where("node >= 0").distinct().join(ranks, "node", "left_anti").select("node", F.lit(0).alias("rank"))
+    ranks = ranks.unionByName(alone)
     ends = _ends(queries)
     low = ends.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(-1).alias("rank")), F.struct(F.col("target").alias("node"), F.lit(-2).alias("rank")))).alias("r")).select("r.*")
     run = hierarchy.forward_costs if forward else hierarchy.query_costs

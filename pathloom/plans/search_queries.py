@@ -272,9 +272,11 @@ v AS (SELECT q.* FROM q WHERE {"EXISTS (SELECT 1 FROM pm WHERE pm.x = sx AND pm.
 nd AS (SELECT row_number() OVER (ORDER BY x, y) AS id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pm WHERE bit_count(CAST(mask AS BIGINT)) = 3
 UNION ALL SELECT -2 * qid - 1, sx + {shift}, sy + {shift} FROM v UNION ALL SELECT -2 * qid - 2, tx + {shift}, ty + {shift} FROM v),
 pr AS (SELECT a.id AS src, b.id AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nd a JOIN nd b ON a.id <> b.id AND (a.id > 0 OR a.id % 2 <> 0) AND (b.id > 0 OR b.id % 2 = 0) AND (a.id > 0 OR b.id > 0 OR a.id - 1 = b.id)),
-bad AS (SELECT DISTINCT src, dst FROM pr JOIN blk ON least(ax, bx) < cx + 1 AND greatest(ax, bx) > cx AND least(ay, by_) < cy + 1 AND greatest(ay, by_) > cy
-AND least((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy - ay) - (by_ - ay) * (cx + 1 - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx + 1 - ax)) < 0
-AND greatest((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy - ay) - (by_ - ay) * (cx + 1 - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx - ax), (bx - ax) * (cy + 1 - ay) - (by_ - ay) * (cx + 1 - ax)) > 0
+pf AS (SELECT j AS cy, i AS x, count(blk.cx) AS n FROM w, h, range(0, w.w + 1) r(i), range(0, h.h) s(j) LEFT JOIN blk ON blk.cy = j AND blk.cx < i GROUP BY 1, 2),
+rw AS (SELECT src, dst, ax, ay, bx, by_, unnest(range(CAST(floor(least(ay, by_)) AS BIGINT), greatest(CAST(ceil(greatest(ay, by_)) AS BIGINT), CAST(floor(least(ay, by_)) AS BIGINT) + CASE WHEN ay = by_ AND ay <> floor(ay) THEN 1 ELSE 0 END))) AS cy FROM pr),
+xr AS (SELECT src, dst, cy, CASE WHEN ay = by_ THEN ax ELSE ax + (greatest(cy, least(ay, by_)) - ay) * (bx - ax) / (by_ - ay) END AS x1, CASE WHEN ay = by_ THEN bx ELSE ax + (least(cy + 1, greatest(ay, by_)) - ay) * (bx - ax) / (by_ - ay) END AS x2 FROM rw),
+lh AS (SELECT src, dst, cy, CAST(floor(round(least(x1, x2), 9)) AS BIGINT) AS lo, CAST(ceil(round(greatest(x1, x2), 9)) AS BIGINT) AS hi FROM xr),
+bad AS (SELECT DISTINCT src, dst FROM lh JOIN pf a ON a.cy = lh.cy AND a.x = lo JOIN pf b ON b.cy = lh.cy AND b.x = hi WHERE lo < hi AND b.n > a.n
 UNION SELECT src, dst FROM pr JOIN pm ON mask IN (6, 9) AND (bx - ax) * (pm.y - ay) = (by_ - ay) * (pm.x - ax) AND pm.x BETWEEN least(ax, bx) AND greatest(ax, bx) AND pm.y BETWEEN least(ay, by_) AND greatest(ay, by_)
 AND NOT (pm.x = ax AND pm.y = ay) AND NOT (pm.x = bx AND pm.y = by_)
 UNION SELECT src, dst FROM pr JOIN fl ON ay = by_ AND fl.y = ay AND fl.x >= least(ax, bx) AND fl.x + 1 <= greatest(ax, bx)

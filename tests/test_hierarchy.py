@@ -53,6 +53,9 @@ def test_lazy_contraction_unpacking_and_upward_trees(spark, road):
         queries = spark.createDataFrame([(a * 14 + b, a, b) for a in range(0, 14, 3) for b in range(14)], "qid bigint, source bigint, target bigint")
         got = {(r["source"], r["target"]): r["cost"] for r in hierarchy.query_costs(built, ranks, queries, stall=True).collect()}
         assert got == {(a, b): dijkstra(road, a).get(b) for a in range(0, 14, 3) for b in range(14)}
+    order = hierarchy.independent_ranks(edges)
+    got = {(r["source"], r["target"]): r["cost"] for r in hierarchy.query_costs(hierarchy.contract(edges, order), order, queries).collect()}
+    assert got == {(a, b): dijkstra(road, a).get(b) for a in range(0, 14, 3) for b in range(14)}
     tree = hierarchy.upward_tree(built, ranks, spark.createDataFrame([(2,)], "source bigint")).collect()
     assert all(r["g"] >= dijkstra(road, 2)[r["node"]] for r in tree) and {r["node"] for r in tree} >= {2}
 
