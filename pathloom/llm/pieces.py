@@ -353,29 +353,35 @@ def _numbers(streams: list[bytes]) -> np.ndarray:
     return out
 
 
-def _by_frequency(numbers: list[np.ndarray], count: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(old number of every new one, the numbers renamed): frequent ones first, after 0, which stays."""
-    flat = np.concatenate(numbers)
-    order = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=count)[1:], kind="stable")))
+def _by_frequency(texts: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(old number of every new one, new number of every old one): frequent ones first, after 0, which stays."""
+    seen = np.zeros(count, dtype=np.int64)
+    for i in range(0, len(texts), 500):
+        seen += np.bincount(np.concatenate(texts[i : i + 500]), minlength=count)
+    order = np.concatenate(([0], 1 + np.argsort(-seen[1:], kind="stable")))
     rank = np.empty(count, dtype=np.uint32)
     rank[order] = np.arange(count)
-    ends = np.cumsum([len(x) for x in numbers])
-    return order, np.split(rank[flat], ends[:-1])
+    return order, rank
 
 
-def _chunk_bytes(keys: list[int | None], numbers: list[np.ndarray], sums: list[int]) -> bytes:
+def _chunk_bytes(keys: list[int | None], texts: list[np.ndarray], rank: np.ndarray, sums: list[int]) -> bytes:
+    """A chunk's file from its texts as unit numbers; ``texts`` is emptied on the way."""
     import zstandard
 
     table = pa.table({
-        "doc_id": pa.array(keys, pa.int64()), "n": pa.array([len(x) for x in numbers], pa.int64()), "crc": pa.array(sums, pa.int64()),
+        "doc_id": pa.array(keys, pa.int64()), "n": pa.array([len(x) for x in texts], pa.int64()), "crc": pa.array(sums, pa.int64()),
     })
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, table.schema) as out:
         out.write_table(table)
-    head = sink.getvalue().to_pybytes()
-    codec = zstandard.ZstdCompressor(level=3)
-    streams = _streams(np.concatenate(numbers)) if numbers else [b""] * 5
-    parts = [head, *(codec.compress(x) for x in streams)]
+    codecs = [zstandard.ZstdCompressor(level=3).compressobj() for _ in range(5)]
+    done: list[list[bytes]] = [[] for _ in codecs]
+    texts.reverse()
+    while texts:
+        some = np.concatenate([texts.pop() for _ in range(min(500, len(texts)))])
+        for held, codec, stream in zip(done, codecs, _streams(rank[some]), strict=True):
+            held.append(codec.compress(stream))
+    parts = [sink.getvalue().to_pybytes(), *(b"".join([*held, codec.flush()]) for held, codec in zip(done, codecs, strict=True))]
     return b"".join(len(x).to_bytes(8, "little") for x in parts) + b"".join(parts)
 
 
@@ -388,7 +394,7 @@ def _read_chunk(path: str) -> tuple[pa.Table, np.ndarray]:
     ends = np.cumsum([48] + [int.from_bytes(raw[i : i + 8], "little") for i in range(0, 48, 8)]).tolist()
     head, *streams = (raw[i:j] for i, j in zip(ends, ends[1:]))
     table = pa.ipc.open_file(pa.BufferReader(head)).read_all()
-    return table, _numbers([zstandard.ZstdDecompressor().decompress(x) for x in streams])
+    return table, _numbers([zstandard.ZstdDecompressor().decompressobj().decompress(x) for x in streams])
 
 
 def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> DataFrame:
@@ -399,12 +405,15 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
         cutter, size = Cutter(vocabulary.value), 0
 
         def close() -> pa.RecordBatch:
+            """Write what is held; the words that were met are dropped before."""
+            nonlocal cutter
             chunk = uuid.uuid4().int >> 65
             units = list(cutter.number)
-            order, renamed = _by_frequency(held[1], len(units))
-            write_bytes(f"{folder}/{chunk}", iter([_chunk_bytes(held[0], renamed, held[2])]))
+            cutter = Cutter(vocabulary.value)
+            order, rank = _by_frequency(held[1], len(units))
+            write_bytes(f"{folder}/{chunk}", iter([_chunk_bytes(held[0], held[1], rank, held[2])]))
             units = [units[i] for i in order.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array(units)], names=["chunk", "number", "unit"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(units), chunk)), pa.array(np.arange(len(units), dtype=np.int32)), pa.array(units)], names=["chunk", "number", "unit"])
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -417,7 +426,7 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
                 if size and size + taken > settings.chunk_chars:
                     yield close()
                     held = ([], [], [])
-                    cutter, size = Cutter(vocabulary.value), 0
+                    size = 0
                 some = texts[first:last]
                 held[0].extend(keys[first:last])
                 held[1].extend(cutter.cut(some))
@@ -431,8 +440,8 @@ def cut_texts(docs: DataFrame, vocabulary, folder: str, settings: Settings) -> D
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "chunk long, number int, unit string")
 
 
-def _ids_of_texts(numbers: np.ndarray, ends: np.ndarray, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
-    """Ids of texts whose unit numbers end at ``ends``.
+def _ids_of_texts(numbers: np.ndarray, ends: np.ndarray, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their bounds) of texts whose unit numbers end at ``ends``.
 
     Zeros are spaces that no word follows at once.  A run of them, with the
     space of the word after it where that begins with one, is one run of spaces.
@@ -460,7 +469,7 @@ def _ids_of_texts(numbers: np.ndarray, ends: np.ndarray, flat: np.ndarray, start
         flat = np.concatenate([flat, *runs])
     ids = flat[_ranges(begin, length)]
     at = np.concatenate(([0], np.cumsum(length)))
-    return [ids[i:j] for i, j in zip(at[begins].tolist(), at[ends].tolist(), strict=True)]
+    return ids, at[np.concatenate(([0], ends))]
 
 
 def decode_ids(ids: np.ndarray, text_of_id: list[bytes]) -> bytes:
@@ -506,18 +515,19 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
         flat, start, lengths = _unpacked(table["head"].to_numpy(), table["more"], voc)
         docs_, numbers = _read_chunk(f"{folder}/{table['chunk'][0].as_py()}")
         ends = np.cumsum(docs_["n"].to_numpy())
-        out, first = [], 0
-        while first < len(ends):  # texts of a million units, or one longer text, at once
+        keys, sums = docs_["doc_id"].combine_chunks(), docs_["crc"].to_pylist()
+        batches, first = [], 0
+        while first < len(ends):  # texts of so many units, or one longer text, at once
             from_ = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, from_ + (1 << 20), "right")))
-            out += _ids_of_texts(numbers[from_ : ends[last - 1]], ends[first:last] - from_, flat, start, lengths, voc)
+            last = max(first + 1, int(np.searchsorted(ends, from_ + (1 << 18), "right")))
+            ids, at = _ids_of_texts(numbers[from_ : ends[last - 1]], ends[first:last] - from_, flat, start, lengths, voc)
+            good = [zlib.crc32(decode_ids(ids[i:j], voc.text_of_id)) == crc for i, j, crc in zip(at[:-1].tolist(), at[1:].tolist(), sums[first:last], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            batches.append(pa.RecordBatch.from_arrays([keys.slice(first, last - first), lists, pa.array(good, pa.bool_())], names=["doc_id", "ids", "round_trip"]))
             first = last
-        good = [zlib.crc32(decode_ids(got, voc.text_of_id)) == crc for got, crc in zip(out, docs_["crc"].to_pylist(), strict=True)]
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))), pa.int32())
-        values = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
         del flat, numbers, table
         kernel.give_back()
-        return pa.table({"doc_id": docs_["doc_id"], "ids": pa.ListArray.from_arrays(offsets, values), "round_trip": pa.array(good, pa.bool_())})
+        return pa.Table.from_batches(batches)
 
     return met.groupBy("chunk").applyInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
 
