@@ -57,7 +57,7 @@ class Settings:
     bits: int = 22
     most_bits: int = 26
     id_bits: int = 22
-    slot: int = 1000
+    slot: int = 128
     task_rows: int = 1_000_000
 
 

@@ -529,7 +529,9 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
         kernel.give_back()
         return pa.Table.from_batches(batches)
 
-    return met.groupBy("chunk").applyInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
+    # About one chunk for a task, however many there are.
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.where("number = 0").count())
+    return met.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def _unpacked(head: np.ndarray, more: pa.ChunkedArray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
