@@ -6,9 +6,12 @@
 4. secret_scans: every secret in the texts that remain is replaced by a mark.
 5. sentencepiece: the texts become token ids.
 
-All stages but the last return the columns of ``documents``.  Rows with a null
-doc_id pass all stages; a null text is rejected by the first.  SQL cannot
-express the decontamination, the trained models or the tokenizer, so there is
+All stages but the last return the columns of their input, whatever those are
+called.  Rows that share a doc_id are one document to the second stage and stay
+or go together; a row with a null doc_id cannot stand for a class, and passes
+it; to the other stages every row is judged by its text.  A null text is
+rejected by the first stage, and empty to the others.  Texts are judged whole,
+and an empty table gives an empty result.  SQL cannot express the decontamination, the trained models or the tokenizer, so there is
 no oracle; the tests hold each stage against a brute-force version.
 """
 
