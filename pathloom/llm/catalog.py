@@ -16,6 +16,7 @@ MODULES = {
     "op8_token_files": "tokenfiles",
     "op9_license_scan": "licenses",
     "op10_sentencepiece": "pieces",
+    "op11_collocations": "collocations",
     "op12_periodic_runs": "runs",
 }
 
