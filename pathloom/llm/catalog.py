@@ -18,6 +18,7 @@ MODULES = {
     "op10_sentencepiece": "pieces",
     "op11_collocations": "collocations",
     "op12_periodic_runs": "runs",
+    "op13_chat_formatting": "chat",
 }
 
 
