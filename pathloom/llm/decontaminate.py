@@ -5,14 +5,24 @@ so a window still hits when an ignored word was replaced.  Hashes of test
 windows are looked up for every window of every document; around a hit the
 document and the test item are laid over each other at the same offset.  A hit
 is kept if the best stretch with matches and substitutions has enough matching
-words, or if a fixed share of all the item's words match.  Items of few windows
-have short seeds besides, of which at least one is whole wherever that share is.
+words, or if a fixed share of all the item's words match.
+
+Some seed is whole wherever that share is, however the changed words lie: four
+words in a row stand in any text with fewer changed words than a quarter, or one
+change between two and two (``short_masks``, items below ``short`` words); of any
+seven words in a row two or more are changed only where more than a quarter of
+all is (``long_masks``, items from there on).
+
+Hits of a text and an item are kept by their offset: each is laid over once,
+whatever the number of seeds in common, and all offsets of a pair are compared
+in blocks of a fixed number of words.
 
 Test items of up to ``block_words`` words in all go to executors, and rows are
 judged in one narrow stage.  Beyond that, seeds of items and of texts are two
-tables joined by equality, and their candidates meet the texts by a digest; of
-the items nothing but a bitmap of a fixed number of bits is sent around.  Both
-ways give the same result.
+tables joined by equality, which gives pairs of text and item; every text meets
+its items once, and the same kernel judges them.  Of the items nothing but a
+bitmap of a fixed number of bits is sent around.  Words are told apart by 64-bit
+hashes.
 
 Edge cases: null and empty texts, and items without words, match nothing; an
 item shorter than a window must occur whole; rows with equal ids are judged one
@@ -43,14 +53,15 @@ _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128
 
 @dataclass(frozen=True)
 class Settings:
-    """masks: 1 takes a word, 0 ignores it; equal lengths. short_masks: for items of a window to ``short`` - 1 words.
-    min_words: matching words needed in a stretch. share: of the item's words needed otherwise, all below a window.
+    """masks: 1 takes a word, 0 ignores it; equal lengths. short_masks: for items of a window to ``short`` - 1 words
+    besides; long_masks: for longer ones. min_words: matching words needed in a stretch. share: of the item's words needed otherwise, all below a window.
     penalty: of a substitution against a match. block_words: words of test items broadcast at most.
     seed_bits: log2 of the bits that tell which seeds of texts are worth joining, with more items than that."""
 
     masks: tuple[str, ...] = ("110110101", "101101101", "111010011")
     short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
-    short: int = 24
+    long_masks: tuple[str, ...] = ("111111", "1011111", "1101111", "1110111", "1111011", "1111101")
+    short: int = 49
     min_words: int = 13
     share: float = 0.75
     penalty: float = 2.0
@@ -79,18 +90,36 @@ def masks_of(n: int, settings: Settings) -> list[str]:
     """Masks laid over an item of n words; one shorter than a window has a mask of its own length."""
     if n < len(settings.masks[0]):
         return ["1" * n] if n else []
-    return [*settings.masks, *(settings.short_masks if n < settings.short else ())]
+    return [*settings.masks, *(settings.short_masks if n < settings.short else settings.long_masks)]
+
+
+#: A seed that one item holds so often is not paired place by place.
+OFTEN = 16
+#: Pairs of places, and compared words, held at once.
+PAIRS, CELLS = 2_000_000, 1_000_000
+
+
+@dataclass
+class Seeds:
+    """Windows of all items under one mask: sorted hashes with item and place; which top bits occur; hash -> (item,
+    places) of windows that an item holds often."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    table: np.ndarray
+    often: dict[int, list[tuple[int, np.ndarray]]]
 
 
 @dataclass
 class Block:
-    """Test items: their words, and the sorted hashes of their windows."""
+    """Test items: their words, and the hashes of their windows."""
 
     ids: list[int | None]
     words: list[np.ndarray]
-    masks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    masks: dict[str, Seeds] = field(default_factory=dict)
 
-    def index(self, settings: Settings) -> Block:
+    def index(self, settings: Settings, table_bits: int = 20) -> Block:
         used = [masks_of(len(w), settings) for w in self.words]
         for mask in sorted({m for some in used for m in some}):
             h, item, at = [], [], []
@@ -101,44 +130,103 @@ class Block:
                     item.append(np.full(len(got), i))
                     at.append(np.arange(len(got)))
             h, item, at = map(np.concatenate, (h, item, at))
-            order = np.argsort(h, kind="stable")
-            table = np.zeros(1 << 20, dtype=bool)
-            table[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.masks[mask] = (h[order], item[order], at[order], table)
+            order = np.lexsort((at, item, h))
+            h, item, at = h[order], item[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (item[1:] != item[:-1]))))
+            count = np.diff(np.append(first, len(h)))
+            often: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for i, n in zip(first[count >= OFTEN].tolist(), count[count >= OFTEN].tolist(), strict=True):
+                often.setdefault(int(h[i]), []).append((int(item[i]), at[i : i + n]))
+            few = np.repeat(count < OFTEN, count)
+            table = np.zeros(1 << table_bits, dtype=bool)
+            table[(h >> np.uint64(64 - table_bits)).astype(np.int64)] = True
+            self.masks[mask] = Seeds(h[few], item[few], at[few], table, often)
         return self
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, settings: Settings) -> tuple[int, int, int] | None:
-    """(matching words, first, end) when the item starts at word ``shift`` of the document: of the best stretch,
-    else from the first to the last matching word of the whole item; None if too few words match in both."""
-    first, end = max(0, shift), min(len(doc), shift + len(item))
-    same = doc[first:end] == item[first - shift : end - shift]
-    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -settings.penalty))))
-    low = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: stop + 1] == low[stop])[0])
-    if (n := int(same[start:stop].sum())) >= settings.min_words:
-        return n, first + start, first + stop
-    where = np.flatnonzero(same)
-    needed = len(item) if len(item) < len(settings.masks[0]) else math.ceil(settings.share * len(item))
-    return (len(where), first + int(where[0]), first + int(where[-1]) + 1) if len(where) >= needed else None
-
-
-def hits(words: np.ndarray, at: np.ndarray, block: Block) -> np.ndarray:
-    """Distinct (text, item, shift) with a seed in common; ``at`` bounds the texts' words."""
-    found = []
-    for mask, (known, item, pos, table) in block.masks.items():
+def overlaps(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, settings: Settings) -> tuple[int, int, int] | None:
+    """(matching words, first, end) of the best stretch over all offsets at which the item may start in the document:
+    of words with matches and substitutions, else from the first to the last matching word of the whole item; None if
+    too few words match in both.  The smallest offset counts among equals."""
+    n, best = len(item), None
+    needed = n if n < len(settings.masks[0]) else math.ceil(settings.share * n)
+    place = np.arange(n)
+    rows = max(1, CELLS // n)
+    for block in range(0, len(shifts), rows):
+        shift = shifts[block : block + rows]
+        at = shift[:, None] + place
+        same = (at >= 0) & (at < len(doc))
+        same &= doc[np.clip(at, 0, len(doc) - 1)] == item
+        matches = same.sum(axis=1)
+        some = np.flatnonzero(matches >= min(needed, settings.min_words))
+        if not len(some):
+            continue
+        same, matches, shift = same[some], matches[some], shift[some]
+        line = np.arange(len(some))
+        total = np.zeros((len(some), n + 1))
+        np.cumsum(np.where(same, 1.0, -settings.penalty), axis=1, out=total[:, 1:])
+        low = np.minimum.accumulate(total, axis=1)
+        stop = np.argmax(total - low, axis=1)
+        start = np.argmax(total == low[line, stop][:, None], axis=1)
+        held = np.concatenate((np.zeros((len(some), 1), np.int64), np.cumsum(same, axis=1)), axis=1)
+        inside = held[line, stop] - held[line, start]
+        long_ = inside >= settings.min_words
+        count = np.where(long_, inside, np.where(matches >= needed, matches, 0))
+        first = np.where(long_, start, np.argmax(same, axis=1))
+        end = np.where(long_, stop, n - np.argmax(same[:, ::-1], axis=1))
+        top = int(np.argmax(count))
+        if count[top] > (best[0] if best else 0):
+            best = (int(count[top]), int(shift[top] + first[top]), int(shift[top] + end[top]))
+    return best
+
+
+def offsets(words: np.ndarray, at: np.ndarray, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, offsets) with a seed in common, by text and item; ``at`` bounds the texts' words."""
+    found: list[np.ndarray] = []
+    marked: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def keep(rows: list[np.ndarray]) -> None:
+        found.append(np.unique(np.stack(rows, axis=1), axis=0))
+        if sum(map(len, found)) > 2 * PAIRS:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+    for mask, seeds in block.masks.items():
         h = seed_hashes(words, mask, len(mask))
-        p = np.flatnonzero(table[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(known, h[p], "left"), np.searchsorted(known, h[p], "right")
-        p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        p = np.flatnonzero(seeds.table[(h >> np.uint64(64 - (len(seeds.table).bit_length() - 1))).astype(np.int64)])
         text = np.searchsorted(at, p, "right") - 1
         inside = p + len(mask) <= at[text + 1]
-        p, lo, n, text = p[inside], lo[inside], n[inside], text[inside]
-        each = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, dtype=np.int64)
-        p, text = np.repeat(p, n), np.repeat(text, n)
-        found.append(np.stack([text, item[each], p - at[text] - pos[each]], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), dtype=np.int64)
+        p, text = p[inside], text[inside]
+        here = h[p]
+        lo, hi = np.searchsorted(seeds.hashes, here, "left"), np.searchsorted(seeds.hashes, here, "right")
+        met = np.flatnonzero(hi > lo)
+        ends = np.cumsum(hi[met] - lo[met])
+        cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) if len(ends) else []
+        for rows in np.split(met, cuts):
+            n = hi[rows] - lo[rows]
+            if n.sum():
+                each = np.repeat(lo[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                keep([np.repeat(text[rows], n), seeds.item[each], np.repeat(p[rows] - at[text[rows]], n) - seeds.at[each]])
+        if seeds.often:
+            rows = np.flatnonzero(np.isin(here, np.fromiter(seeds.often, np.uint64, len(seeds.often))))
+            rows = rows[np.lexsort((rows, here[rows], text[rows]))]
+            new = np.flatnonzero(np.concatenate(([True], (here[rows][1:] != here[rows][:-1]) | (text[rows][1:] != text[rows][:-1])))) if len(rows) else []
+            for some in np.split(rows, new[1:]) if len(rows) else []:
+                for item, places in seeds.often[int(here[some[0]])]:
+                    marked.setdefault((int(text[some[0]]), item), []).append((p[some] - at[text[some[0]]], places))
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), dtype=np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))) if len(rows) else np.empty(0, dtype=np.int64)
+    few = {(int(some[0, 0]), int(some[0, 1])): some[:, 2] for some in np.split(rows, new[1:])} if len(rows) else {}
+    for text, item in sorted(few.keys() | marked.keys()):
+        shifts = few.get((text, item), np.empty(0, dtype=np.int64))
+        if (text, item) in marked:
+            size = len(block.words[item])
+            seen = np.zeros(size + at[text + 1] - at[text], dtype=bool)
+            seen[shifts + size] = True
+            for of_text, of_item in marked[text, item]:
+                for place in of_item.tolist():
+                    seen[of_text + (size - place)] = True
+            shifts = np.flatnonzero(seen) - size
+        yield text, item, shifts
 
 
 def leaks(texts: list[bytes], block: Block, settings: Settings) -> list[list[tuple[int | None, int, int, int]]]:
@@ -146,17 +234,15 @@ def leaks(texts: list[bytes], block: Block, settings: Settings) -> list[list[tup
     out: list[list] = [[] for _ in texts]
     for first, some in kernel.chunks(texts):
         words, at = kernel.word_hashes(some)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, shift in hits(words, at, block).tolist():
-            doc = words[at[text] : at[text + 1]]
-            got = overlap(doc, block.words[item], shift, settings)
-            if got and got[0] > best.get((text, item), (0,))[0]:
-                best[text, item] = got
-        for (text, item), got in sorted(best.items()):
-            out[first + text].append((block.ids[item], *got))
+        for text, item, shifts in offsets(words, at, block):
+            got = overlaps(words[at[text] : at[text + 1]], block.words[item], shifts, settings)
+            if got:
+                out[first + text].append((block.ids[item], *got))
     return out
 
 
+#: Test items that meet a text at once, beyond ``block_words``.
+ITEMS = 1000
 _NAMES = ("item_id", "n_words", "first_word", "end_word")
 _FOUND = f"array<struct<{','.join(f'{c}:bigint' for c in _NAMES)}>>"
 _FOUND_TYPE = pa.list_(pa.struct([(c, pa.int64()) for c in _NAMES]))
@@ -191,18 +277,17 @@ def joined_leaks(docs: DataFrame, items: DataFrame, settings: Settings, text: st
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, item, at, length = [np.empty(0, np.int64)], [], [], []
+            h, item, used = [np.empty(0, np.int64)], [], []
             for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = np.array(words, dtype=np.int64).view(np.uint64)
                 for mask in masks_of(len(w), settings):
-                    got = seed_hashes(w, mask, len(mask)).view(np.int64)
+                    got = np.unique(seed_hashes(w, mask, len(mask))).view(np.int64)
                     h.append(got)
                     item += [number] * len(got)
-                    at += range(len(got))
-                    length += [mask] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(item, pa.int64()), pa.array(at, pa.int64()), pa.array(length, pa.string())], names=["h", "item", "at", "mask"])
+                    used += [mask] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(item, pa.int64()), pa.array(used, pa.string())], names=["h", "item", "mask"])
 
-    known = saved(items.select("item", "words").mapInArrow(seeds, "h long, item long, at long, mask string"), "decontaminate-seeds")
+    known = saved(items.select("item", "words").mapInArrow(seeds, "h long, item long, mask string"), "decontaminate-seeds")
     masks = [r["mask"] for r in known.select("mask").distinct().collect()]  # those of the settings and one for each length below a window
     counts = hash_counts(known.select("h"), lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), settings.seed_bits)
     bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(counts > 0).tobytes())
@@ -218,37 +303,31 @@ def joined_leaks(docs: DataFrame, items: DataFrame, settings: Settings, text: st
                     p = np.flatnonzero(table[(h >> np.uint64(64 - settings.seed_bits)).astype(np.int64)])
                     text_at = np.searchsorted(at, p, "right") - 1
                     inside = p + len(mask) <= at[text_at + 1]
-                    p, text_at = p[inside], text_at[inside]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([keys[first + i] for i in text_at.tolist()]), pa.array(h[p].view(np.int64)), pa.array(p - at[text_at])], names=["text_key", "h", "pos"]
-                        )
+                    rows = np.unique(np.stack([text_at[inside].astype(np.uint64), h[p[inside]]], axis=1), axis=0)
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array([keys[first + i] for i in rows[:, 0].tolist()]), pa.array(rows[:, 1].copy().view(np.int64))], names=["text_key", "h"])
 
     texts = docs.where(docs[text].isNotNull()).select(text_key(docs[text]).alias("text_key"), docs[text].alias("text"))
-    met = texts.mapInArrow(windows, "text_key string, h long, pos long").distinct().join(known, "h")
-    candidates = saved(met.select("text_key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "decontaminate-candidates")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] | None = None
-        for batch in batches:
-            keys, texts_, items_, ids, words, shifts = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for key, t, item, item_id, w, shift in zip(keys, texts_, items_, ids, words, shifts, strict=True):
-                if last is None or last[0] != key:
-                    last = (key, kernel.word_hashes([words_bytes(t)])[0])
-                got = overlap(last[1], np.array(w, dtype=np.int64).view(np.uint64), shift, settings)
-                if got:
-                    out.append((key, item, shift, item_id, *got))
-            kinds = [pa.string(), *[pa.int64()] * 6]
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "item", "shift", *_NAMES])
-
-    whole = texts.join(candidates.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    pairs = whole.join(candidates, "text_key").join(items, "item").select("text_key", "text", "item", "item_id", "words", "shift")
-    found = pairs.mapInArrow(verify, "text_key string, item long, shift long, " + ", ".join(f"{c} long" for c in _NAMES))
-    # Of each item its best stretch, at the least shift among equals.
-    best = found.groupBy("text_key", "item").agg(F.max(F.struct("n_words", (-F.col("shift")).alias("back"), *(c for c in _NAMES if c != "n_words"))).alias("b"))
-    return best.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("item", "b"))), lambda x: F.struct(*(x["b"][c].alias(c) for c in _NAMES))).alias("leaks"))
+    met = texts.mapInArrow(windows, "text_key string, h long").distinct().join(known.select("h", "item").distinct(), "h")
+    pairs = saved(met.select("text_key", "item").distinct(), "decontaminate-candidates")
+    # A text with very many items meets them in parts.
+    parts = pairs.groupBy("text_key").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("parts"))
+    whole = texts.join(parts, "text_key").dropDuplicates(["text_key"]).select("text_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "text")
+    some = pairs.join(parts, "text_key").join(items, "item").select("text_key", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part"), "item", "item_id", "words")
+
+    def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("item").to_numpy())
+        own, out = right.take(order), []
+        if left.num_rows and own.num_rows:
+            item, words = own.column("item").to_pylist(), [np.array(w, dtype=np.int64).view(np.uint64) for w in own.column("words").to_pylist()]
+            block = Block(list(range(len(item))), words).index(settings, 12)
+            ids = own.column("item_id").to_pylist()
+            out = [(key[0].as_py(), item[i], ids[i], *got) for i, *got in leaks([words_bytes(left.column("text")[0].as_py())], block, settings)[0]]
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["text_key", "item", *_NAMES])
+
+    found = whole.groupBy("text_key", "part").cogroup(some.groupBy("text_key", "part")).applyInArrow(verify, "text_key string, item long, " + ", ".join(f"{c} long" for c in _NAMES))
+    return found.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("item", *_NAMES))), lambda x: F.struct(*(x[c].alias(c) for c in _NAMES))).alias("leaks"))
 
 
 def find_leaks(docs: DataFrame, tests: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", test_key: str = "item_id", test_text: str = "text") -> DataFrame:
