@@ -2,23 +2,32 @@
 
 1. ``parsed`` splits host and path.  2. ``RULES`` decide urls that they fit.
 3. The tree decides the rest.  Path segments become tokens (numbers, hex and
-mixed ids are generalised at once).  From the root of each host down, a branch
-has its share of bad labels smoothed towards the share of the template above it,
-that of a host towards the share of all labels.  Branches under one template
-whose smoothed shares lie in one band are alike and are merged into a wildcard;
-in the band of the template itself are all that have too few labels to differ,
-so variable segments need no list of their own.  A template is rejected when its
-smoothed share is at least ``reject``.
+mixed ids are generalised at once).  Every host has a tree, and its share of bad
+labels counts, smoothed towards that of all labels, only where a two-sample test
+tells the host from all others.
+
+A node's branches are merged by the same test.  A branch that does not differ
+from its siblings taken together joins the wildcard ``*``, as do all that have no
+labels.  Those that differ are put in order of their shares; neighbours that do
+not differ from each other, and lie on one side of ``reject``, are one class.  The
+test asks for more the more branches a node has, so that among any number of
+branches without a difference one is seldom found.  A class has its share
+smoothed towards the node's; where no branch differs, the node's share stays.  A
+template is rejected when its share is at least ``reject``.
+
+What labelled paths of a node have in common is passed in one step, so a round
+of jobs is one branching of labelled paths, whatever their length.  Paths leave
+the table where they end, where they part from all labelled ones, and where a
+class has labels of one kind or too few: their template goes on as ``**``.
 
 Labels are (page_id, bad); the query takes ``labels`` by equal id, the only
 labelled table there is, with toxic or low-quality rows as bad.  Those labels
-are of documents and tell nothing about urls (in the test tables the share of
-bad ones is the same, within noise, for every host and path), so on those the
-tree rejects nothing; tests have labels that follow the templates.
+are of documents and tell nothing about urls; tests have labels that follow the
+templates.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and
 is judged by the template of the empty path; paths count with all their
-segments, one level each; repeated rows are judged one by one and keep their
+segments; without labels nothing is rejected; repeated rows are judged one by one and keep their
 number; null ids never match a label; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -26,8 +35,9 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.exprs import ascii_lower, let
@@ -45,11 +55,12 @@ RULES = (
 
 @dataclass(frozen=True)
 class Settings:
-    """prior: pseudo-labels at the share of the template above. bands: of smoothed shares; branches in one are alike.
-    reject: least smoothed bad share of a rejected template."""
+    """prior: pseudo-labels at the share of the template above. alpha: chance that a node without differences shows one.
+    least: labels of a class that is split further. reject: least smoothed bad share of a rejected template."""
 
     prior: float = 10.0
-    bands: int = 5
+    alpha: float = 0.01
+    least: int = 10
     reject: float = 0.5
 
 
@@ -106,36 +117,86 @@ def leaves(pages: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _differs(bad: Column, labelled: Column, bad2: Column, labelled2: Column, tests: Column, alpha: float) -> Column:
+    """Whether two shares differ, tested with their common variance; the bound grows with the number of tests."""
+    share = F.try_divide(bad + bad2, labelled + labelled2)
+    spread = share * (1 - share) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), labelled2))
+    z = F.try_divide(F.abs(F.try_divide(bad, labelled) - F.try_divide(bad2, labelled2)), F.sqrt(spread))
+    return F.coalesce((spread > 0) & (z >= F.sqrt(2 * F.log(2 * F.greatest(tests, F.lit(1)) / alpha))), F.lit(False))
+
+
+def _smooth(bad: Column, labelled: Column, above: Column, settings: Settings) -> Column:
+    return (bad + settings.prior * above) / (labelled + settings.prior)
+
+
+def _in_common(a: Column, b: Column) -> Column:
+    """How many tokens two paths share from their start on."""
+    return let(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("bigint")).cast("int"))
+
+
+def _hosts(tree: DataFrame, settings: Settings) -> DataFrame:
+    """(host, share): towards that of all labels, or equal to it where the host does not differ from all others."""
+    hosts = tree.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    whole = hosts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count(F.when(F.col("labelled") > 0, 1)).alias("k")).first()
+    n, b = F.lit(whole["n"]), F.lit(whole["b"])
+    p_all = F.lit(whole["b"] / max(whole["n"], 1))
+    apart = _differs(F.col("bad"), F.col("labelled"), b - F.col("bad"), n - F.col("labelled"), F.lit(whole["k"]), settings.alpha)
+    return hosts.select("host", F.when(apart, _smooth(F.col("bad"), F.col("labelled"), p_all, settings)).otherwise(p_all).alias("share"))
+
+
+def _classes(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(host, template, branch, name, share, labelled, bad): the class of every branch and the sums of the class."""
+    node = ["host", "template"]
+    branches = rows.groupBy(*node, "share", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    nodes = branches.groupBy(*node).agg(F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"), F.count(F.when(F.col("labelled") > 0, 1)).alias("k"))
+    own = branches.join(nodes, node)
+    own = own.withColumn("apart", _differs(F.col("bad"), F.col("labelled"), F.col("all_bad") - F.col("bad"), F.col("all") - F.col("labelled"), F.col("k"), settings.alpha))
+    raw = F.try_divide("bad", "labelled")
+    line = Window.partitionBy(*node).orderBy("raw", "branch")  # of branches that differ
+    before = lambda c: F.lag(c).over(line)
+    new = before("raw").isNull() | _differs(F.col("bad"), F.col("labelled"), before("bad"), before("labelled"), F.col("k"), settings.alpha) | ((F.col("raw") >= settings.reject) != (before("raw") >= settings.reject))
+    apart = own.where("apart").withColumn("raw", raw).withColumn("new", new.cast("int")).withColumn("class", F.sum("new").over(line)).drop("raw", "new")
+    both = saved(apart.unionByName(own.where("not apart").withColumn("class", F.lit(0).cast("bigint"))), "urls-branches")
+    whole = both.groupBy(*node, "class").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"), F.count(F.lit(1)).alias("n"), F.min("share").alias("above"), F.min("all").alias("all"))
+    quiet = (F.col("class") == 0) & (F.col("c_labelled") == F.col("all"))  # no branch differs
+    share = F.when(quiet, F.col("above")).otherwise(_smooth(F.col("c_bad"), F.col("c_labelled"), F.col("above"), settings))
+    whole = whole.select(*node, "class", "n", share.alias("below"), "c_labelled", "c_bad")
+    name = F.when(F.col("n") == 1, F.substring("branch", 2, 1 << 30)).when(F.col("class") == 0, "*").otherwise(F.concat(F.lit("*"), F.col("class").cast("string")))
+    return both.select(*node, "branch", "class").join(whole, [*node, "class"]).select(*node, "branch", name.alias("name"), "below", "c_labelled", "c_bad")
+
+
 def generalised(tree: DataFrame, settings: Settings) -> DataFrame:
-    """(host, tokens, template, share): each level of each host in turn, from the root.
+    """(host, tokens, template, share) of every host and token path, from the root of each host down.
 
-    The table has one row per host and token path, not per page.  A level's
-    figures are sums over the leaves below, joined back on their key.
+    The table has one row per host and token path, not per page, and holds only
+    paths whose class is still split.
     """
-    sums = [F.sum(c).alias(f"b_{c}") for c in ("labelled", "bad")]
-    smooth = lambda bad, labelled, above: (bad + settings.prior * above) / (labelled + settings.prior)
-    whole = tree.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.max(F.size("tokens")).alias("levels")).first()
-    p_all = F.lit(((whole["bad"] or 0) + 1) / ((whole["labelled"] or 0) + 2))
-    hosts = tree.groupBy("host").agg(*sums).select("host", smooth(F.col("b_bad"), F.col("b_labelled"), p_all).alias("share"))
-    out = tree.join(hosts, "host").select("host", "tokens", "labelled", "bad", F.expr("cast(array() as array<string>)").alias("template"), "share")
-    band = lambda share: F.least(F.floor(share * settings.bands), F.lit(settings.bands - 1))
-    for level in range(whole["levels"] or 0):  # of the longest path
-        here = out.withColumn("branch", F.get("tokens", F.lit(level)))
-        branches = here.where("branch is not null").groupBy("host", "template", "share", "branch").agg(*sums)
-        branches = branches.withColumn("band", band(smooth(F.col("b_bad"), F.col("b_labelled"), F.col("share"))))
-        merged = branches.groupBy("host", "template", "share", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("b_labelled").alias("t_labelled"), F.sum("b_bad").alias("t_bad"))
-        merged = merged.select("host", "template", "band", "n", band(F.col("share")).alias("own"), smooth(F.col("t_bad"), F.col("t_labelled"), F.col("share")).alias("below"))
-        name = F.when(F.col("n") == 1, F.col("branch")).when(F.col("band") == F.col("own"), "*").otherwise(F.concat(F.lit("*"), F.col("band").cast("string")))
-        step = branches.drop("share", "b_labelled", "b_bad").join(merged, ["host", "template", "band"]).select("host", "template", "branch", name.alias("to"), "below")
-        ended = F.col("branch").isNull()
-        out = saved(
-            here.join(step, ["host", "template", "branch"], "left").select(
-                "host", "tokens", "labelled", "bad",
-                F.when(ended, F.col("template")).otherwise(F.concat("template", F.array("to"))).alias("template"), F.when(ended, F.col("share")).otherwise(F.col("below")).alias("share"),
-            ),
-            f"urls-level{level}",
-        )
-    return out.select("host", "tokens", "template", "share")
+    node, empty = ["host", "template"], F.expr("cast(array() as array<string>)")
+    more = lambda rest: F.when(F.size(rest) > 0, F.array(F.lit("**"))).otherwise(empty)
+    open_ = saved(tree.join(_hosts(tree, settings), "host").select("host", "tokens", "labelled", "bad", empty.alias("template"), F.col("tokens").alias("rest"), "share"), "urls-open")
+    done: list[DataFrame] = []
+    while True:
+        # What the labelled paths of a node have in common.
+        heads = open_.where("labelled > 0").groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
+        heads = heads.where((F.col("all") >= settings.least) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all"))).select(*node, F.slice("lo", F.lit(1), _in_common(F.col("lo"), F.col("hi"))).alias("path"))
+        met = open_.join(heads.withColumn("split", F.lit(True)), node, "left").withColumn("path", F.coalesce("path", empty)).withColumn("along", _in_common(F.col("rest"), F.col("path")))
+        after = lambda n: F.slice("rest", n + 1, F.size("rest"))
+        met = saved(met.select(
+            "host", "tokens", "labelled", "bad", "share", F.concat("template", F.slice("path", F.lit(1), F.col("along"))).alias("template"), after(F.col("along")).alias("rest"),
+            (F.coalesce("split", F.lit(False)) & (F.col("along") == F.size("path"))).alias("split"),
+        ), "urls-steps")
+        done.append(met.where("not split").select("host", "tokens", F.concat("template", more(F.col("rest"))).alias("template"), "share"))
+        here = met.where("split").withColumn("branch", F.when(F.size("rest") > 0, F.concat(F.lit("/"), F.get("rest", F.lit(0)))).otherwise(""))
+        if here.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        step = here.join(_classes(here, settings), [*node, "branch"])
+        ended = F.size("rest") == 0
+        open_ = saved(step.select(
+            "host", "tokens", "labelled", "bad", F.when(ended, F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template"), F.when(ended, F.col("rest")).otherwise(F.slice("rest", F.lit(2), F.size("rest"))).alias("rest"),
+            F.col("below").alias("share"), (~ended & (F.col("c_labelled") >= settings.least) & (F.col("c_bad") > 0) & (F.col("c_bad") < F.col("c_labelled"))).alias("split"),
+        ), "urls-open")
+        done.append(open_.where("not split").select("host", "tokens", F.concat("template", more(F.col("rest"))).alias("template"), "share"))
+        open_ = open_.where("split").drop("split")
 
 
 def judge(pages: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "page_id", url: str = "url") -> DataFrame:

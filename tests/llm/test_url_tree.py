@@ -1,5 +1,7 @@
 """op5: the template tree against one built in plain Python, and labels that follow templates."""
 
+import math
+import os
 import re
 from collections import defaultdict
 
@@ -45,31 +47,68 @@ def brute(pages, labels, s=urls.Settings()):
         if page_id in bad_of:
             leaf[0] += 1
             leaf[1] += bad_of[page_id]
-    p_all = (sum(b for _, b in leaves.values()) + 1) / (sum(n for n, _ in leaves.values()) + 2)
-    smooth = lambda n, b, above: (b + s.prior * above) / (n + s.prior)
-    band = lambda x: min(int(x * s.bands), s.bands - 1)
     total = lambda some: (sum(leaves[k][0] for k in some), sum(leaves[k][1] for k in some))
+    n_all, b_all = total(leaves)
+    p_all = b_all / max(n_all, 1)
+    smooth = lambda n, b, above: (b + s.prior * above) / (n + s.prior)
+
+    def differs(n, b, n2, b2, tests):
+        if not n or not n2:
+            return False
+        p = (b + b2) / (n + n2)
+        spread = p * (1 - p) * (1 / n + 1 / n2)
+        return spread > 0 and abs(b / n - b2 / n2) / math.sqrt(spread) >= math.sqrt(2 * math.log(2 * tests / s.alpha))
+
+    mixed = lambda n, b: n >= s.least and 0 < b < n
     out = {}
 
-    def walk(some, level, template, share):
-        ended = [k for k in some if len(k[1]) == level]
-        for k in ended:
-            out[k] = ("/" + "/".join(template), round(share, 6))
-        branches = defaultdict(list)
-        for k in some:
-            if len(k[1]) > level:
-                branches[k[1][level]].append(k)
-        groups = defaultdict(list)
-        for b, keys in branches.items():
-            groups[band(smooth(*total(keys), share))].append(b)
-        for g, names in groups.items():
-            keys = [k for b in names for k in branches[b]]
-            name = names[0] if len(names) == 1 else "*" if g == band(share) else f"*{g}"
-            walk(keys, level + 1, [*template, name], smooth(*total(keys), share))
-
-    for host in {h for h, _ in leaves}:
-        some = [k for k in leaves if k[0] == host]
-        walk(some, 0, [], smooth(*total(some), p_all))
+    def walk(rest, template, share):
+        """rest: what is left of the path of every key."""
+        n, b = total(rest)
+        known = [r for k, r in rest.items() if leaves[k][0]]
+        if not mixed(n, b):
+            for k, r in rest.items():
+                out[k] = ("/" + "/".join([*template, *(["**"] if r else [])]), round(share, 6))
+            return
+        common = os.path.commonprefix(known)
+        branches = defaultdict(dict)
+        for k, r in rest.items():
+            along = len(os.path.commonprefix([r, common]))
+            if along < len(common):
+                out[k] = ("/" + "/".join([*template, *common[:along], *(["**"] if r[along:] else [])]), round(share, 6))
+            else:
+                branches["/" + r[along] if len(r) > along else ""][k] = r[along + 1 :]
+        template = [*template, *common]
+        sums = {name: total(keys) for name, keys in branches.items()}
+        n, b = sum(x for x, _ in sums.values()), sum(x for _, x in sums.values())
+        k = sum(x > 0 for x, _ in sums.values())
+        apart = sorted((name for name, (x, y) in sums.items() if differs(x, y, n - x, b - y, k)), key=lambda name: (sums[name][1] / sums[name][0], name))
+        groups = [[name for name in sums if name not in apart]]
+        for name in apart:
+            last = groups[-1][-1] if len(groups) > 1 else None
+            side = lambda m: sums[m][1] / sums[m][0] >= s.reject
+            if last is None or differs(*sums[name], *sums[last], k) or side(name) != side(last):
+                groups.append([])
+            groups[-1].append(name)
+        for i, names in enumerate(groups):
+            x, y = sum(sums[m][0] for m in names), sum(sums[m][1] for m in names)
+            below = share if i == 0 and x == n else smooth(x, y, share)
+            name = names[0][1:] if len(names) == 1 else f"*{i or ''}"
+            for key in branches[""] if "" in names else ():
+                out[key] = ("/" + "/".join(template), round(below, 6))
+            inner = {key: r for m in names if m for key, r in branches[m].items()}
+            if mixed(x, y):
+                walk(inner, [*template, name], below)
+            else:
+                for key, r in inner.items():
+                    out[key] = ("/" + "/".join([*template, name, *(["**"] if r else [])]), round(below, 6))
+
+    hosts = {h for h, _ in leaves}
+    n_hosts = sum(total([k for k in leaves if k[0] == h])[0] > 0 for h in hosts)
+    for host in hosts:
+        some = {k: k[1] for k in leaves if k[0] == host}
+        n, b = total(some)
+        walk(some, [], smooth(n, b, p_all) if differs(n, b, n_all - n, b_all - b, n_hosts) else p_all)
     rows = []
     for page_id, url in pages:
         host, path = parts(url)
@@ -106,4 +145,61 @@ def test_templates_that_labels_follow(spark):
     by = {r[0]: r for r in got}
     assert {by[i][4] for i in range(600) if i % 5 < 2} == {"block"} and {by[i][4] for i in range(600) if i % 5 >= 2} == {"allow"}
     assert {by[1000 + i][4] for i in range(20)} == {"allow"} and by[None][4] == "block"
-    assert any(t.startswith("/*") for t in {r[5] for r in got})
+    assert any("*" in t for t in {r[5] for r in got})
+
+
+def test_branches_around_the_threshold(spark):
+    """Shares a little to both sides of ``reject`` are alike when counts are small, and apart when they are large; never in one class."""
+    for scale in (1, 40):
+        pages, labels = [], []
+        for name, bad in (("low", 9), ("under", 9), ("over", 11), ("high", 12), ("clean", 0)):
+            for i in range(20 * scale):
+                pages.append((len(pages), f"http://h.org/{name}/{i}"))
+                labels.append((len(labels), int(i < bad * scale)))
+        table = spark.createDataFrame(pages, "page_id bigint, url string")
+        got = rows_of(urls.judge(table, spark.createDataFrame(labels, "id bigint, bad int")))
+        assert got == brute(pages, labels)
+        shares = {}
+        for r in got:
+            shares.setdefault(r[5], set()).add(r[2].split("/")[1])
+        if scale == 40:
+            assert not any({"low", "under"} & names and {"over", "high"} & names for names in shares.values())
+            assert {r[4] for r in got if "/over/" in r[2] or "/high/" in r[2]} == {"block"} and {r[4] for r in got if "/low/" in r[2] or "/clean/" in r[2]} == {"allow"}
+
+
+def test_noise_is_not_blocked(spark):
+    """Labels that do not depend on urls leave all templates together, but in one table of some dozens."""
+    import random
+
+    blocked = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        pages = [(i, f"http://h{i % 7}.org/{rng.choice('abcdefgh')}/{rng.choice('uvwxyz')}/{i}") for i in range(1500)]
+        labels = [(i, int(rng.random() < 0.4)) for i in range(1000)]
+        want = brute(pages, labels)
+        blocked += any(r[4] == "block" for r in want)
+        if not seed:
+            assert rows_of(urls.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "id bigint, bad int"))) == want
+    assert blocked <= 2
+
+
+def test_without_labels_nothing_is_blocked(spark):
+    pages = [(i, f"http://h.org/a/{i}") for i in range(5)]
+    got = rows_of(urls.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([], "id bigint, bad int")))
+    assert got == brute(pages, []) and {(r[4], r[5]) for r in got} == {("allow", "/**")}
+
+
+def test_paths_of_thousands_of_segments(spark):
+    """Rounds follow branchings of labelled paths, not segments."""
+    import time
+
+    deep = "/".join(f"s{i}" for i in range(5000))
+    pages = [(i, f"http://h.org/{'spam' if i % 2 else 'news'}/{deep}/{'x' if i % 4 < 2 else 'y'}/{i}") for i in range(60)]
+    pages += [(100 + i, f"http://h.org/spam/{'/'.join('s' + str(j) for j in range(i * 50))}") for i in range(60)] + [(900, f"http://trap.org/{deep}")]
+    labels = [(i, i % 2) for i in range(50)]
+    table, known = spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "id bigint, bad int")
+    urls.judge(table.limit(1), known).collect()
+    began = time.time()
+    got = rows_of(urls.judge(table, known))
+    assert time.time() - began < 60 and got == brute(pages, labels)
+    assert {r[4] for r in got if r[0] < 60 and r[0] % 2} == {"block"} and {r[4] for r in got if r[0] < 60 and r[0] % 2 == 0} == {"allow"}
