@@ -181,8 +181,8 @@ def query_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, stal
     up, down = layouts(hierarchy, ranks)
     own = context is not None
     name = (lambda c: F.col("qid")) if own else F.col
-    fwd = relax(up, queries.select(name("source").alias("qid"), F.col("source").alias("node")), on_expand=stalled(_turned(down)) if stall else None, context=context, keep=keep)
-    bwd = relax(down, queries.select(name("target").alias("qid"), F.col("target").alias("node")), on_expand=stalled(_turned(up)) if stall else None, context=context, keep=keep)
+    fwd = relax(up, queries.select(name("source").alias("qid"), F.col("source").alias("node")), on_expand=stalled(_turned(down)) if stall else None, context=context, keep=keep, preds=False)
+    bwd = relax(down, queries.select(name("target").alias("qid"), F.col("target").alias("node")), on_expand=stalled(_turned(up)) if stall else None, context=context, keep=keep, preds=False)
     fwd = fwd.select(F.col("qid").alias("qid" if own else "source"), "node", F.col("g").alias("gf"))
     bwd = bwd.select(F.col("qid").alias("qid" if own else "target"), "node", F.col("g").alias("gb"))
     met = fwd.join(bwd, ["qid", "node"]) if own else queries.join(fwd, "source").join(bwd, ["target", "node"])
@@ -197,7 +197,7 @@ def _turned(edges: DataFrame) -> DataFrame:
 def upward_tree(hierarchy: DataFrame, ranks: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, g) of the search that only climbs, from each source (column source)."""
     up, _ = layouts(hierarchy, ranks)
-    return relax(up, sources.select(F.col("source").alias("qid"), F.col("source").alias("node"))).select(F.col("qid").alias("source"), "node", "g")
+    return relax(up, sources.select(F.col("source").alias("qid"), F.col("source").alias("node")), preds=False).select(F.col("qid").alias("source"), "node", "g")
 
 
 def _state(node: Column, climbing: Column) -> Column:
@@ -226,7 +226,7 @@ def forward_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, co
     """
     edges = two_phase_edges(hierarchy, ranks)
     key = "source" if context is None else "qid"
-    trees = relax(edges, queries.select(F.col(key).alias("qid"), _state(F.col("source"), F.lit(True)).alias("node")), context=context, keep=None if keep is None else ~F.col("fall") | keep)
+    trees = relax(edges, queries.select(F.col(key).alias("qid"), _state(F.col("source"), F.lit(True)).alias("node")), context=context, keep=None if keep is None else ~F.col("fall") | keep, preds=False)
     return queries.join(_per_target(trees, key), [key, "target"], "left").select("qid", "source", "target", "cost")
 
 
@@ -246,7 +246,7 @@ def apex_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, tops:
     edges = two_phase_edges(hierarchy, ranks)
     climbing = F.col("src") % 2 == 1
     keep = F.when(F.col("fall"), ~climbing | (F.floor(F.col("src") / 2) == F.col("apex"))).otherwise(F.col("dst_rank") <= F.col("apex_rank"))
-    trees = relax(edges, queries.select("qid", _state(F.col("source"), F.lit(True)).alias("node")), context=tops.select("qid", "apex", "apex_rank"), keep=keep)
+    trees = relax(edges, queries.select("qid", _state(F.col("source"), F.lit(True)).alias("node")), context=tops.select("qid", "apex", "apex_rank"), keep=keep, preds=False)
     return queries.join(_per_target(trees, "qid"), ["qid", "target"], "left").select("qid", "source", "target", "cost")
 
 

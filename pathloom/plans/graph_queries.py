@@ -13,6 +13,9 @@ from pathloom.plans.shapes import NATIONS, ROAD, TRADE, rounds
 #: Relaxation rounds that the oracles unroll; more than the test graphs need.
 K = 12
 
+#: Cost between the cheapest open row and the dearest that is expanded with it, on the road graph.
+DELTA = 2
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,44 +42,81 @@ def _nation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.table(spark, sf_dir, "nation").select(n.alias("qid"), n.alias("source"), (F.lit(shapes.SUPPLIERS) + (n * 7) % 10).alias("target"))
 
 
+def _least_node(edges: search.Network) -> DataFrame:
+    return edges.edges.agg(F.min("src").alias("node")).select(F.lit(0).cast("bigint").alias("qid"), "node")
+
+
 _SOURCES = "SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey AS BIGINT) AS node, CAST(0 AS BIGINT) AS g FROM nation"
 
 
 @query(f"WITH {ROAD}, {rounds('e', 'SELECT CAST(0 AS BIGINT) AS qid, min(src) AS node, CAST(0 AS BIGINT) AS g FROM e', K)} SELECT node, g FROM r{K}")
 def sssp_road(spark, sf_dir):
     """Single-source shortest paths from the smallest node."""
-    edges = cut(shapes.road(spark, sf_dir))
-    first = edges.agg(F.min("src").alias("node"))
-    return search.relax(edges, first.select(F.lit(0).cast("bigint").alias("qid"), "node")).select("node", "g")
+    edges = search.Network.of(shapes.road(spark, sf_dir))
+    return search.relax(edges, _least_node(edges), preds=False).select("node", "g")
 
 
 @query(f"WITH {ROAD}, {rounds('e', 'SELECT CAST(0 AS BIGINT) AS qid, min(src) AS node, CAST(0 AS BIGINT) AS g FROM e', 2)} SELECT node, g FROM r2")
 def sssp_road_two_edges(spark, sf_dir):
-    edges = cut(shapes.road(spark, sf_dir))
-    first = edges.agg(F.min("src").alias("node"))
-    return search.relax(edges, first.select(F.lit(0).cast("bigint").alias("qid"), "node"), max_rounds=2).select("node", "g")
+    edges = search.Network.of(shapes.road(spark, sf_dir))
+    return search.relax(edges, _least_node(edges), max_rounds=2, preds=False).select("node", "g")
 
 
 @query(f"WITH {ROAD}, {rounds('e', 'SELECT CAST(0 AS BIGINT) AS qid, min(src) AS node, CAST(0 AS BIGINT) AS g FROM e', K)} SELECT node, g FROM r{K} WHERE g <= 6")
 def sssp_road_cutoff(spark, sf_dir):
     """Search bounded by cost."""
-    edges = cut(shapes.road(spark, sf_dir))
-    first = edges.agg(F.min("src").alias("node"))
-    return search.relax(edges, first.select(F.lit(0).cast("bigint").alias("qid"), "node"), cutoff=6).select("node", "g")
+    edges = search.Network.of(shapes.road(spark, sf_dir))
+    return search.relax(edges, _least_node(edges), cutoff=6, preds=False).select("node", "g")
 
 
 @query(f"""WITH {ROAD}, {rounds('e', _SOURCES, K)}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey AS BIGINT) AS source, {shapes.SUPPLIERS} + CAST(n_nationkey AS BIGINT) * 7 % 10 AS target FROM nation)
 SELECT q.qid, source, target, g AS cost FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target""")
 def p2p_road(spark, sf_dir):
     """Point-to-point costs of a query table; equal sources share a tree."""
-    return search.point_to_point(cut(shapes.road(spark, sf_dir)), _nation_queries(spark, sf_dir))
+    return search.point_to_point(search.Network.of(shapes.road(spark, sf_dir)), _nation_queries(spark, sf_dir), delta=DELTA)
 
 
 @query(ORACLES["p2p_road"])
 def p2p_road_bidirectional(spark, sf_dir):
     """Two trees joined where they meet, grown until no cheaper path is left."""
-    edges = cut(shapes.road(spark, sf_dir))
-    return search.meet_in_middle(edges, graph.reverse(edges), _nation_queries(spark, sf_dir))
+    edges = search.Network.of(shapes.road(spark, sf_dir))
+    return search.meet_in_middle(edges, graph.reverse(edges.edges), _nation_queries(spark, sf_dir))
+
+
+_SETTLED = 200
+_BOUNDED = f"""WITH {ROAD}, {rounds('e', _SOURCES, K)},
+f AS (SELECT qid, node, g FROM r{K} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY g, node) <= {_SETTLED})
+SELECT qid, node, min(g) AS g, bool_or(x) AS expanded FROM (SELECT qid, node, g, true AS x FROM f UNION ALL SELECT f.qid, e.dst, f.g + e.wt, false FROM f JOIN e ON e.src = f.node) GROUP BY qid, node"""
+
+
+@query(_BOUNDED)
+def bounded_search(spark, sf_dir):
+    """Searches of all nations that end after a number of expansions, in steps of one cost range each."""
+    return search.bounded(search.Network.of(shapes.road(spark, sf_dir)), _nation_sources(spark, sf_dir), _SETTLED, delta=DELTA)
+
+
+_WORK = ", ".join(f"w{i} AS (SELECT b.qid, b.node, b.g, a.g IS NULL AS fresh FROM r{i} b LEFT JOIN r{i - 1} a USING (qid, node) WHERE a.g IS NULL OR b.g < a.g)" for i in range(1, K + 1))
+_COUNTED = f"""WITH {TRADE}, {rounds('t', _SOURCES, K)}, w0 AS (SELECT qid, node, g, true AS fresh FROM r0), {_WORK}, d AS (SELECT src AS node, count(*) AS degree FROM t GROUP BY 1),
+x AS ({" UNION ALL ".join(f"SELECT {i} AS round, qid, node, g, fresh FROM w{i}" for i in range(K + 1))})"""
+
+
+def _trade_trace(spark: SparkSession, sf_dir: str) -> tuple[search.Network, list]:
+    net, trace = search.Network.of(shapes.trade(spark, sf_dir)), []
+    search.relax(net, _nation_sources(spark, sf_dir), trace=trace, preds=False)
+    return net, trace
+
+
+@query(f"""{_COUNTED} SELECT qid, count(*) AS expanded, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS generated,
+count(*) FILTER (fresh AND round > 0) AS inserted, count(*) FILTER (NOT fresh) AS updated FROM x LEFT JOIN d USING (node) GROUP BY qid""")
+def search_counters(spark, sf_dir):
+    """What a search from every nation expands, generates, inserts and updates."""
+    return search.counters(*_trade_trace(spark, sf_dir))
+
+
+@query(f"""{_COUNTED} SELECT qid, round, 'expanding' AS kind, node, g FROM x UNION ALL SELECT qid, round - 1, CASE WHEN fresh THEN 'inserting' ELSE 'updating' END, node, g FROM x WHERE round > 0""")
+def search_trace(spark, sf_dir):
+    """The same searches as a table of events."""
+    return search.events(_trade_trace(spark, sf_dir)[1]).select("qid", "round", "kind", "node", "g")
 
 
 _TREE = f"""{TRADE}, {rounds('t', _SOURCES, K)},
