@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pathloom.operators.graph import collapse
@@ -34,14 +34,25 @@ def _through(left: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def _contracted(left: DataFrame, now: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
-    """(edges of the nodes ``now``, the graph left without them, shortcuts included)."""
+    """(edges of the nodes ``now``, the graph left without them, shortcuts included); both tables must be written ones."""
     ends = [now.withColumnRenamed("node", c) for c in ("src", "dst")]
     done = left.join(ends[0], "src", "left_semi").unionByName(left.join(ends[1], "dst", "left_semi")).select(*_EDGE)
     rest = left.join(ends[0], "src", "left_anti").join(ends[1], "dst", "left_anti").select(*_EDGE)
     candidates = cut(_through(left, now))
     needed = candidates.join(_witnessed(candidates.drop("via"), rest, hops).select("src", "dst"), ["src", "dst"], "left_semi").select(*_EDGE)
     both = rest.unionByName(needed).groupBy("src", "dst").agg(F.min(F.struct("wt", "via")).alias("s"))
-    return cut(done), cut(both.select("src", "dst", "s.wt", "s.via"))
+    return done, cut(both.select("src", "dst", "s.wt", "s.via"))
+
+
+def _scored(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, p): the shortcuts that a node's contraction needs, as far as single edges tell, less the edges it removes; hashes break ties."""
+    into = left.join(nodes.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("a"), F.col("dst").alias("node"), F.col("wt").alias("w1"))
+    outof = left.join(nodes.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("node"), F.col("dst").alias("b"), F.col("wt").alias("w2"))
+    direct = left.select(F.col("src").alias("a"), F.col("dst").alias("b"), "wt")
+    needed = into.join(outof, "node").where("a <> b").join(direct, ["a", "b"], "left").where("wt is null or wt >= w1 + w2").groupBy("node").agg(F.count(F.lit(1)).alias("needed"))
+    edges = into.select("node").unionByName(outof.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
+    p = F.struct((F.coalesce("needed", F.lit(0)) - F.coalesce("edges", F.lit(0))).alias("d"), F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    return nodes.join(needed, "node", "left").join(edges, "node", "left").select("node", p.alias("p"))
 
 
 def _started(edges: DataFrame) -> DataFrame:
@@ -66,7 +77,7 @@ def contract(edges: DataFrame, ranks: DataFrame, hops: int = 2) -> DataFrame:
     left, parts = cut(_started(edges)), []
     for level in levels:
         done, left = _contracted(left, ranks.where(F.col("rank") == level).select("node"), hops)
-        parts.append(done)
+        parts.append(cut(done))
     return _finished([*parts, left])
 
 
@@ -74,37 +85,31 @@ def lazy_contract(edges: DataFrame, hops: int = 2, percent: float = 100.0) -> tu
     """(edges and shortcuts, ranks (node, rank)) when the cheapest nodes go first.
 
     A node's priority is the number of shortcuts that its contraction needs
-    less the edges it removes.  Each round contracts the nodes with the least
-    (priority, hash) among their neighbours: no two of them are neighbours.
-    ``percent`` of the nodes are contracted at least; the others are the core, on one rank at the top.
+    less the edges it removes.  Priorities are kept in a table: each round
+    contracts the nodes with the least (priority, hash) among their neighbours,
+    of which no two are neighbours, and scores only the neighbours of those that
+    went.  ``percent`` of the nodes are contracted at least; the others are the
+    core, on one rank at the top, so that their edges count as climbing and as falling.
     """
     left = cut(_started(edges))
-    nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     wanted = nodes.count() * percent / 100
-    parts, ranks, rank, gone = [], [], 0, 0
-    while gone < wanted and not left.isEmpty():
-        here = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        pairs = cut(left.select("src", F.col("dst").alias("v"), F.col("wt").alias("w1")).join(left.select(F.col("src").alias("v"), "dst", F.col("wt").alias("w2")), "v").where("src <> dst").select("v", "src", "dst", (F.col("w1") + F.col("w2")).alias("wt")))
-        least = pairs.groupBy("src", "dst").agg(F.min("wt").alias("wt"))
-        direct = least.join(left.select("src", "dst", F.col("wt").alias("g")), ["src", "dst"], "left").where("g is null or g >= wt").select("src", "dst", "wt")
-        needed = pairs.join(direct, ["src", "dst", "wt"], "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("needed"))
-        degree = left.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("edges"))
-        own = degree.join(needed, "v", "left").select("v", F.struct((F.coalesce("needed", F.lit(0)) - F.col("edges")).alias("d"), F.xxhash64("v").alias("h"), F.col("v").alias("n")).alias("p"))
-        beside = left.select("src", "dst").unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        met = beside.join(own.withColumnRenamed("v", "src"), "src").join(own.select(F.col("v").alias("dst"), F.col("p").alias("q")), "dst")
-        batch = cut(met.groupBy("src").agg(F.first("p").alias("p"), F.min("q").alias("q")).where("p < q").select(F.col("src").alias("node")))
-        done, left = _contracted(left, batch, hops)
+    score, parts, order, rank, gone = cut(_scored(left, nodes)), [], None, 0, 0
+    while gone < wanted:
+        a, b = score.select(F.col("node").alias("src"), "p"), score.select(F.col("node").alias("dst"), F.col("p").alias("q"))
+        met = left.select("src", "dst").join(a, "src").join(b, "dst").select(F.when(F.col("p") < F.col("q"), F.col("dst")).otherwise(F.col("src")).alias("node"))
+        told = Observation()
+        batch = cut(score.join(met.distinct(), "node", "left_anti").select("node", F.lit(rank).alias("rank")).observe(told, F.count(F.lit(1)).alias("n")))
+        now = batch.select("node")
+        done, left = _contracted(left, now, hops)
         parts.append(done)
-        ranks.append(batch.select("node", F.lit(rank).alias("rank")))
-        gone, rank = gone + batch.count(), rank + 1
-        alone = cut(here.join(batch, "node", "left_anti").join(left.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti"))
-        ranks.append(alone.withColumn("rank", F.lit(rank)))
-        rank += 1
-    order = ranks[0] if ranks else nodes.limit(0).withColumn("rank", F.lit(0))
-    for part in ranks[1:]:
-        order = order.unionByName(part)
-    order = cut(order)
-    # The core has one rank, so that its edges count as climbing and as falling.
+        order = batch if order is None else order.unionByName(batch)
+        gone, rank = gone + told.get["n"], rank + 1
+        touched = done.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(now, "node", "left_anti")
+        still = score.join(now, "node", "left_anti").join(touched, "node", "left_anti")
+        score = cut(still.unionByName(_scored(left, cut(touched))))
+    if order is None:
+        return _finished([left]), nodes.withColumn("rank", F.lit(0))
     core = nodes.join(order, "node", "left_anti").select("node", F.lit(rank).alias("rank"))
     return _finished([*parts, left]), cut(order.unionByName(core))
 
@@ -269,6 +274,16 @@ def unpack(hierarchy: DataFrame, paths: DataFrame) -> DataFrame:
             return done
 
 
+def paths(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, pos, src, dst): the original edges of a shortest path of each query, ``pos`` in their order; none where there is no path."""
+    trees = cut(relax(two_phase_edges(hierarchy, ranks), queries.select("qid", _state(F.col("source"), F.lit(True)).alias("node"))))
+    ends = trees.join(queries.select("qid", "target"), "qid").where(F.floor(F.col("node") / 2) == F.col("target"))
+    ends = ends.groupBy("qid").agg(F.min(F.struct("g", "node")).alias("s")).select("qid", F.col("s.node").alias("target"))
+    found = extract_paths(trees, ends).select("qid", F.transform("path", lambda n: F.floor(n / 2).cast("bigint")).alias("path"))
+    steps = found.select("qid", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("pos", "src"), "path").select("qid", "pos", "src", F.expr("path[pos + 1]").alias("dst"))
+    return unpack(hierarchy, steps)
+
+
 def end_directions(hierarchy: DataFrame, directions: DataFrame) -> DataFrame:
     """(src, dst, first, last): directions of the first and last original edge of every edge; ``directions`` has src, dst, dir."""
     numbered = hierarchy.select(F.struct("src", "dst").alias("qid"), F.lit(0).alias("pos"), "src", "dst")

@@ -363,16 +363,20 @@ def pruned_corner_costs(graph: CornerGraph, cells: DataFrame, queries: DataFrame
     return search.point_to_point(cut(collapse(moves.unionByName(outset))), ends).select("qid", "cost")
 
 
-def corner_hierarchy_costs(graph: CornerGraph, queries: DataFrame, forward: bool = False) -> DataFrame:
-    """The same over a contraction hierarchy of the corner graph; inserted ends rank below all corners."""
-    plain = cut(collapse(graph.edges))
-    built, ranks = hierarchy.lazy_contract(plain)
-    built = cut(built)
+def corner_hierarchy(graph: CornerGraph, percent: float = 80.0) -> tuple[DataFrame, DataFrame]:
+    """(edges and shortcuts, ranks) of the corner graph; the corners that would go last are a core."""
+    built, ranks = hierarchy.lazy_contract(cut(collapse(graph.edges)), percent=percent)
+    return cut(built), ranks
+
+
+def corner_hierarchy_costs(graph: CornerGraph, contracted: tuple[DataFrame, DataFrame], queries: DataFrame) -> DataFrame:
+    """(qid, cost, forward): the same over a ``corner_hierarchy``, from both ends and forward; inserted ends rank below all corners."""
+    built, ranks = contracted
     extra = cut(collapse(inserted(graph, queries)).select("src", "dst", "wt", F.lit(None).cast("bigint").alias("via")))
     # Corners that no other corner is joined to.
     alone = extra.select(F.explode(F.array("src", "dst")).alias("node")).where("node >= 0").distinct().join(ranks, "node", "left_anti").select("node", F.lit(0).alias("rank"))
-    ranks = ranks.unionByName(alone)
     ends = _ends(queries)
     low = ends.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(-1).alias("rank")), F.struct(F.col("target").alias("node"), F.lit(-2).alias("rank")))).alias("r")).select("r.*")
-    run = hierarchy.forward_costs if forward else hierarchy.query_costs
-    return run(cut(built.unionByName(extra)), cut(ranks.unionByName(low)), ends).select("qid", "cost")
+    whole, order = cut(built.unionByName(extra)), cut(ranks.unionByName(alone).unionByName(low))
+    forward = hierarchy.forward_costs(whole, order, ends).select("qid", F.col("cost").alias("forward"))
+    return hierarchy.query_costs(whole, order, ends).select("qid", "cost").join(forward, "qid")

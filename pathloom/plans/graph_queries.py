@@ -392,6 +392,25 @@ def apex_search(spark, sf_dir):
     return hierarchy.apex_costs(built, ranks, queries, cut(hierarchy.apexes(built, ranks, queries)))
 
 
+_STATED = "q AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey AS BIGINT) AS source, (CAST(n_nationkey AS BIGINT) * 11 + 3) % 25 AS target FROM nation)"
+
+
+def _stated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    return shapes.nation_nodes(spark, sf_dir).select(n.alias("qid"), n.alias("source"), ((n * 11 + 3) % 25).alias("target"))
+
+
+@query(f"WITH {TRADE}, {rounds('t', _SOURCES, K)}, {_STATED} SELECT q.qid, g AS cost FROM q LEFT JOIN r{K} r ON r.qid = source AND r.node = target")
+def unpacked_paths(spark, sf_dir):
+    """What the original edges of paths found in a hierarchy cost together."""
+    edges = cut(shapes.trade(spark, sf_dir))
+    built, ranks = hierarchy.lazy_contract(edges, percent=50)
+    queries = cut(_stated_queries(spark, sf_dir))
+    steps = hierarchy.paths(cut(built), ranks, queries).join(edges, ["src", "dst"]).groupBy("qid").agg(F.sum("wt").alias("cost"))
+    here = F.when(F.col("source") == F.col("target"), F.lit(0).cast("bigint"))
+    return queries.join(steps, "qid", "left").select("qid", F.coalesce("cost", here).alias("cost"))
+
+
 _RAISED = f"{TRADE}, {NATIONS}, u AS (SELECT src, dst, greatest(wt, CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS BIGINT)) AS wt FROM t JOIN nn a ON a.id = src JOIN nn b ON b.id = dst)"
 
 

@@ -253,8 +253,7 @@ def mesh_search(spark, sf_dir):
 def corner_hierarchy_search(spark, sf_dir):
     """The corner graph contracted; searched from both ends and forward."""
     graph, queries = jumps.corner_graph(_cells(spark, sf_dir), shapes.grid_width(spark, sf_dir)), _valid_queries(spark, sf_dir)
-    forward = jumps.corner_hierarchy_costs(graph, queries, forward=True).withColumnRenamed("cost", "forward")
-    return jumps.corner_hierarchy_costs(graph, queries).join(forward, "qid")
+    return jumps.corner_hierarchy_costs(graph, jumps.corner_hierarchy(graph), queries)
 
 
 def _any_angle_sql(shift: float) -> str:

@@ -147,8 +147,8 @@ def test_corner_graphs_tables_and_clusters(spark):
     costs = lambda df: {r["qid"]: r["cost"] for r in df.collect()}
     assert costs(jumps.corner_costs(graph, queries)) == want
     assert costs(jumps.pruned_corner_costs(graph, cells, queries)) == want
-    assert costs(jumps.corner_hierarchy_costs(graph, queries)) == want
-    assert costs(jumps.corner_hierarchy_costs(graph, queries, forward=True)) == want
+    both = jumps.corner_hierarchy_costs(graph, jumps.corner_hierarchy(graph), queries).collect()
+    assert {r["qid"]: r["cost"] for r in both} == {r["qid"]: r["forward"] for r in both} == want
     near = costs(clusters.hierarchical_costs(cells, w, queries, size=5))
     assert all((near[i] is None) == (want[i] is None) and (want[i] is None or near[i] >= want[i]) for i in want)
     step = {(int(a), int(b)): wt for a, b, wt in grid.to_graph(cells, w).collect()}
