@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pathloom.operators.graph import collapse
-from pathloom.operators.search import extract_paths, relax
+from pathloom.operators.search import Network, State, extract_paths, relax
 from pathloom.plans.lineage import cut
 
 _EDGE = ("src", "dst", "wt", "via")
@@ -195,6 +195,38 @@ def query_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, stal
     return queries.join(best, "qid", "left").select("qid", "source", "target", "cost")
 
 
+def guided_costs(hierarchy: DataFrame, ranks: DataFrame, nodes: DataFrame, queries: DataFrame, trace: list | None = None) -> DataFrame:
+    """(qid, source, target, cost) by two upward searches that know where they go; ``nodes`` has id, x, y.
+
+    Weights must be no less than the distance between their ends.  A row costs
+    at least what it has cost plus the straight line to the other end; rows that
+    so cannot beat the best meeting cost of their query are not followed.  The
+    search ends when neither side has rows left.  ``trace`` takes (rows expanded, rows that improved) of every round and side.
+    """
+    up, down = (Network.of(e.select("src", "dst", "wt")) for e in layouts(hierarchy, ranks))
+    at = nodes.select(F.col("id").alias("node"), "x", "y")
+    goal = lambda end: queries.select("qid", F.col(end).alias("node")).join(at, "node").select("qid", F.col("x").alias("gx"), F.col("y").alias("gy"))
+    sides = [(State(queries.select("qid", F.col(a).alias("node")), False), net, cut(goal(b))) for a, b, net in (("source", "target", up), ("target", "source", down))]
+    open_ = [state.parts[0] for state, _, _ in sides]
+    going = [1, 1]
+    while any(going):
+        first, second = (state.best().select("qid", "node", F.col("g").alias(c)) for (state, _, _), c in zip(sides, ("gf", "gb"), strict=True))
+        best = cut(first.join(second, ["qid", "node"]).groupBy("qid").agg(F.min(F.col("gf") + F.col("gb")).alias("cost")))
+        for i, (state, net, ends) in enumerate(sides):
+            if not going[i]:
+                continue
+            wide = open_[i].join(at, "node").join(ends, "qid").join(best, "qid", "left")
+            left = F.sqrt(F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2))
+            # Rounding must not turn an estimate into more than there is.
+            kept = wide.where(F.col("cost").isNull() | (F.col("g") + F.floor(left - 1e-9) < F.col("cost"))).select("qid", "node", "g", "pred")
+            steps = net.steps(kept).select("qid", F.col("dst").alias("node"), (F.col("g") + F.col("wt")).alias("g"), F.col("src").alias("pred"))
+            better, going[i] = state.improve(steps)
+            open_[i] = better.where("go").select("qid", "node", "g", "pred")
+            if trace is not None:
+                trace.append((kept, better))
+    return queries.join(best, "qid", "left").select("qid", "source", "target", "cost")
+
+
 def _turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wt")
 

@@ -404,7 +404,7 @@ def _stated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpacked_paths(spark, sf_dir):
     """What the original edges of paths found in a hierarchy cost together."""
     edges = cut(shapes.trade(spark, sf_dir))
-    built, ranks = hierarchy.lazy_contract(edges, percent=50)
+    built, ranks = hierarchy.lazy_contract(edges, percent=20)
     queries = cut(_stated_queries(spark, sf_dir))
     steps = hierarchy.paths(cut(built), ranks, queries).join(edges, ["src", "dst"]).groupBy("qid").agg(F.sum("wt").alias("cost"))
     here = F.when(F.col("source") == F.col("target"), F.lit(0).cast("bigint"))
@@ -423,6 +423,14 @@ def goal_directed_trade(spark, sf_dir):
     return search.goal_directed(edges, nodes, nodes.select(n.alias("qid"), n.alias("source"), ((n * 11 + 3) % 25).alias("target")))
 
 
+@query(ORACLES["goal_directed_trade"])
+def guided_hierarchy(spark, sf_dir):
+    """The same by a search over a hierarchy from both ends with straight-line estimates."""
+    nodes = shapes.nation_nodes(spark, sf_dir)
+    built, ranks = hierarchy.lazy_contract(cut(graph.raise_to_distance(shapes.trade(spark, sf_dir), nodes)), percent=20)
+    return hierarchy.guided_costs(cut(built), ranks, nodes, cut(_stated_queries(spark, sf_dir)))
+
+
 @query(f"WITH {TRADE}, {rounds('t', _SOURCES, K)} SELECT node AS target, qid AS node, g FROM r{K}")
 def target_distances(spark, sf_dir):
     """The exact rest to every nation, from a search against the edges."""

@@ -97,7 +97,7 @@ def io_scenario_legacy(spark, sf_dir):
 def io_node_order(spark, sf_dir):
     path = _path(spark, "order")
     ranks = shapes.nation_nodes(spark, sf_dir).select(F.col("id").alias("node"), ((F.col("id") * 7) % 25).alias("rank"))
-    writers.node_order(ranks.coalesce(1), path)
+    writers.node_order(ranks, path)
     return readers.node_order(spark, path)
 
 
@@ -107,7 +107,7 @@ def io_partition(spark, sf_dir):
     path = _path(spark, "part")
     nodes = shapes.nation_nodes(spark, sf_dir)
     lines = nodes.select("id", F.col("part").cast("string").alias("value")).unionByName(nodes.limit(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("# parts").alias("value")))
-    lines.coalesce(1).orderBy("id").coalesce(1).select("value").write.text(path)
+    lines.orderBy("id").select("value").write.text(path)
     return readers.partition_labels(spark, path, first=1)
 
 
@@ -156,26 +156,20 @@ def io_metis(spark, sf_dir):
     path = _path(spark, "metis")
     s = shapes.table(spark, sf_dir, "supplier")
     a, b = F.col("s_nationkey").cast("bigint"), F.col("s_suppkey") % 20
-    writers.metis(s.where(a != b).select((F.least(a, b) + 1).alias("a"), (F.greatest(a, b) + 1).alias("b")).distinct().coalesce(1), path)
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = text.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "value"))), lambda r: r["value"]), "").alias("all"))
-    return _numbered(lines)
+    writers.metis(s.where(a != b).select((F.least(a, b) + 1).alias("a"), (F.greatest(a, b) + 1).alias("b")).distinct(), path)
+    return readers.neighbour_lists(spark, path)
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """(node, value) of the lines of one text, without what follows its last line break."""
-    rows = lines.select(F.split("all", "\n").alias("v"))
-    return rows.select(F.posexplode(F.slice("v", F.lit(1), F.size("v") - 1)).alias("node", "value")).select(F.col("node").cast("bigint").alias("node"), "value")
-
-
-@query(f"WITH {GRID} SELECT x, y, tile FROM (SELECT x, y, tile, max(y) OVER () AS h FROM c) WHERE y < h")
+@query(f"""WITH {GRID}, m AS (SELECT max(y) AS h FROM c) SELECT x, y, tile FROM c
+UNION ALL SELECT i AS x, m.h AS y, '@' AS tile FROM w, m, range(0, w.w) r(i) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.x = i AND c.y = m.h)""")
 def io_grid_map(spark, sf_dir):
-    """The full rows of the grid as a map file."""
+    """The grid as a map file, its last row filled up with blocked tiles."""
     path = _path(spark, "map")
     cells = shapes.grid(spark, sf_dir).select("x", "y", "tile")
     top = cells.agg(F.max("y").alias("h"), (F.max("x") + 1).alias("w"))
-    rows = cells.join(top, F.col("y") < F.col("h")).groupBy("y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "tile"))), lambda c: c["tile"]), "").alias("value"))
-    head = top.select(F.lit(-1).cast("bigint").alias("y"), F.concat(F.lit("type octile\nheight "), F.col("h").cast("string"), F.lit("\nwidth "), F.col("w").cast("string"), F.lit("\nmap")).alias("value"))
+    rows = cells.groupBy("y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "tile"))), lambda c: c["tile"]), "").alias("value"))
+    rows = rows.join(top).select("y", F.rpad("value", F.col("w").cast("int"), F.lit("@")).alias("value"))
+    head = top.select(F.lit(-1).cast("bigint").alias("y"), F.concat(F.lit("type octile\nheight "), (F.col("h") + 1).cast("string"), F.lit("\nwidth "), F.col("w").cast("string"), F.lit("\nmap")).alias("value"))
     head.unionByName(rows).orderBy("y").coalesce(1).select("value").write.text(path)
     return readers.grid_map(spark, path).select("x", "y", "tile")
 

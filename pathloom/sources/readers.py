@@ -1,8 +1,12 @@
-"""Readers of the text formats, as DataFrames; all parsing runs on the executors."""
+"""Readers of the text formats, as DataFrames; all parsing runs on the executors.
+
+Formats in which the place of a line counts are read in splits as well: every
+split counts its lines, and a running sum over the splits numbers them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,18 +15,53 @@ from pyspark.sql import types as T
 BLOCKED = 2**32 - 1
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, at, value): every line with the split that it is from, and a number that grows within the split."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _running(text: DataFrame, size: Column, joined: bool) -> DataFrame:
+    """``text`` with ``before``, the sum of ``size`` over all lines before.
+
+    The sum of a split is added to those of the splits before it, in its file,
+    or, ``joined``, in all files by name; only sums of splits meet in one place.
+    """
+    split = ["file", "start"]
+    sums = text.groupBy(*split).agg(F.sum(size).alias("sum"))
+    line = (Window.orderBy(*split) if joined else Window.partitionBy("file").orderBy("start")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*split, F.coalesce(F.sum("sum").over(line), F.lit(0)).alias("earlier"))
+    inside = F.sum(size).over(Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - size
+    return text.withColumn("inside", inside).join(sums, split).withColumn("before", (F.col("earlier") + F.col("inside")).cast("bigint")).drop("earlier", "inside")
+
+
+def lines(spark: SparkSession, path: str, kept: Column | None = None, joined: bool = False) -> DataFrame:
+    """(file, line, value) of the lines that ``kept`` tells (all without it), numbered from 0 in each file.
+
+    ``joined`` numbers the lines of a folder as one text, files in the order of
+    their names, which is how sorted rows are written.
+    """
+    text = _split_lines(spark, path)
+    return _running(text if kept is None else text.where(kept), F.lit(1), joined).select("file", F.col("before").alias("line"), "value")
+
+
 def grid_map(spark: SparkSession, path: str) -> DataFrame:
     """(map, x, y, tile) of grid maps: a header in any order, ``map``, then rows of tiles.
 
     A map with another number of tiles than its height times its width fails.
     """
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("map"), "value")
-    number = lambda key: F.regexp_extract("value", rf"(?m)^{key}\s+(\d+)", 1).cast("int")
-    body = F.regexp_replace(F.regexp_extract("value", r"(?s)\nmap\s*\n(.*)$", 1), r"\s", "")
-    parsed = text.select("map", number("width").alias("w"), number("height").alias("h"), body.alias("body"))
-    checked = parsed.select("map", "w", F.when(F.length("body") == F.col("w") * F.col("h"), F.col("body")).otherwise(F.raise_error(F.concat(F.lit("wrong number of tiles: "), "map"))).alias("body"))
-    tiles = checked.select("map", "w", F.posexplode(F.split("body", "")).alias("i", "tile")).where("tile <> ''")
-    return tiles.select("map", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).alias("y"), "tile")
+    text = _running(_split_lines(spark, path), F.lit(1), False).withColumnRenamed("before", "line")
+    number = lambda key: F.max(F.regexp_extract("value", rf"^{key}\s+(\d+)", 1).try_cast("int"))
+    head = text.where(F.col("value").rlike(r"^(height|width)\s+\d+|^map\s*$")).groupBy("file").agg(
+        number("width").alias("w"), number("height").alias("h"), F.min(F.when(F.col("value").rlike(r"^map\s*$"), F.col("line"))).alias("top")
+    )
+    body = text.join(head, "file").where("line > top").withColumn("row", F.regexp_replace("value", r"\s", ""))
+    placed = _running(body, F.length("row"), False)
+    sums = placed.groupBy("file").agg(F.sum(F.length("row")).alias("n"))
+    # A map without tiles has no rows to fail on.
+    known = head.join(sums, "file", "left").select("file", "w", F.when(F.coalesce("n", F.lit(0)) == F.col("w") * F.col("h"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("wrong number of tiles: "), "file"))).alias("good"))
+    tiles = placed.drop("w").join(known, "file").where("good").select("file", "w", "before", F.posexplode(F.split("row", "")).alias("i", "tile")).where("tile <> ''")
+    at = F.col("before") + F.col("i")
+    return tiles.select(F.element_at(F.split("file", "/"), -1).alias("map"), (at % F.col("w")).alias("x"), F.floor(at / F.col("w")).alias("y"), "tile")
 
 
 def _fields(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -68,17 +107,15 @@ def scenario_legacy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """(place, value): integers, one a line, in file order; lines that start with #, c or % are skipped.
+    """(place, value): integers, one a line, in the order of a file or a folder; lines that start otherwise are skipped."""
+    found = lines(spark, path, F.col("value").rlike(r"^\s*-?\d"), joined=True)
+    return found.select((F.col("line") + first).alias("place"), F.trim("value").cast("bigint").alias("value"))
 
-    The file is one partition's text; its order is the order of lines.
-    """
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: v.rlike(r"^\s*-?\d"))).alias("i", "v"))
-    return text.select((F.col("i") + first).cast("bigint").alias("place"), F.trim("v").cast("bigint").alias("value"))
 
-
-def node_order(spark: SparkSession, path: str) -> DataFrame:
-    """(node, rank) of a contraction order."""
-    return numbered_lines(spark, path).select(F.col("value").alias("node"), F.col("place").alias("rank"))
+def node_order(spark: SparkSession, path: str, inverted: bool = False) -> DataFrame:
+    """(node, rank) of a contraction order: line i has the node of rank i, or, ``inverted``, the rank of node i."""
+    node, rank = ("place", "value") if inverted else ("value", "place")
+    return numbered_lines(spark, path).select(F.col(node).alias("node"), F.col(rank).alias("rank"))
 
 
 def partition_labels(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
@@ -86,6 +123,11 @@ def partition_labels(spark: SparkSession, path: str, first: int = 0) -> DataFram
     return numbered_lines(spark, path, first).select(F.col("place").alias("node"), F.col("value").alias("part"))
 
 
+def neighbour_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(node, value) of a file or folder of neighbour lists: the header as node 0, then one line for every node."""
+    return lines(spark, path, joined=True).select(F.col("line").alias("node"), "value")
+
+
 def mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices(vid, x, y, polygons), polygons(pid, vertices, neighbours)) of one version 2 mesh; a bad mesh fails."""
     from pathloom.sources.meshes import read_mesh
