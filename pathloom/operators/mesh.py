@@ -35,19 +35,46 @@ def inside(ring: Column, x: Column, y: Column, eps: float = geo.MESH_EPS) -> Col
     return F.forall(F.zip_with(ring, turned, lambda a, b: geo.cross(b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"])), lambda c: c >= -eps)
 
 
+def place_in(ring: Column, x: Column, y: Column, eps: float = geo.MESH_EPS) -> Column:
+    """vertex, edge or inside, for a point that a ring holds."""
+    turned = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    vertex = F.exists(ring, lambda p: (F.abs(p["x"] - x) <= eps) & (F.abs(p["y"] - y) <= eps))
+    edge = F.exists(F.zip_with(ring, turned, lambda a, b: geo.cross(b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"])), lambda c: F.abs(c) <= eps)
+    return F.when(vertex, "vertex").when(edge, "edge").otherwise("inside")
+
+
+def binned(polygons: DataFrame, size: float = 1.0) -> DataFrame:
+    """(pid, ring, level, bx, by): every polygon in the bins that its box touches, on the level whose bins are as wide as the box.
+
+    Bins of level k are ``size * 2**k`` wide, so a polygon of any size is in four bins at most, or some more for one that ends at borders.
+    """
+    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c])) - geo.MESH_EPS
+    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c])) + geo.MESH_EPS
+    boxes = polygons.select("pid", "ring", low("x").alias("x1"), low("y").alias("y1"), high("x").alias("x2"), high("y").alias("y2"))
+    wide = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(size))
+    level = boxes.withColumn("level", F.ceil(F.log2(wide / size)).cast("int")).withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.col("level")))
+    span = lambda c: F.sequence(F.floor(F.col(f"{c}1") / F.col("width")), F.floor(F.col(f"{c}2") / F.col("width")))
+    return level.select("pid", "ring", "level", F.explode(span("x")).alias("bx"), span("y").alias("ys")).select("pid", "ring", "level", "bx", F.explode("ys").alias("by"))
+
+
 def locate(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """(points..., pid): the smallest polygon (pid, ring) that holds each point (id, x, y), null for none.
+    """(points..., pid, place): the smallest polygon (pid, ring) that holds each point (id, x, y) and where in it the point
+    is: inside, edge or vertex; a point that no polygon holds has no pid and is outside.
 
-    Polygons go to every bin that their box touches and meet points by bin; a
-    bin should be about as large as a polygon.
+    Points meet polygons by bin on every level that has polygons; levels are
+    few, as each doubles the width.
     """
-    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    span = lambda c: F.sequence(F.floor((low(c) - geo.MESH_EPS) / size), F.floor((high(c) + geo.MESH_EPS) / size))
-    binned = polygons.select("pid", "ring", F.explode(span("x")).alias("bx"), span("y").alias("ys")).select("pid", "ring", "bx", F.explode("ys").alias("by"))
-    at = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
-    held = at.join(binned, ["bx", "by"]).where(inside(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min("pid").alias("pid"))
-    return points.join(held, "id", "left")
+    bins = binned(polygons, size)
+    levels = sorted(r["level"] for r in bins.select("level").distinct().collect())  # the logarithm of the largest box
+    if not levels:
+        return points.withColumns({"pid": F.lit(None).cast(polygons.schema["pid"].dataType), "place": F.lit("outside")})
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    at = points.select("id", "x", "y", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    at = at.select("id", "x", "y", "level", F.floor(F.col("x") / width).alias("bx"), F.floor(F.col("y") / width).alias("by"))
+    met = at.join(bins, ["level", "bx", "by"]).where(inside(F.col("ring"), F.col("x"), F.col("y")))
+    held = met.groupBy("id").agg(F.min(F.struct("pid", place_in(F.col("ring"), F.col("x"), F.col("y")).alias("place"))).alias("s"))
+    found = held.select("id", F.col("s.pid").alias("pid"), F.col("s.place").alias("place"))
+    return points.join(found, "id", "left").withColumn("place", F.coalesce("place", F.lit("outside")))
 
 
 def best_rectangles(free: np.ndarray) -> list[tuple[int, int, int, int]]:

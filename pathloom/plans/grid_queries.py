@@ -217,3 +217,20 @@ def point_location(spark, sf_dir):
     orders = shapes.table(spark, sf_dir, "orders")
     points = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 13 % (w * 4) / 4).alias("x"), (F.col("o_orderkey") * 7 % (w * 4) / 4).alias("y"))
     return mesh.locate(points, mesh.unit_mesh(shapes.grid(spark, sf_dir).select("x", "y", "ok"), w)).select("id", "pid")
+
+
+@query("""WITH r AS (SELECT p_partkey AS pid, p_partkey * 17 % 211 AS x0, p_partkey * 31 % 197 AS y0, 1 + p_size % 10 AS w, 1 + p_size * 3 % 10 AS h FROM part),
+p AS (SELECT o_orderkey AS id, (o_custkey * 13 + o_orderkey) % 880 / 4 AS x, o_orderkey * 7 % 820 / 4 AS y FROM orders),
+m AS (SELECT id, x, y, min(pid) AS pid FROM p JOIN r ON x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h GROUP BY ALL)
+SELECT p.id, m.pid, CASE WHEN m.pid IS NULL THEN 'outside' WHEN p.x IN (x0, x0 + w) AND p.y IN (y0, y0 + h) THEN 'vertex' WHEN p.x IN (x0, x0 + w) OR p.y IN (y0, y0 + h) THEN 'edge' ELSE 'inside' END AS place
+FROM p LEFT JOIN m ON m.id = p.id LEFT JOIN r ON r.pid = m.pid""")
+def point_classes(spark, sf_dir):
+    """Where points lie among rectangles of 1 to 100 cells that overlap: the smallest that holds each, and its class there."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    box = shapes.table(spark, sf_dir, "part").select(key.alias("pid"), (key * 17 % 211).alias("x"), (key * 31 % 197).alias("y"), (1 + size % 10).alias("w"), (1 + size * 3 % 10).alias("h"))
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).cast("double").alias("x"), (F.col("y") + dy).cast("double").alias("y"))
+    none = F.lit(0)
+    rings = box.select("pid", F.array(corner(none, none), corner(F.col("w"), none), corner(F.col("w"), F.col("h")), corner(none, F.col("h"))).alias("ring"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    points = shapes.table(spark, sf_dir, "orders").select(o.alias("id"), ((c * 13 + o) % 880 / 4).alias("x"), (o * 7 % 820 / 4).alias("y"))
+    return mesh.locate(points, rings).select("id", "pid", "place")

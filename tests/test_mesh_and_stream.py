@@ -27,6 +27,19 @@ def test_location_equals_brute_force(spark):
     want = {i: min((p for p, r in rings if holds(r, x, y)), default=None) for i, x, y in points}
     got = mesh.locate(spark.createDataFrame(points, "id bigint, x double, y double"), polygons, 2.0)
     assert {r["id"]: r["pid"] for r in got.collect()} == want
+    assert {r["id"]: r["place"] for r in got.where("id >= 300").collect()} == {300: "vertex", 301: "vertex"}
+    assert all((r["place"] == "outside") == (r["pid"] is None) for r in got.collect())
+
+
+def test_polygons_of_all_sizes_are_in_few_bins(spark):
+    rng = random.Random(5)
+    boxes = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50), 2.0 ** rng.uniform(-3, 9), 2.0 ** rng.uniform(-3, 9)) for i in range(200)]
+    rings = spark.createDataFrame([(i, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]) for i, x, y, w, h in boxes], "pid bigint, ring array<struct<x:double,y:double>>")
+    assert mesh.binned(rings).groupBy("pid").count().agg({"count": "max"}).first()[0] <= 4
+    points = [(i, rng.uniform(-60, 300), rng.uniform(-60, 300)) for i in range(300)]
+    got = {r["id"]: r["pid"] for r in mesh.locate(spark.createDataFrame(points, "id bigint, x double, y double"), rings).collect()}
+    assert got == {k: min((i for i, x, y, w, h in boxes if x <= px <= x + w and y <= py <= y + h), default=None) for k, px, py in points}
+    assert {r["place"] for r in mesh.locate(spark.createDataFrame(points[:2], "id bigint, x double, y double"), rings.limit(0)).collect()} == {"outside"}
 
 
 def test_stream_counters(spark, tmp_path):
