@@ -35,3 +35,18 @@ def bit_set(flags: Column, i: Column) -> Column:
 
 def bit_get(flags: Column, i: Column) -> Column:
     return F.call_function("shiftright", flags, i.cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def bits_merged(a: Column, b: Column) -> Column:
+    """The union of two bit vectors, arrays of words of one length; a null vector is empty."""
+    return F.coalesce(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)), a, b)
+
+
+def bits_equal(a: Column, b: Column) -> Column:
+    """Whether two bit vectors hold the same bits, whatever zero words follow."""
+    return F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).bitwiseXOR(F.coalesce(y, F.lit(0)))), lambda x: x == 0)
+
+
+def bits_count(a: Column) -> Column:
+    """How many bits of a vector are set."""
+    return F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x).cast("bigint"))

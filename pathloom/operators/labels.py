@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.plans.lineage import cut, dealt
 
 #: Parts in one word of arc flags; the sign bit stays free.
 WORD = 63
@@ -161,24 +161,39 @@ def compress_rows(sets: DataFrame, order: DataFrame) -> DataFrame:
     return sets.join(order, "node").groupBy("source").applyInPandas(runs, "source bigint, run_start bigint, run_end bigint, move bigint")
 
 
+def run_bins(runs: DataFrame) -> DataFrame:
+    """(source, level, bin, run_start, run_end, move): every run in the bins that it meets, on the level whose bins are as long as the run.
+
+    Bins of level k are 2**k places long, so a run is in two bins at most, and a
+    place meets few runs of its bin on any level.
+    """
+    level = F.ceil(F.log2((F.col("run_end") - F.col("run_start") + 1).cast("double"))).cast("int")
+    at = lambda c: F.call_function("shiftright", F.col(c), F.col("level"))
+    return runs.withColumn("level", level).withColumn("bin", F.explode(F.array_distinct(F.array(at("run_start"), at("run_end"))))).select("source", "level", "bin", "run_start", "run_end", "move")
+
+
 def follow_moves(runs: DataFrame, order: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, path) of queries (qid, source, target), by repeated range look-ups in the runs; null if the target is not met.
 
-    Each step joins on the current node and keeps the run that holds the
-    target.  Moves are optimal, so with positive weights no path comes back.
+    Each step is a range join by bins: it meets the runs of the current node that
+    share a bin with the target, on every level that has runs, not all runs of
+    the node.  Runs lie in buckets of their node, so a step moves the queries
+    only.  Moves are optimal, so with positive weights no path comes back.
     """
-    from pathloom.plans.lineage import cut
-
+    bins = dealt(run_bins(runs).withColumnRenamed("source", "at"), "at")
+    levels = sorted(r["level"] for r in bins.select("level").distinct().collect())  # the logarithm of the longest run
     open_ = queries.join(order.withColumnRenamed("node", "target"), "target").select("qid", "target", "place", F.col("source").alias("at"), F.array("source").alias("path"))
     done = open_.where("at = target").select("qid", "path")
     open_ = open_.where("at <> target")
-    while True:
-        step = open_.join(runs.withColumnRenamed("source", "at"), "at").where("place between run_start and run_end")
+    while levels:
+        wide = open_.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bin", F.call_function("shiftright", F.col("place").cast("bigint"), F.col("level")))
+        step = wide.join(bins, ["at", "level", "bin"]).where("place between run_start and run_end")
         step = cut(step.select("qid", "target", "place", F.col("move").alias("at"), F.concat("path", F.array("move")).alias("path")))
         done = done.unionByName(step.where("at = target").select("qid", "path"))
         open_ = step.where("at <> target")
         if open_.isEmpty():
-            return queries.select("qid").join(done, "qid", "left")
+            break
+    return queries.select("qid").join(done, "qid", "left")
 
 
 def dfs_order(edges: DataFrame, root: int, seed: int = 0) -> DataFrame:

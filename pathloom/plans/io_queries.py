@@ -281,6 +281,17 @@ def scalar_functions(spark, sf_dir):
     )
 
 
+@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS a0, l_suppkey AS a1, l_suppkey AS b0, l_partkey // 2 AS b1 FROM lineitem)
+SELECT k, i, a0 | b0 AS m0, a1 | b1 AS m1, a0 = b0 AND a1 = b1 AS same, CAST(bit_count(a0 | b0) + bit_count(a1 | b1) AS BIGINT) AS n FROM v""")
+def bit_vectors(spark, sf_dir):
+    """Unions of bit vectors of two words, whether both sides are equal, and how many bits the union has."""
+    line = shapes.table(spark, sf_dir, "lineitem")
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    a, b = F.array(part, supp), F.array(supp, F.floor(part / 2).cast("bigint"))
+    both = line.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), scalars.bits_merged(a, b).alias("m"), scalars.bits_equal(a, b).alias("same"))
+    return both.select("k", "i", F.get("m", F.lit(0)).alias("m0"), F.get("m", F.lit(1)).alias("m1"), "same", scalars.bits_count(F.col("m")).alias("n"))
+
+
 @query(f"""WITH {NATIONS}, p AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nn a, nn b WHERE a.y < 2 AND b.y > 2)
 SELECT a, b, ax <= bx + 1 AND bx <= ax + 1 AND ay <= by_ + 1 AND by_ <= ay + 2 AS meet,
 round(CASE WHEN ax + (2 - ay) * (bx - ax) / CAST(by_ - ay AS DOUBLE) < 1 THEN sqrt((ax - 1) ^ 2 + (ay - 2) ^ 2) + sqrt((bx - 1) ^ 2 + (by_ - 2) ^ 2)
