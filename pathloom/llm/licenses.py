@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
 
 # Base phrases and their labels.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Public licence texts, notices and statements by label.
 TEMPLATES = (

@@ -59,7 +59,7 @@ class Settings:
 
     min_run: int = 20
     min_llr: int = 9000
-    per_char: int = 900
+    per_char: int = 1600
     sample_docs: int = 600
     sample_random: int = 4000
     smoothing: float = 0.5
@@ -102,7 +102,7 @@ def identifier_samples(spark: SparkSession) -> DataFrame:
     words = IDENTIFIER_WORDS.split()
     n = len(words)
     pairs = [(words[i], words[(i * k + k) % n]) for i in range(n) for k in (1, 3, 7, 11)]
-    values = [v for a, b in pairs for v in (f"{a}_{b}", f"{a}{b.title()}", f"{a}-{b}", f"{a.upper()}_{b.upper()}", f"{a}/{b}_{len(a)}")]
+    values = [v for a, b in pairs for v in (f"{a}_{b}", f"{a}{b.title()}", f"{a}-{b}", f"{a.upper()}_{b.upper()}", f"{a}/{b}_{len(a)}", f"__{a}_{b}__", f"_{a.title()}__{b}")]
     return spark.createDataFrame([(v,) for v in values], "value string")
 
 
