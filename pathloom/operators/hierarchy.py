@@ -287,6 +287,36 @@ def apex_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, tops:
     return queries.join(_per_target(trees, "qid"), ["qid", "target"], "left").select("qid", "source", "target", "cost")
 
 
+def first_moves(hierarchy: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(source, node, first): all optimal first steps of the forward search from every state to every node; source and first are states.
+
+    A label of all pairs, for states: a way that has begun to fall may not climb again, so both states of a node have moves of their own.
+    """
+    edges = cut(two_phase_edges(hierarchy, ranks).select("src", "dst", "wt"))
+    states = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    trees = relax(edges, states.select(F.col("node").alias("qid"), "node"), preds=False)
+    best = cut(trees.groupBy(F.col("qid").alias("source"), F.floor(F.col("node") / 2).cast("bigint").alias("node")).agg(F.min("g").alias("g")))
+    rest = best.select(F.col("source").alias("first"), "node", F.col("g").alias("rest"))
+    steps = edges.select(F.col("src").alias("source"), F.col("dst").alias("first"), "wt").join(rest, "first").join(best, ["source", "node"])
+    return steps.where((F.col("wt") + F.col("rest") == F.col("g")) & (F.floor(F.col("source") / 2) != F.col("node"))).select("source", "node", "first")
+
+
+def first_move_costs(hierarchy: DataFrame, ranks: DataFrame, queries: DataFrame, runs: DataFrame, order: DataFrame) -> DataFrame:
+    """(qid, source, target, cost) by the forward search that takes one step from every state, the first move to the target.
+
+    ``runs`` are the moves of ``first_moves`` as run-length rows over ``order``;
+    a target without a way has no run and gives null.
+    """
+    from pathloom.operators.labels import follow_moves
+
+    begun = queries.select("qid", _state(F.col("source"), F.lit(True)).alias("source"), "target")
+    walks = cut(follow_moves(runs, order, begun, F.floor(F.col("at") / 2) == F.col("target")))
+    hops = walks.select("qid", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("pos", "src"), "path").select("qid", "src", F.expr("path[pos + 1]").alias("dst"))
+    sums = hops.join(two_phase_edges(hierarchy, ranks).select("src", "dst", "wt"), ["src", "dst"]).groupBy("qid").agg(F.sum("wt").alias("cost"))
+    arrived = walks.where("path is not null").select("qid", F.lit(0).cast("bigint").alias("none")).join(sums, "qid", "left").select("qid", F.coalesce("cost", "none").alias("cost"))
+    return queries.join(arrived, "qid", "left").select("qid", "source", "target", "cost")
+
+
 def unpack(hierarchy: DataFrame, paths: DataFrame) -> DataFrame:
     """(qid, pos, src, dst) of original edges from paths of (qid, pos, src, dst) over shortcuts.
 

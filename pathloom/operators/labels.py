@@ -172,25 +172,27 @@ def run_bins(runs: DataFrame) -> DataFrame:
     return runs.withColumn("level", level).withColumn("bin", F.explode(F.array_distinct(F.array(at("run_start"), at("run_end"))))).select("source", "level", "bin", "run_start", "run_end", "move")
 
 
-def follow_moves(runs: DataFrame, order: DataFrame, queries: DataFrame) -> DataFrame:
+def follow_moves(runs: DataFrame, order: DataFrame, queries: DataFrame, there: Column | str = "at = target") -> DataFrame:
     """(qid, path) of queries (qid, source, target), by repeated range look-ups in the runs; null if the target is not met.
 
     Each step is a range join by bins: it meets the runs of the current node that
     share a bin with the target, on every level that has runs, not all runs of
     the node.  Runs lie in buckets of their node, so a step moves the queries
     only.  Moves are optimal, so with positive weights no path comes back.
+    ``there`` tells when a row has arrived, where runs are of other things than nodes.
     """
     bins = dealt(run_bins(runs).withColumnRenamed("source", "at"), "at")
     levels = sorted(r["level"] for r in bins.select("level").distinct().collect())  # the logarithm of the longest run
     open_ = queries.join(order.withColumnRenamed("node", "target"), "target").select("qid", "target", "place", F.col("source").alias("at"), F.array("source").alias("path"))
-    done = open_.where("at = target").select("qid", "path")
-    open_ = open_.where("at <> target")
+    there = F.expr(there) if isinstance(there, str) else there
+    done = open_.where(there).select("qid", "path")
+    open_ = open_.where(~there)
     while levels:
         wide = open_.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bin", F.call_function("shiftright", F.col("place").cast("bigint"), F.col("level")))
         step = wide.join(bins, ["at", "level", "bin"]).where("place between run_start and run_end")
         step = cut(step.select("qid", "target", "place", F.col("move").alias("at"), F.concat("path", F.array("move")).alias("path")))
-        done = done.unionByName(step.where("at = target").select("qid", "path"))
-        open_ = step.where("at <> target")
+        done = done.unionByName(step.where(there).select("qid", "path"))
+        open_ = step.where(~there)
         if open_.isEmpty():
             break
     return queries.select("qid").join(done, "qid", "left")

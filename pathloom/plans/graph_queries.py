@@ -411,6 +411,17 @@ def unpacked_paths(spark, sf_dir):
     return queries.join(steps, "qid", "left").select("qid", F.coalesce("cost", here).alias("cost"))
 
 
+@query(ORACLES["unpacked_paths"])
+def forward_first_moves(spark, sf_dir):
+    """Forward search over a hierarchy that follows run-length compressed first moves of its states."""
+    edges = cut(shapes.trade(spark, sf_dir))
+    built, ranks = hierarchy.lazy_contract(edges, percent=20)
+    built, ranks = cut(built), cut(ranks)
+    order = shapes.nation_nodes(spark, sf_dir).select(F.col("id").alias("node"), F.col("id").alias("place"))
+    runs = cut(labels.compress_rows(labels.move_sets(hierarchy.first_moves(built, ranks)), order))
+    return hierarchy.first_move_costs(built, ranks, cut(_stated_queries(spark, sf_dir)), runs, order).select("qid", "cost")
+
+
 _RAISED = f"{TRADE}, {NATIONS}, u AS (SELECT src, dst, greatest(wt, CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS BIGINT)) AS wt FROM t JOIN nn a ON a.id = src JOIN nn b ON b.id = dst)"
 
 
